@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from vantage.functions import dist
 
-NULL_D = F.lit(None).cast("double")
+def _null_d():
+    return F.lit(None).cast("double")
 
 
 def _nan_to_null(c: Column) -> Column:
@@ -152,7 +153,7 @@ def pearson_from(df: DataFrame, by: Sequence[str], x: Column, y: Column) -> Data
     out = g.select(*by, "n", r.alias("r"))
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1.0 - F.col("r") * F.col("r")))
     out = out.withColumn("_t", F.when((F.abs(F.col("r")) < 1.0) & (F.col("n") >= 3), t))
-    p = (F.when(F.col("r").isNull() | (F.col("n") < 3), NULL_D)
+    p = (F.when(F.col("r").isNull() | (F.col("n") < 3), _null_d())
          .when(F.abs(F.col("r")) >= 1.0, F.lit(0.0))
          .otherwise(dist.col_t_sf2("_t", "n - 2")))
     return out.withColumn("p_value", p).drop("_t")

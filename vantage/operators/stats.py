@@ -239,3 +239,72 @@ def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str) -> Data
     g = g.select(*by, "n_true", "n_false", u1.alias("u_stat"), F.when(ok, z).alias("_z"))
     return g.select(*by, "n_true", "n_false", "u_stat",
                     F.when(F.col("_z").isNotNull(), F.least(F.lit(1.0), dist.col_norm_sf2("_z"))).alias("p_value"))
+
+
+def breusch_pagan(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """Breusch-Pagan test (statsmodels ``het_breuschpagan`` with a constant).
+
+    Fit y ~ xs per group, regress the squared residuals on the same
+    regressors, LM = n * R^2 of that fit, p from chi-square with len(xs)
+    degrees of freedom.  Two grouped OLS fits (one aggregate each) and two
+    joins of one coefficient row per group.
+    """
+    from vantage.operators import models as K
+
+    by = list(by)
+    xs = list(xs)
+    coef = K.grouped_ols(df, by, y, xs, prefix="b_").drop("n")
+    res = df.join(coef, by).select(*by, *xs, F.pow(F.col(y) - K.linear_prediction("b_", xs), 2).alias("_u"))
+    coef2 = K.grouped_ols(res, by, "_u", xs, prefix="a_").drop("n")
+    fit = res.join(coef2, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.pow(F.col("_u") - K.linear_prediction("a_", xs), 2)).alias("_sse"),
+        (F.var_pop("_u") * F.count(F.lit(1))).alias("_sst"))
+    fit = fit.withColumn("lm_stat", F.col("n") * (1.0 - F.try_divide(F.col("_sse"), F.col("_sst"))))
+    return fit.select(*by, "n", "lm_stat", dist.col_chi2_sf("lm_stat", len(xs)).alias("p_value"))
+
+
+def regression_line(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """L10 (line): least-squares slope and intercept of y on x."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"),
+                               F.regr_intercept(y, x).alias("intercept"))
+
+
+def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str, reps: int = 200,
+                    grid: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """L10 (band): bootstrap band of the regression line (what ``regplot`` draws).
+
+    Each replicate resamples rows with Poisson(1) weights derived from a
+    hash of (row key, replicate) -- no row is copied, so one pass builds
+    the weighted sums of every replicate.  The line of each replicate is
+    evaluated on a ``grid`` over [min x, max x] and the band is the
+    (1 - level)/2 and (1 + level)/2 percentiles over replicates.
+    """
+    by = list(by)
+    ex = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                   F.col(key).cast("string").alias("_k"))
+    reps_df = ex.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    # Poisson(1) weight by inverting the CDF at a hashed uniform
+    u = (F.abs(F.xxhash64("_k", "_rep", F.lit(seed))) % 1000003) / 1000003.0
+    w = F.lit(0)
+    cdf = 0.0
+    term = math_exp_neg1 = 0.36787944117144233
+    for k in range(8):
+        cdf += term
+        w = w + F.when(u > cdf, 1).otherwise(0)
+        term = term / (k + 1)
+    del math_exp_neg1
+    g = reps_df.withColumn("_w", w.cast("double")).groupBy(*by, "_rep").agg(
+        F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_x")).alias("sx"),
+        F.sum(F.col("_w") * F.col("_y")).alias("sy"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("sxy"))
+    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw"),
+                         F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw"))
+    g = g.withColumn("slope", slope).withColumn("icpt", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw"))
+    rng = ex.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    pts = rng.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
+        "gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / float(grid - 1))
+    lines = (g.join(pts, by) if by else g.crossJoin(pts)).withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
+    a = (1.0 - level) / 2.0
+    return lines.groupBy(*by, "gi", "gx").agg(F.percentile("gy", a).alias("band_low"),
+                                              F.percentile("gy", 1.0 - a).alias("band_high"))

@@ -34,4 +34,4 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from vantage.plans import queries, queries_agg, queries_base  # noqa: F401
+    from vantage.plans import queries, queries_agg, queries_base, queries_stats  # noqa: F401

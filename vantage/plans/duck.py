@@ -201,3 +201,29 @@ def paired_ttest_cols(n: str, mean_d: str, sd_d: str) -> tuple[str, str]:
     t = f"(CASE WHEN {n} > 1 THEN {div(mean_d, f'{sd_d} / sqrt({n})')} END)"
     p = f"(CASE WHEN {t} IS NOT NULL THEN {t_sf2(t, f'{n} - 1')} END)"
     return t, p
+
+
+# ---------------------------------------------------------------- tests (DuckDB twins)
+
+def avg_rank_sql(by: str, v: str) -> str:
+    """Average rank with ties (window text); ``by`` is a PARTITION list."""
+    part = f"PARTITION BY {by} " if by else ""
+    return (f"(rank() OVER ({part}ORDER BY {v}) + "
+            f"(count(*) OVER (PARTITION BY {by + ', ' if by else ''}{v}) - 1) / 2.0)")
+
+
+def exact_signed_rank_cdf(n: str, w: str) -> str:
+    """P(W <= w) for the signed-rank statistic (DP over rank sums)."""
+    size = f"CAST({n} * ({n} + 1) / 2 + 1 AS BIGINT)"
+    init = f"list_transform(range(0, {size}), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    counts = (f"list_reduce(range(1, {n} + 1), lambda acc, k: list_transform(acc, lambda c, s: "
+              f"c + CASE WHEN s - 1 >= k THEN acc[s - k] ELSE 0.0::DOUBLE END), {init})")
+    return f"(list_sum(({counts})[1:CAST(floor({w}) AS BIGINT) + 1]) / pow(2.0, {n}))"
+
+
+def welch_cols(n1: str, m1: str, v1: str, n2: str, m2: str, v2: str) -> tuple[str, str]:
+    a, b = f"(({v1}) / ({n1}))", f"(({v2}) / ({n2}))"
+    ok = f"({n1} > 1 AND {n2} > 1)"
+    t = f"(CASE WHEN {ok} THEN {div(f'{m1} - {m2}', f'sqrt({a} + {b})')} END)"
+    dof = f"(CASE WHEN {ok} THEN {div(f'({a} + {b}) * ({a} + {b})', f'{a} * {a} / ({n1} - 1) + {b} * {b} / ({n2} - 1)')} END)"
+    return t, dof

@@ -107,3 +107,31 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """B10 at the sink: round every DOUBLE column (half-up)."""
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
                        else F.col(f.name) for f in df.schema.fields])
+
+
+# ---------------------------------------------------------------- derived result tables
+
+# Cluster-column -> display label (one per event-type model).
+CLUSTER_LABELS = {"cluster_click": "Click", "cluster_view": "View", "cluster_purchase": "Purchase",
+                  "cluster_signup": "Signup", "cluster_error": "Error"}
+
+
+def classification_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 stand-in: ``dataset, cluster, best_model, auc`` per (dataset, cluster)."""
+    s = V.scores(spark, sf_dir)
+    g = s.groupBy("dataset", "model").agg(F.avg("auc").alias("auc"), F.avg("distance_correlation").alias("_dc"))
+    best = (F.when(F.col("_dc") < 0.2, F.lit("LogisticReg")).when(F.col("_dc") < 0.5, F.lit("RandomForest"))
+            .otherwise(F.lit("GradientBoost")))
+    return g.select("dataset", F.concat(F.lit("cluster_"), F.col("model")).alias("cluster"),
+                    best.alias("best_model"), "auc")
+
+
+def auc_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(assisted, unassisted) AUC tables ``dataset, model, auc``."""
+    s = V.scores(spark, sf_dir)
+    g = s.groupBy("dataset", "model").agg(F.avg("auc").alias("a"), F.avg(F.lit(0.5) + F.col("distance_correlation") / 2.0).alias("u"))
+    return (g.select("dataset", "model", F.col("a").alias("auc")), g.select("dataset", "model", F.col("u").alias("auc")))
+
+
+def wide(pairs: DataFrame) -> DataFrame:
+    return side(pairs, "unassisted", "unassisted").join(side(pairs, "assisted", "assisted"), "dataset")

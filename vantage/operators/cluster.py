@@ -42,7 +42,7 @@ def elbow_k(curve: DataFrame, by: Sequence[str], k: str = "k", inertia: str = "i
     c = curve.withColumn("_d2", F.lead(v, 2).over(w) - 2 * F.lead(v, 1).over(w) + v)
     key = F.col("_d2") if rule == "reference" else -F.col("_d2")
     g = c.groupBy(*by).agg(
-        F.min_by(F.col(k), F.struct(key, F.col(k))).alias("_k0"),
+        F.min_by(F.col(k), F.when(F.col("_d2").isNotNull(), F.struct(key.alias("d"), F.col(k).alias("k")))).alias("_k0"),
         F.count(F.col("_d2")).alias("_nd"))
     return g.select(*by, F.when(F.col("_nd") > 0, F.col("_k0") + 1).otherwise(F.lit(1)).alias("elbow_k"))
 
@@ -55,3 +55,191 @@ def choose_k(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: int = 2,
     if cap is not None:
         k = F.least(k, F.least(F.col("_n"), F.lit(cap)))
     return g.select(*by, k.cast("int").alias("k"))
+
+
+# ---------------------------------------------------------------- I3 grouped K-means
+
+def _dist2(v, c):
+    sq = F.zip_with(v, c, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 50,
+           tol: float = 1e-6, seed: int = 42):
+    """Lloyd's K-means for every group at once.
+
+    ``k`` is an int or the name of a per-group column (then it must be in
+    ``by`` -- this is how an elbow curve fits k = 1..kmax in one job).
+    ``n_init`` restarts run side by side as an extra group key; each starts
+    from the k points with the smallest hash of (id, seed, restart) (a
+    deterministic random start; the reference's k-means++ seeding is
+    sequential per group).  Per iteration: the k centres of each
+    (group, restart) travel as one array row, every point picks its
+    nearest centre JVM-side, and ``Summarizer.mean`` by (group, restart,
+    cluster) gives the new centres -- one join and one aggregate.  The
+    centre table is checkpointed to the shared checkpoint folder each
+    iteration; iterations stop when no centre moves more than ``tol``.
+
+    Returns ``(assign, centers, cost)``: labels per row (renumbered by
+    first appearance in ``id`` order), centres per (group, cluster), and
+    the inertia of the best restart per group.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from vantage.session import checkpoint_dir
+
+    by = list(by)
+    checkpoint_dir(df.sparkSession)
+    kcol = F.col(k) if isinstance(k, str) else F.lit(int(k))
+    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    gk = [*by, "_run"]
+    h = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed)), F.col("_run").cast("string")))
+    w = Window.partitionBy(*gk).orderBy(h, "_id")
+    centers = (runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kcol)
+                   .select(*gk, (F.col("_rn") - 1).alias("_cid"), F.col("_v").alias("_c")))
+    centers = centers.checkpoint()
+
+    def assign(cs):
+        packed = cs.groupBy(*gk).agg(F.collect_list(F.struct("_cid", "_c")).alias("_cs"))
+        j = runs.join(packed, gk)
+        best = F.array_min(F.transform("_cs", lambda c: F.struct(_dist2(F.col("_v"), c["_c"]).alias("d"),
+                                                                c["_cid"].alias("cid"))))
+        return j.select(*gk, "_id", "_v", best["cid"].alias("_cid"), best["d"].alias("_d"))
+
+    for _ in range(max_iter):
+        a = assign(centers)
+        new = (a.groupBy(*gk, "_cid").agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
+                .select(*gk, "_cid", vector_to_array("_m").alias("_c")))
+        # empty clusters keep their old centre
+        new = (centers.join(new.withColumnRenamed("_c", "_n"), [*gk, "_cid"], "left")
+                      .select(*gk, "_cid", F.coalesce("_n", "_c").alias("_c"), F.sqrt(_dist2(F.col("_c"), F.coalesce("_n", "_c"))).alias("_shift")))
+        new = new.checkpoint()
+        moved = new.agg(F.max("_shift")).first()[0]
+        centers = new.drop("_shift")
+        if moved is None or moved <= tol:
+            break
+    a = assign(centers)
+    cost = a.groupBy(*gk).agg(F.sum("_d").alias("inertia"))
+    wb = Window.partitionBy(*by).orderBy("inertia", "_run") if by else Window.orderBy("inertia", "_run")
+    best = cost.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") == 1).drop("_r")
+    a = a.join(best.select(*gk), gk, "left_semi")
+    # canonical labels: clusters numbered by their smallest id
+    first = a.groupBy(*by, "_cid").agg(F.min("_id").alias("_first"))
+    wl = Window.partitionBy(*by).orderBy("_first") if by else Window.orderBy("_first")
+    relabel = first.withColumn("cluster", F.row_number().over(wl) - 1).drop("_first")
+    assign_out = a.join(relabel, [*by, "_cid"]).select(*by, F.col("_id").alias(id_col), "cluster", F.col("_d").alias("dist2"))
+    cent = (centers.join(best.select(*gk), gk, "left_semi").join(relabel, [*by, "_cid"])
+                   .select(*by, "cluster", F.col("_c").alias("center")))
+    return assign_out, cent, best.select(*by, "inertia")
+
+
+def elbow_curve(df: DataFrame, by: Sequence[str], id_col: str, vec: str, kmax: int = 9, n_init: int = 10,
+                seed: int = 42) -> DataFrame:
+    """I4: K-means inertia for k = 1..kmax, all k in the same job."""
+    ks = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(kmax))))
+    _, _, cost = kmeans(ks, [*by, "k"], id_col, vec, "k", n_init=n_init, seed=seed)
+    return cost
+
+
+# ---------------------------------------------------------------- I2 grouped PCA
+
+def pca(df: DataFrame, by: Sequence[str], id_col: str, vec: str, dim: int, k: int):
+    """Centre and project on the top ``k`` principal axes, per group.
+
+    One aggregate builds each group's d x d moment matrix (d(d+1)/2 sums);
+    the eigen-decomposition runs on those single rows with NumPy
+    (``mapInPandas``), so no raw row leaves the JVM; the projection is a
+    join of one component row per group and JVM-side dot products.  Signs
+    are fixed so that the largest-magnitude loading of each axis is
+    positive.  Returns ``(scores, components)``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    by = list(by)
+    v = F.col(vec).cast("array<double>")
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(v[i]).alias(f"s{i}") for i in range(dim)]
+    aggs += [F.sum(v[i] * v[j]).alias(f"q{i}_{j}") for i in range(dim) for j in range(i, dim)]
+    mom = df.groupBy(*by).agg(*aggs)
+    kk = min(k, dim)
+    schema = ", ".join([f"`{b}` {t}" for b, t in mom.select(*by).dtypes] +
+                       ["mean array<double>", "components array<array<double>>", "explained array<double>"])
+
+    def eig(it):
+        for pdf in it:
+            rows = []
+            for _, r in pdf.iterrows():
+                n = float(r["n"])
+                s = np.array([r[f"s{i}"] for i in range(dim)], dtype=float)
+                q = np.zeros((dim, dim))
+                for i in range(dim):
+                    for j in range(i, dim):
+                        q[i, j] = q[j, i] = r[f"q{i}_{j}"]
+                mu = s / n
+                cov = (q - n * np.outer(mu, mu)) / max(n - 1.0, 1.0)
+                w, vecs = np.linalg.eigh(cov)
+                order = np.argsort(w)[::-1][:kk]
+                comps = vecs[:, order].T
+                for c in comps:
+                    if c[np.argmax(np.abs(c))] < 0:
+                        c *= -1.0
+                rows.append([*(r[b] for b in by), mu.tolist(), comps.tolist(), np.maximum(w[order], 0).tolist()])
+            yield pd.DataFrame(rows, columns=[*by, "mean", "components", "explained"])
+
+    comp = mom.mapInPandas(eig, schema)
+    j = df.select(*by, id_col, v.alias("_v")).join(comp, by)
+    centred = F.zip_with("_v", "mean", lambda a, b: a - b)
+    scores = F.transform("components", lambda c: F.aggregate(F.zip_with(centred, c, lambda a, b: a * b),
+                                                             F.lit(0.0), lambda acc, x: acc + x))
+    return j.select(*by, id_col, scores.alias("scores")), comp
+
+
+# ---------------------------------------------------------------- I5, I9, I10, I13, I15
+
+def _first_rows(df, key, id_col, cap):
+    from vantage.operators.relational import head_per_group
+    return head_per_group(df, [key], [id_col], cap) if cap else df
+
+
+def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], k: int = 5, cap: int = 300,
+                       key: str = "dataset", id_col: str = "row_id", n_init: int = 10) -> DataFrame:
+    """Per (dataset, model): K-means (k = 5) on the raw features and on
+    the embeddings of the first ``cap`` rows, then Spearman and cosine of
+    the two centre-to-centre distance matrices.
+
+    Deviation: K-means labels are arbitrary, so centres are paired by their
+    first-appearance order (smallest row id) rather than by raw label.
+    """
+    from vantage.operators.vectors import center_distances, matrix_similarity
+
+    first = _first_rows(raw.select(key, id_col).join(emb.select(key, id_col).distinct(), [key, id_col], "left_semi"),
+                        key, id_col, cap)
+    rv = raw.join(first, [key, id_col], "left_semi").withColumn("_vec", F.array(*[F.col(c).cast("double") for c in raw_cols]))
+    ev = emb.join(first, [key, id_col], "left_semi")
+    _, rc, _ = kmeans(rv, [key], id_col, "_vec", k, n_init=n_init)
+    _, ec, _ = kmeans(ev, [key, "model"], id_col, "embedding", k, n_init=n_init)
+    rd = center_distances(rc, [key]).select(key, "i", "j", F.col("dist").alias("d_raw"))
+    ed = center_distances(ec, [key, "model"]).select(key, "model", "i", "j", F.col("dist").alias("d_emb"), "w")
+    return matrix_similarity(ed.join(rd, [key, "i", "j"]), [key, "model"], "d_raw", "d_emb", "w")
+
+
+def assign_clusters(samples: DataFrame, emb: DataFrame, k: int = 2, key: str = "dataset", id_col: str = "row_id",
+                    n_init: int = 10) -> DataFrame:
+    """``cluster_<model>`` label columns beside the sample rows."""
+    a, _, _ = kmeans(emb, [key, "model"], id_col, "embedding", k, n_init=n_init)
+    models = [r[0] for r in emb.select("model").distinct().orderBy("model").collect()]
+    wide = a.groupBy(key, id_col).pivot("model", models).agg(F.first("cluster"))
+    return samples.join(wide.select(key, id_col, *[F.col(m).alias(f"cluster_{m}") for m in models]), [key, id_col], "left")
+
+
+def cluster_count_summary(emb: DataFrame, kmax: int = 9, key: str = "dataset", id_col: str = "row_id",
+                          n_init: int = 10) -> DataFrame:
+    """Elbow k per (dataset, model), then mean / std of k per model."""
+    curve = elbow_curve(emb, [key, "model"], id_col, "embedding", kmax, n_init)
+    ek = elbow_k(curve, [key, "model"])
+    return ek.groupBy("model").agg(F.avg("elbow_k").alias("computed_clusters_mean"),
+                                   F.stddev_samp("elbow_k").alias("computed_clusters_std"),
+                                   F.count(F.lit(1)).alias("n"))

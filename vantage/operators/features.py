@@ -98,3 +98,113 @@ def standardize(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
         sd = F.col(f"_sd_{c}")
         out = out.withColumn(c, F.when(sd > 0, (F.col(c) - F.col(f"_mu_{c}")) / sd).otherwise(F.lit(0.0)))
     return out.drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
+
+
+def feature_matrix(df: DataFrame, by: Sequence[str], numeric: Sequence[str], categorical: dict,
+                   fit_on: Column | None = None, out: str = "features") -> DataFrame:
+    """Numeric branch (median imputation) and categorical branch (mode
+    imputation + one-hot) assembled into one ``ARRAY<DOUBLE>`` column;
+    ``<out>_names`` is not stored per row -- the names are
+    ``numeric + [f"{c}_{level}"]`` in this order."""
+    x = impute(df, by, numeric, "median", fit_on)
+    x = impute_mode(x, by, list(categorical), fit_on)
+    cols = [F.col(c).cast("double") for c in numeric]
+    for c, levels in categorical.items():
+        cols += [indicator(c, lv) for lv in levels]
+    return x.withColumn(out, F.array(*cols))
+
+
+def feature_names(numeric: Sequence[str], categorical: dict) -> list[str]:
+    return list(numeric) + [f"{c}_{lv}" for c, levels in categorical.items() for lv in levels]
+
+
+def _cell_key(vec: str, r: Column, offset=None) -> Column:
+    cells = F.transform(vec, lambda v: F.floor(v / r))
+    if offset is not None:
+        cells = F.zip_with(cells, offset, lambda a, b: a + b)
+    return F.concat_ws(",", F.transform(cells, lambda c: c.cast("string")))
+
+
+def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int, dim: int,
+               max_rounds: int = 12) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean) inside each group, without the
+    all-pairs product.
+
+    Points are hashed to grid cells of side r; a point's candidates are
+    the points of its 3^dim neighbouring cells, and its k-th nearest
+    candidate is exact whenever it lies within r (every point closer than
+    r is in a neighbouring cell).  Points not resolved in a round are
+    retried with r doubled; r starts from the group's extent and size so a
+    cell holds about k points.  Meant for the low-dimensional encoded
+    feature space SMOTE works in.  Output: ``by, id, nbr, nbr_vec, d``.
+    """
+    import itertools
+
+    by = list(by)
+    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+    ext = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
+                               *[(F.max(F.col("_v")[i]) - F.min(F.col("_v")[i])).alias(f"_e{i}") for i in range(dim)])
+    span = F.greatest(*[F.col(f"_e{i}") for i in range(dim)], F.lit(1e-9)) if dim > 1 else F.greatest(F.col("_e0"), F.lit(1e-9))
+    r0 = span / F.pow(F.greatest(F.col("_n") / float(max(k, 1)), F.lit(1.0)), 1.0 / dim)
+    pts = pts.join(ext.select(*by, "_n", r0.alias("_r")), by)
+    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=dim)])
+    todo = pts
+    done = None
+    for rnd in range(max_rounds):
+        data = todo.select(*by, "_r").distinct().join(pts.drop("_r"), by)
+        data = data.select(*by, "_r", F.col("_id").alias("nbr"), F.col("_v").alias("nbr_vec"),
+                           _cell_key("_v", F.col("_r")).alias("_cell"))
+        q = todo.select(*by, "_id", "_v", "_r", "_n", F.explode(offsets).alias("_off"))
+        q = q.select(*by, "_id", "_v", "_r", "_n", _cell_key("_v", F.col("_r"), F.col("_off")).alias("_cell"))
+        cand = q.join(data, [*by, "_r", "_cell"]).where(F.col("nbr") != F.col("_id"))
+        diff = F.zip_with("_v", "nbr_vec", lambda a, b: (a - b) * (a - b))
+        cand = cand.withColumn("d", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x))).where(F.col("d") <= F.col("_r"))
+        w = Window.partitionBy(*by, "_id").orderBy("d", "nbr")
+        top = cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+        need = F.least(F.lit(k), F.col("_n") - 1)
+        cnt = top.groupBy(*by, "_id", "_n").agg(F.count(F.lit(1)).alias("_c"))
+        ok = cnt.where(F.col("_c") >= need).select(*by, "_id")
+        res = top.join(ok, [*by, "_id"], "left_semi").select(*by, F.col("_id").alias(id_col), "nbr", "nbr_vec", "d")
+        done = res if done is None else done.unionByName(res)
+        todo = todo.join(ok, [*by, "_id"], "left_anti").where(F.col("_n") > 1)
+        todo = todo.withColumn("_r", F.col("_r") * 2.0).checkpoint()
+        if todo.isEmpty():
+            break
+    return done
+
+
+def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k: int = 5,
+          seed: int = 42) -> DataFrame:
+    """SMOTE -- every class of a group is oversampled to the majority size.
+
+    Neighbours are the exact ``min(k, n_class - 1)`` nearest members of the
+    same class (``knn_within``).  Synthetic rows go round-robin over the
+    class members (ordered by a hash); each picks one neighbour and a gap
+    in [0, 1) from a hash of (id, copy, seed):  x + gap * (neighbour - x).
+    Output: ``by, label, id, vec, synthetic`` (originals + new rows).
+    """
+    from vantage.session import checkpoint_dir
+
+    by = list(by)
+    checkpoint_dir(df.sparkSession)
+    dim = len(df.select(vec).first()[0])
+    base = df.select(*by, label, id_col, F.col(vec).cast("array<double>").alias(vec))
+    sizes = base.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
+    wmax = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    sizes = sizes.withColumn("_need", F.max("_nc").over(wmax) - F.col("_nc"))
+    nn = knn_within(base, [*by, label], id_col, vec, k, dim)
+    nbrs = nn.groupBy(*by, label, id_col).agg(F.array_sort(F.collect_list(F.struct("d", "nbr", "nbr_vec"))).alias("_nb"))
+    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    wr = Window.partitionBy(*by, label).orderBy(h, id_col)
+    m = base.join(sizes, [*by, label]).where(F.col("_need") > 0).withColumn("_rk", F.row_number().over(wr) - 1)
+    copies = (F.floor(F.col("_need") / F.col("_nc")) + F.when(F.col("_rk") < F.col("_need") % F.col("_nc"), 1).otherwise(0))
+    m = m.withColumn("_copies", copies.cast("int")).where(F.col("_copies") > 0)
+    m = m.join(nbrs, [*by, label, id_col]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    hh = F.xxhash64(F.col(id_col), F.col("_copy"), F.lit(seed))
+    pick = (F.abs(hh) % F.size("_nb")).cast("int")
+    gap = (F.abs(F.xxhash64(F.col(id_col), F.col("_copy"), F.lit(seed + 1))) % 1000003) / 1000003.0
+    nv = F.element_at("_nb", pick + 1)["nbr_vec"]
+    new = m.select(*by, label, F.concat_ws("#", F.col(id_col).cast("string"), F.col("_copy").cast("string")).alias(id_col),
+                   F.zip_with(vec, nv, lambda a, b: a + gap * (b - a)).alias(vec), F.lit(True).alias("synthetic"))
+    orig = base.select(*by, label, F.col(id_col).cast("string").alias(id_col), vec, F.lit(False).alias("synthetic"))
+    return orig.unionByName(new)

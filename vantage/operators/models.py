@@ -118,3 +118,112 @@ def best_by(df: DataFrame, by: Sequence[str], metric: str, order_col: str, highe
     cols = [c for c in df.columns if c not in by]
     best = df.where(m.isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*cols), key).alias("_b"))
     return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
+
+
+def auc(pred: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
+    """K11 (binary): ROC AUC per group from average ranks,
+    (R+ - n+(n+ + 1)/2) / (n+ n-).  Ties count one half.  NULL when a
+    group has only one class."""
+    from vantage.operators.stats import avg_rank
+
+    src = pred.select(*by, F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
+    r = avg_rank(src.where(F.col("_s").isNotNull()), by, "_s", "_r")
+    g = r.groupBy(*by).agg(F.sum(F.when(F.col("_y") == 1, F.col("_r")).otherwise(0.0)).alias("_rp"),
+                           F.count(F.when(F.col("_y") == 1, 1)).alias("n_pos"),
+                           F.count(F.when(F.col("_y") != 1, 1)).alias("n_neg"))
+    np_, nn = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    a = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("_rp") - np_ * (np_ + 1) / 2.0) / (np_ * nn))
+    return g.select(*by, "n_pos", "n_neg", a.alias("auc"))
+
+
+def auc_ovr(pred: DataFrame, by: Sequence[str], label: str, probs: str) -> DataFrame:
+    """K11 (multi-class): one-vs-rest macro AUC.  ``probs`` is an array
+    column of class probabilities indexed by the integer label."""
+    ex = pred.select(*by, F.col(label).cast("int").alias("_y"), F.posexplode(probs).alias("_c", "_p"))
+    ex = ex.withColumn("_pos", (F.col("_y") == F.col("_c")).cast("int"))
+    per = auc(ex, [*by, "_c"], "_pos", "_p")
+    return per.groupBy(*by).agg(F.when(F.count(F.col("auc")) == F.count(F.lit(1)), F.avg("auc")).alias("auc"))
+
+
+def linear_attribution(df: DataFrame, coef: DataFrame, by: Sequence[str], xs: Sequence[str],
+                       prefix: str = "b_") -> DataFrame:
+    """K12 (linear): mean |beta_j (x_j - mean x_j)| per feature and group,
+    long form ``by, feature, importance``."""
+    by = list(by)
+    means = df.groupBy(*by).agg(*[F.avg(x).alias(f"_m_{x}") for x in xs])
+    j = df.join(coef, by).join(means, by)
+    att = j.groupBy(*by).agg(*[F.avg(F.abs(F.col(prefix + x) * (F.col(x) - F.col(f"_m_{x}")))).alias(x) for x in xs])
+    return att.unpivot(by, list(xs), "feature", "importance")
+
+
+def top_features(att: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
+    """The ``k`` most important features per group, as text."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*by).orderBy(F.col("importance").desc(), "feature")
+    top = att.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("_rn", "feature")))
+    return top.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda s: s["feature"]), ", ").alias("top_features"))
+
+
+def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: int = 50) -> DataFrame:
+    """Least-squares fit of y = a / (x + b) by Gauss-Newton, start a = b = 1.
+
+    Each iteration is one grouped aggregate of the 2 x 2 normal equations
+    (J'J, J'r) followed by the closed-form 2 x 2 solve on the parameter
+    rows; the parameters stay a tiny DataFrame and are checkpointed to the
+    session's shared checkpoint folder so lineage stays short.
+    """
+    from vantage.session import checkpoint_dir
+
+    by = list(by)
+    checkpoint_dir(df.sparkSession)
+    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    params = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
+        *by, F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
+    for i in range(iters):
+        j = data.join(params, by) if by else data.crossJoin(params)
+        den = F.col("_x") + F.col("b")
+        f = F.col("a") / den
+        ja, jb = 1.0 / den, -F.col("a") / (den * den)
+        r = F.col("_y") - f
+        g = j.groupBy(*by, "a", "b").agg(
+            F.sum(ja * ja).alias("aa"), F.sum(ja * jb).alias("ab"), F.sum(jb * jb).alias("bb"),
+            F.sum(ja * r).alias("ar"), F.sum(jb * r).alias("br"))
+        det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+        da = F.try_divide(F.col("bb") * F.col("ar") - F.col("ab") * F.col("br"), det)
+        db = F.try_divide(F.col("aa") * F.col("br") - F.col("ab") * F.col("ar"), det)
+        params = g.select(*by, (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("a"),
+                          (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("b"))
+        if i % 5 == 4:
+            params = params.checkpoint()
+    return params
+
+
+def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str, task: str = "regression",
+               seed: int = 42):
+    """K3-K7: one MLlib model over all training rows (dataset indicators can
+    be among ``features``).  Returns the fitted pipeline model.
+
+    ``kind``: 'rf' (100 trees), 'gbt' (100 rounds, depth 3, step 0.1 --
+    the scikit-learn defaults), 'logreg' (500 iterations, L2 = 1/n as
+    scikit-learn's C = 1).  Multi-class GBT goes through OneVsRest.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml import classification as C
+    from pyspark.ml import regression as Rg
+    from pyspark.ml.feature import VectorAssembler
+
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    if task == "regression":
+        est = {"rf": Rg.RandomForestRegressor(numTrees=100, seed=seed, labelCol=label),
+               "gbt": Rg.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, labelCol=label),
+               "linear": Rg.LinearRegression(labelCol=label)}[kind]
+    else:
+        n = train.count()
+        est = {"rf": C.RandomForestClassifier(numTrees=100, seed=seed, labelCol=label),
+               "gbt": C.OneVsRest(classifier=C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
+                                  labelCol=label),
+               "logreg": C.LogisticRegression(maxIter=500, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                                              standardization=False, family="auto", labelCol=label)}[kind]
+    return Pipeline(stages=[va, est]).fit(train)

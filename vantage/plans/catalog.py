@@ -17,6 +17,7 @@ from vantage.plans.reports import round_doubles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_PENDING: dict[str, object] = {}
 
 
 def register(name: str, oracle: str | Callable[[], str] | None = None):
@@ -27,11 +28,15 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLE[name] = oracle() if callable(oracle) else oracle
+            _PENDING[name] = oracle
         return fn
     return deco
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from vantage.plans import queries, queries_agg, queries_base, queries_stats  # noqa: F401
+    from vantage.plans import queries, queries_agg, queries_base, queries_ml, queries_stats  # noqa: F401
+
+    for name, o in list(_PENDING.items()):
+        ORACLE[name] = o() if callable(o) else o
+        del _PENDING[name]

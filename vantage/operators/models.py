@@ -166,38 +166,53 @@ def top_features(att: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
     return top.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda s: s["feature"]), ", ").alias("top_features"))
 
 
-def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: int = 50) -> DataFrame:
-    """Least-squares fit of y = a / (x + b) by Gauss-Newton, start a = b = 1.
-
-    Each iteration is one grouped aggregate of the 2 x 2 normal equations
-    (J'J, J'r) followed by the closed-form 2 x 2 solve on the parameter
-    rows; the parameters stay a tiny DataFrame and are checkpointed to the
-    session's shared checkpoint folder so lineage stays short.
+def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: int = 60) -> DataFrame:
+    """Least-squares fit of y = a / (x + b), start a = b = 1, by
+    Levenberg-Marquardt (the damped Gauss-Newton of ``curve_fit``).
+
+    Each iteration is one grouped aggregate at the candidate parameters:
+    SSE, J'J and J'r.  A candidate that lowers the SSE becomes the best
+    point (damping / 10), otherwise the damping grows x 10; the next
+    candidate solves (J'J + lam diag(J'J)) d = J'r at the best point.  The
+    parameter table (one row per group) is checkpointed to the session's
+    shared folder every few iterations.
     """
     from vantage.session import checkpoint_dir
 
     by = list(by)
     checkpoint_dir(df.sparkSession)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    params = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
-        *by, F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
+    keys = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    big = F.lit(float("inf"))
+    st = keys.select(*by, F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(1e-3).alias("lam"),
+                     big.alias("best_sse"), F.lit(1.0).alias("best_a"), F.lit(1.0).alias("best_b"),
+                     *[F.lit(0.0).alias(c) for c in ["baa", "bab", "bbb", "bar", "bbr"]])
     for i in range(iters):
-        j = data.join(params, by) if by else data.crossJoin(params)
+        j = data.join(st, by) if by else data.crossJoin(st)
         den = F.col("_x") + F.col("b")
-        f = F.col("a") / den
         ja, jb = 1.0 / den, -F.col("a") / (den * den)
-        r = F.col("_y") - f
-        g = j.groupBy(*by, "a", "b").agg(
-            F.sum(ja * ja).alias("aa"), F.sum(ja * jb).alias("ab"), F.sum(jb * jb).alias("bb"),
-            F.sum(ja * r).alias("ar"), F.sum(jb * r).alias("br"))
-        det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-        da = F.try_divide(F.col("bb") * F.col("ar") - F.col("ab") * F.col("br"), det)
-        db = F.try_divide(F.col("aa") * F.col("br") - F.col("ab") * F.col("ar"), det)
-        params = g.select(*by, (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("a"),
-                          (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("b"))
+        r = F.col("_y") - F.col("a") / den
+        state_cols = ["a", "b", "lam", "best_sse", "best_a", "best_b", "baa", "bab", "bbb", "bar", "bbr"]
+        g = j.groupBy(*by, *state_cols).agg(
+            F.sum(r * r).alias("sse"), F.sum(ja * ja).alias("aa"), F.sum(ja * jb).alias("ab"),
+            F.sum(jb * jb).alias("bb"), F.sum(ja * r).alias("ar"), F.sum(jb * r).alias("br"))
+        better = F.col("sse").isNotNull() & ~F.isnan("sse") & (F.col("sse") < F.col("best_sse"))
+        pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
+        g = g.select(*by, pick("a", "best_a").alias("best_a"), pick("b", "best_b").alias("best_b"),
+                     pick("sse", "best_sse").alias("best_sse"), pick("aa", "baa").alias("baa"),
+                     pick("ab", "bab").alias("bab"), pick("bb", "bbb").alias("bbb"), pick("ar", "bar").alias("bar"),
+                     pick("br", "bbr").alias("bbr"),
+                     F.when(better, F.col("lam") / 10.0).otherwise(F.col("lam") * 10.0).alias("lam"))
+        m11 = F.col("baa") * (1.0 + F.col("lam"))
+        m22 = F.col("bbb") * (1.0 + F.col("lam"))
+        det = m11 * m22 - F.col("bab") * F.col("bab")
+        da = F.coalesce(F.try_divide(m22 * F.col("bar") - F.col("bab") * F.col("bbr"), det), F.lit(0.0))
+        db = F.coalesce(F.try_divide(m11 * F.col("bbr") - F.col("bab") * F.col("bar"), det), F.lit(0.0))
+        st = g.select(*by, (F.col("best_a") + da).alias("a"), (F.col("best_b") + db).alias("b"), "lam", "best_sse",
+                      "best_a", "best_b", "baa", "bab", "bbb", "bar", "bbr")
         if i % 5 == 4:
-            params = params.checkpoint()
-    return params
+            st = st.checkpoint()
+    return st.select(*by, F.col("best_a").alias("a"), F.col("best_b").alias("b"), F.col("best_sse").alias("sse"))
 
 
 def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str, task: str = "regression",

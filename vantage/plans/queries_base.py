@@ -59,7 +59,7 @@ def a1_scan_keyed(spark, d):
 
 
 @register("a2_parse_artifact_name", lambda: base("samples").sql("""
-SELECT DISTINCT dataset, CAST(regexp_extract(dataset, '^data_([0-9]+)_', 1) AS BIGINT) AS seed,
+SELECT DISTINCT dataset, TRY_CAST(regexp_extract(dataset, '^data_([0-9]+)_', 1) AS BIGINT) AS seed,
        string_split(dataset, '_')[-1] AS equation FROM samples"""))
 def a2_parse_artifact_name(spark, d):
     """A2: seed and equation parsed from dataset names."""

@@ -48,7 +48,7 @@ def scan_keyed(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
 
 def parse_artifact_name(col: Column) -> list[Column]:
     """A2: ``data_{seed}_{equation}`` -> ``seed`` (BIGINT) and ``equation``."""
-    return [F.regexp_extract(col, r"^data_([0-9]+)_", 1).cast("bigint").alias("seed"),
+    return [F.regexp_extract(col, r"^data_([0-9]+)_", 1).try_cast("bigint").alias("seed"),
             F.element_at(F.split(col, "_"), -1).alias("equation")]
 
 

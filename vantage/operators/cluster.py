@@ -93,7 +93,9 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     checkpoint_dir(df.sparkSession)
     kcol = F.col(k) if isinstance(k, str) else F.lit(int(k))
     pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
-    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    # loop-invariant input: materialised once (recomputable from lineage if
+    # an executor is lost), not re-read from the source every iteration
+    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))).persist()
     gk = [*by, "_run"]
     h = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed)), F.col("_run").cast("string")))
     w = Window.partitionBy(*gk).orderBy(h, "_id")
@@ -108,16 +110,28 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
                                                                 c["_cid"].alias("cid"))))
         return j.select(*gk, "_id", "_v", best["cid"].alias("_cid"), best["d"].alias("_d"))
 
-    for _ in range(max_iter):
+    import os
+    import time
+    debug = os.environ.get("VANTAGE_DEBUG")
+    prev = None
+    for it in range(max_iter):
+        t0 = time.time()
         a = assign(centers)
         new = (a.groupBy(*gk, "_cid").agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
                 .select(*gk, "_cid", vector_to_array("_m").alias("_c")))
         # empty clusters keep their old centre
         new = (centers.join(new.withColumnRenamed("_c", "_n"), [*gk, "_cid"], "left")
                       .select(*gk, "_cid", F.coalesce("_n", "_c").alias("_c"), F.sqrt(_dist2(F.col("_c"), F.coalesce("_n", "_c"))).alias("_shift")))
-        new = new.checkpoint()
+        # cut lineage in the shared checkpoint folder every few iterations;
+        # in between the (tiny) centre table is only persisted
+        new = new.checkpoint() if it % 4 == 3 else new.persist()
         moved = new.agg(F.max("_shift")).first()[0]
+        if prev is not None:
+            prev.unpersist()
+        prev = new if it % 4 != 3 else None
         centers = new.drop("_shift")
+        if debug:
+            print(f"kmeans iter {it} moved={moved} {time.time() - t0:.2f}s", flush=True)
         if moved is None or moved <= tol:
             break
     a = assign(centers)
@@ -132,6 +146,9 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     assign_out = a.join(relabel, [*by, "_cid"]).select(*by, F.col("_id").alias(id_col), "cluster", F.col("_d").alias("dist2"))
     cent = (centers.join(best.select(*gk), gk, "left_semi").join(relabel, [*by, "_cid"])
                    .select(*by, "cluster", F.col("_c").alias("center")))
+    # the cached input is released; the returned plans start from the last
+    # centre table and recompute the (cheap) point scan when used
+    runs.unpersist()
     return assign_out, cent, best.select(*by, "inertia")
 
 

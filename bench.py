@@ -25,8 +25,9 @@ HEADLINE = [
     "e10_box_stats",
     "l9_breusch_pagan",
     "i12_distance_similarity",
-    "i9_cluster_similarity",
     "k11_auc",
+    "e3_summarize_ci",
+    "l7_wilcoxon",
 ]
 
 

@@ -65,7 +65,7 @@ def _dist2(v, c):
 
 
 def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 50,
-           tol: float = 1e-6, seed: int = 42):
+           tol: float = 1e-4, seed: int = 42):
     """Lloyd's K-means for every group at once.
 
     ``k`` is an int or the name of a per-group column (then it must be in
@@ -77,8 +77,11 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     (group, restart) travel as one array row, every point picks its
     nearest centre JVM-side, and ``Summarizer.mean`` by (group, restart,
     cluster) gives the new centres -- one join and one aggregate.  The
-    centre table is checkpointed to the shared checkpoint folder each
-    iteration; iterations stop when no centre moves more than ``tol``.
+    centre table is checkpointed to the shared checkpoint folder every few
+    iterations.  A (group, restart) has converged when the squared
+    Frobenius norm of its centre shift is at most ``tol`` times the mean
+    feature variance of the group (scikit-learn's rule); iterations stop
+    when every run has converged.
 
     Returns ``(assign, centers, cost)``: labels per row (renumbered by
     first appearance in ``id`` order), centres per (group, cluster), and
@@ -102,6 +105,12 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     centers = (runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kcol)
                    .select(*gk, (F.col("_rn") - 1).alias("_cid"), F.col("_v").alias("_c")))
     centers = centers.checkpoint()
+    from pyspark.ml.functions import array_to_vector as _a2v
+    from pyspark.ml.functions import vector_to_array as _v2a
+    var = pts.groupBy(*by).agg(Summarizer.variance(_a2v("_v")).alias("_var")) if by else \
+        pts.groupBy().agg(Summarizer.variance(_a2v("_v")).alias("_var"))
+    var = var.select(*by, (F.aggregate(_v2a("_var"), F.lit(0.0), lambda a, x: a + x) / F.size(_v2a("_var")) * tol)
+                     .alias("_tol")).checkpoint()
 
     def assign(cs):
         packed = cs.groupBy(*gk).agg(F.collect_list(F.struct("_cid", "_c")).alias("_cs"))
@@ -121,18 +130,20 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
                 .select(*gk, "_cid", vector_to_array("_m").alias("_c")))
         # empty clusters keep their old centre
         new = (centers.join(new.withColumnRenamed("_c", "_n"), [*gk, "_cid"], "left")
-                      .select(*gk, "_cid", F.coalesce("_n", "_c").alias("_c"), F.sqrt(_dist2(F.col("_c"), F.coalesce("_n", "_c"))).alias("_shift")))
+                      .select(*gk, "_cid", F.coalesce("_n", "_c").alias("_c"), _dist2(F.col("_c"), F.coalesce("_n", "_c")).alias("_shift")))
         # cut lineage in the shared checkpoint folder every few iterations;
         # in between the (tiny) centre table is only persisted
         new = new.checkpoint() if it % 4 == 3 else new.persist()
-        moved = new.agg(F.max("_shift")).first()[0]
+        per_run = new.groupBy(*gk).agg(F.sum("_shift").alias("_s2"))
+        per_run = per_run.join(var, by) if by else per_run.crossJoin(var)
+        moved = per_run.agg(F.count(F.when(F.col("_s2") > F.col("_tol"), 1))).first()[0]
         if prev is not None:
             prev.unpersist()
         prev = new if it % 4 != 3 else None
         centers = new.drop("_shift")
         if debug:
             print(f"kmeans iter {it} moved={moved} {time.time() - t0:.2f}s", flush=True)
-        if moved is None or moved <= tol:
+        if not moved:
             break
     a = assign(centers)
     cost = a.groupBy(*gk).agg(F.sum("_d").alias("inertia"))

@@ -47,7 +47,7 @@ FROM g3""")
 @register("m14_segmented_mae", _m14_sql)
 def m14_segmented_mae(spark, sf_dir):
     """Paired MAE (R2 > 0.2 on both sides), better vs not-better segment."""
-    return R.segmented_mae(R.regression_pairs(spark, sf_dir))
+    return R.segmented_mae(R.regression_pairs_wide(spark, sf_dir))
 
 
 def _v4_sql() -> str:

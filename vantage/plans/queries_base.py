@@ -38,8 +38,7 @@ def base(*views: str) -> D.CTE:
 
 
 def wide_pairs(spark, d):
-    p = R.regression_pairs(spark, d)
-    return R.side(p, "unassisted", "unassisted").join(R.side(p, "assisted", "assisted"), "dataset")
+    return R.regression_pairs_wide(spark, d).drop("n")
 
 
 WIDE_PAIRS_SQL = """
@@ -395,6 +394,7 @@ def d1_merge_results(spark, d):
     p = R.regression_pairs(spark, d)
     un = p.where(F.col("model") == "unassisted").select("dataset", "r2")
     asd = p.where(F.col("model") == "assisted").select("dataset", "r2")
+    # D1 as written by the reference: two result tables joined on the key
     return RL.merge_results(un, asd, ["dataset"], ("_unassisted", "_assisted"))
 
 

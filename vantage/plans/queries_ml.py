@@ -412,10 +412,14 @@ def _k8_frame(spark, d):
     s = R.design(V.samples(spark, d))
     mom = K.cross_moments(s, ["dataset"], "x3", R.ASSISTED, where=~F.col("is_test"))
     idx = {"x1": 1, "cat1_B": 2, "x2": 3, "cat2_Y": 4}
-    coef = None
+    # all designs are solved in one projection chain over the same moments row
+    moment_cols = [c for c in mom.columns if c.startswith(("s_", "sy_"))]
+    coef, kept = mom, []
     for name, feats in LINEAR_FAMILY.items():
-        c = K.solve_moments(mom, ["dataset"], [0, *[idx[f] for f in feats]], feats, f"{name}_").drop("n")
-        coef = c if coef is None else coef.join(c, "dataset")
+        coef = K.solve_moments(coef, ["dataset"], [0, *[idx[f] for f in feats]], feats, f"{name}_",
+                               keep=[*moment_cols, *kept])
+        kept += [f"{name}_{c}" for c in ["intercept", *feats]]
+    coef = coef.select("dataset", *kept)
     test = s.where(F.col("is_test")).join(coef, "dataset")
     pred = test.select("dataset", F.col("x3").alias("y"),
                        *[K.linear_prediction(f"{n}_", f).alias(f"yhat_{n}") for n, f in LINEAR_FAMILY.items()])

@@ -27,26 +27,52 @@ def design(df: DataFrame) -> DataFrame:
                      J.split_flag(F.col("row_key")).alias("is_test"))
 
 
-def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: test-set ``n, r2, rmse, mae`` of the unassisted ({x1, cat1}) and
-    assisted ({x1, cat1, x2, cat2}) linear models, per dataset.
+def regression_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4, wide: per dataset the test-set ``n`` and ``r2/rmse/mae`` of the
+    unassisted ({x1, cat1}) and assisted ({x1, cat1, x2, cat2}) linear models.
 
     One aggregate builds the training normal equations of the larger
-    design; the smaller one is its sub-matrix.  The coefficient row of
-    each dataset is joined to its test rows once, and both models' errors
-    come out of one more aggregate.
+    design; the smaller one is its sub-matrix and is solved in the same
+    projection chain (no join).  The one coefficient row of each dataset is
+    joined to its test rows once and both models' errors come out of one
+    more aggregate: two scans of the sample table in total.
     """
     s = design(V.samples(spark, sf_dir))
     mom = K.cross_moments(s, ["dataset"], "x3", ASSISTED, where=~F.col("is_test"))
-    ca = K.solve_moments(mom, ["dataset"], [0, 1, 2, 3, 4], ASSISTED, "a_")
-    cu = K.solve_moments(mom, ["dataset"], [0, 1, 2], UNASSISTED, "u_").drop("n")
-    coef = ca.drop("n").join(cu, "dataset")
+    sub = ["s_0_0", "s_0_1", "s_0_2", "s_1_1", "s_1_2", "s_2_2", "sy_0", "sy_1", "sy_2"]
+    ca = K.solve_moments(mom, ["dataset"], [0, 1, 2, 3, 4], ASSISTED, "a_", keep=sub)
+    coef = K.solve_moments(ca, ["dataset"], [0, 1, 2], UNASSISTED, "u_",
+                           keep=[f"a_{c}" for c in ["intercept", *ASSISTED]]).drop("n")
     test = s.where(F.col("is_test")).select("dataset", "x3", *ASSISTED)
     pred = test.join(coef, "dataset").select(
         "dataset", F.col("x3").alias("y"),
         K.linear_prediction("u_", UNASSISTED).alias("yhat_u"),
         K.linear_prediction("a_", ASSISTED).alias("yhat_a"))
-    return regression_metrics_multi(pred, ["dataset"], "y", {"unassisted": "yhat_u", "assisted": "yhat_a"})
+    return regression_metrics_wide(pred, ["dataset"], "y", {"unassisted": "yhat_u", "assisted": "yhat_a"})
+
+
+def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4, long: ``dataset, model, n, r2, rmse, mae`` (one row per model)."""
+    w = regression_pairs_wide(spark, sf_dir)
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"{c}_{m}").alias(c) for c in ("r2", "rmse", "mae")])
+                     for m in ("unassisted", "assisted")])
+    return w.select("dataset", "n", F.inline(rows))
+
+
+def regression_metrics_wide(pred: DataFrame, by: Sequence[str], y: str, models: dict[str, str]) -> DataFrame:
+    """K10 for several prediction columns in one aggregate; wide output
+    ``by, n, r2_<m>, rmse_<m>, mae_<m>``."""
+    yv = F.col(y)
+    aggs = [F.count(F.lit(1)).alias("n"), (F.var_pop(yv) * F.count(F.lit(1))).alias("_sst")]
+    for m, c in models.items():
+        e = yv - F.col(c)
+        aggs += [F.sum(e * e).alias(f"_sse_{m}"), F.avg(F.abs(e)).alias(f"mae_{m}")]
+    g = pred.groupBy(*by).agg(*aggs)
+    out = [*by, "n"]
+    for m in models:
+        out += [(F.lit(1.0) - F.try_divide(F.col(f"_sse_{m}"), F.col("_sst"))).alias(f"r2_{m}"),
+                F.sqrt(F.col(f"_sse_{m}") / F.col("n")).alias(f"rmse_{m}"), f"mae_{m}"]
+    return g.select(*out)
 
 
 def regression_metrics_multi(pred: DataFrame, by: Sequence[str], y: str, models: dict[str, str]) -> DataFrame:
@@ -94,12 +120,11 @@ def side(pairs: DataFrame, model: str, suffix: str, cols: Sequence[str] = ("r2",
     return pairs.where(F.col("model") == model).select("dataset", *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
 
 
-def segmented_mae(pairs: DataFrame, r2_min: float = 0.2) -> DataFrame:
+def segmented_mae(wide_pairs: DataFrame, r2_min: float = 0.2) -> DataFrame:
     """MAE of unassisted vs assisted, datasets with R2 > ``r2_min`` on
     both sides, split by whether the assisted model has the lower MAE."""
-    un = side(pairs, "unassisted", "unassisted").where(F.col("r2_unassisted") > r2_min)
-    asd = side(pairs, "assisted", "assisted").where(F.col("r2_assisted") > r2_min)
-    j = un.join(asd, "dataset").withColumn("llm_better", F.col("mae_assisted") < F.col("mae_unassisted"))
+    j = wide_pairs.where((F.col("r2_unassisted") > r2_min) & (F.col("r2_assisted") > r2_min))
+    j = j.withColumn("llm_better", F.col("mae_assisted") < F.col("mae_unassisted"))
     return paired_summary(j, ["llm_better"], "mae_unassisted", "mae_assisted", names=("unassisted", "assisted"))
 
 
@@ -134,4 +159,5 @@ def auc_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def wide(pairs: DataFrame) -> DataFrame:
+    """Long pairs -> wide (prefer ``regression_pairs_wide``, which needs no join)."""
     return side(pairs, "unassisted", "unassisted").join(side(pairs, "assisted", "assisted"), "dataset")

@@ -25,7 +25,7 @@ def bin_inertia_curve(df: DataFrame, by: Sequence[str], x: str, y: str, kmax: in
     j = j.withColumn("b", F.least(F.floor(frac * F.col("k")), F.col("k") - 1))
     yv = F.col(y)
     ss = j.groupBy(*by, "k", "b").agg((F.var_pop(yv) * F.count(F.lit(1))).alias("ss"))
-    return ss.groupBy(*by, "k").agg(F.sum("ss").alias("inertia"))
+    return ss.groupBy(*by, F.col("k").cast("bigint").alias("k")).agg(F.sum("ss").alias("inertia"))
 
 
 def elbow_k(curve: DataFrame, by: Sequence[str], k: str = "k", inertia: str = "inertia",
@@ -44,7 +44,7 @@ def elbow_k(curve: DataFrame, by: Sequence[str], k: str = "k", inertia: str = "i
     g = c.groupBy(*by).agg(
         F.min_by(F.col(k), F.when(F.col("_d2").isNotNull(), F.struct(key.alias("d"), F.col(k).alias("k")))).alias("_k0"),
         F.count(F.col("_d2")).alias("_nd"))
-    return g.select(*by, F.when(F.col("_nd") > 0, F.col("_k0") + 1).otherwise(F.lit(1)).alias("elbow_k"))
+    return g.select(*by, F.when(F.col("_nd") > 0, F.col("_k0") + 1).otherwise(F.lit(1)).cast("bigint").alias("elbow_k"))
 
 
 def choose_k(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: int = 2, hi: int = 10,

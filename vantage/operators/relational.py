@@ -198,7 +198,7 @@ def leaderboard(df: DataFrame, metric: str, by: Sequence[str] = (), out: str = "
     """rank by ``metric`` descending (ties share the position).  Meant for
     aggregated rows (one per model)."""
     w = Window.partitionBy(*by).orderBy(F.col(metric).desc()) if by else Window.orderBy(F.col(metric).desc())
-    return df.withColumn(out, F.rank().over(w))
+    return df.withColumn(out, F.rank().over(w).cast("bigint"))
 
 
 # ---------------------------------------------------------------- G: sort / top-k
@@ -209,7 +209,9 @@ def top_k(df: DataFrame, metric: str, k: int, by: Sequence[str] = (), tiebreak:
     if not by:
         return df.orderBy(*order).limit(k)
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # filter on the bare row_number so Catalyst infers a WindowGroupLimit
+    top = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def preview(df: DataFrame, n_datasets: int = 3, key: str = "dataset") -> DataFrame:

@@ -245,7 +245,7 @@ def g1_sorted_summary(spark, d):
     g = ST.summarize(scored(spark, d), ["function_type", "model"], ["distance_correlation"], ["mean"])
     g = g.withColumnRenamed("distance_correlation_mean", "mean")
     w = Window.partitionBy("function_type").orderBy(F.col("mean").desc(), "model")
-    return g.withColumn("position", F.row_number().over(w)).orderBy("function_type", "position")
+    return g.withColumn("position", F.row_number().over(w).cast("bigint")).orderBy("function_type", "position")
 
 
 @register("g2_top3", lambda: base("scores").sql(f"""

@@ -40,8 +40,8 @@ def dist_pairs_sql(src: str, by: str, vec_a: str, vec_b: str) -> str:
     return f"""
 SELECT {sel}, a.row_id AS i, b.row_id AS j,
        sqrt(list_sum(list_transform(list_zip({vec_a}, {vec_b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist,
-       2.0 AS w FROM {src} a JOIN {src} b ON {on} AND a.row_id < b.row_id
-UNION ALL SELECT {by}, row_id, row_id, 0.0, 1.0 FROM {src}"""
+       2.0::DOUBLE AS w FROM {src} a JOIN {src} b ON {on} AND a.row_id < b.row_id
+UNION ALL SELECT {by}, row_id, row_id, 0.0::DOUBLE, 1.0::DOUBLE FROM {src}"""
 
 
 def matrix_similarity_sql(q: D.CTE, src: str, by: str, a: str, b: str, w: str, tag: str) -> str:
@@ -304,8 +304,8 @@ def j2_impute_mode(spark, d):
 
 
 @register("j3_one_hot", lambda: base("samples").sql("""
-SELECT dataset, sum(CASE WHEN cat1 = 'A' THEN 1.0 ELSE 0.0 END) AS cat1_A, sum(CASE WHEN cat1 = 'B' THEN 1.0 ELSE 0.0 END) AS cat1_B,
-       sum(CASE WHEN cat2 = 'X' THEN 1.0 ELSE 0.0 END) AS cat2_X, sum(CASE WHEN cat2 = 'Y' THEN 1.0 ELSE 0.0 END) AS cat2_Y
+SELECT dataset, sum(CASE WHEN cat1 = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cat1_A, sum(CASE WHEN cat1 = 'B' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cat1_B,
+       sum(CASE WHEN cat2 = 'X' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cat2_X, sum(CASE WHEN cat2 = 'Y' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cat2_Y
 FROM samples GROUP BY dataset"""))
 def j3_one_hot(spark, d):
     """One-hot indicators (unseen / NULL -> all zeros)."""

@@ -137,7 +137,7 @@ def _l6_sql():
     q.add("h4", f"SELECT *, {t} AS t_stat, {dof} AS dof FROM h3")
     p = f"CASE WHEN t_stat IS NOT NULL AND dof >= 1 THEN {D.t_sf2('t_stat', 'dof')} END"
     q.add("h5", f"SELECT *, {p} AS p_value FROM h4")
-    return q.sql(f"""SELECT function_type, model, n, {r6('m')} AS mean, rn AS n_rest, {r6('rm')} AS mean_rest,
+    return q.sql(f"""SELECT function_type, model, n, {r6('m')} AS mean, CAST(rn AS BIGINT) AS n_rest, {r6('rm')} AS mean_rest,
        {r6('t_stat')} AS t_stat, {r6('dof')} AS dof, {r6('p_value')} AS p_value,
        coalesce(p_value < 0.05, false) AS significant FROM h5""")
 
@@ -224,7 +224,7 @@ def m1_similarity_report(spark, d):
     g = g.select("function_type", "model", F.col("distance_correlation_mean").alias("mean"),
                  F.col("distance_correlation_sem").alias("sem"))
     w = Window.partitionBy("function_type").orderBy(F.col("mean").desc(), "model")
-    return g.select("*", B.mean_pm("mean", "sem").alias("summary"), F.row_number().over(w).alias("position"))
+    return g.select("*", B.mean_pm("mean", "sem").alias("summary"), F.row_number().over(w).cast("bigint").alias("position"))
 
 
 @register("m2_similarity_ci", lambda: base("scores").sql(f"""
@@ -442,7 +442,7 @@ def m12_paired_r2(spark, d):
 
 def _m13_sql():
     q = base("pairs")
-    q.add("w", f"SELECT t.thr, x.* FROM ({WIDE_PAIRS_SQL}) x, (SELECT unnest([0.2, 0.6]) AS thr) t "
+    q.add("w", f"SELECT t.thr, x.* FROM ({WIDE_PAIRS_SQL}) x, (SELECT unnest([0.2::DOUBLE, 0.6::DOUBLE]) AS thr) t "
                "WHERE x.r2_unassisted > t.thr AND x.r2_assisted > t.thr")
     return q.sql(paired_sql("w", "thr", "mae_unassisted", "mae_assisted", "unassisted", "assisted", q, "p"))
 

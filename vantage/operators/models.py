@@ -127,7 +127,7 @@ def auc(pred: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame
     from vantage.operators.stats import avg_rank
 
     src = pred.select(*by, F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
-    r = avg_rank(src.where(F.col("_s").isNotNull()), by, "_s", "_r")
+    r = avg_rank(src.where(F.col("_s").isNotNull()), by, "_s", "_r", distributed=True)
     g = r.groupBy(*by).agg(F.sum(F.when(F.col("_y") == 1, F.col("_r")).otherwise(0.0)).alias("_rp"),
                            F.count(F.when(F.col("_y") == 1, 1)).alias("n_pos"),
                            F.count(F.when(F.col("_y") != 1, 1)).alias("n_neg"))

@@ -135,13 +135,45 @@ def one_vs_rest_ttest(df: DataFrame, by: Sequence[str], group: str, value: str,
     return out.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
-def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank") -> DataFrame:
-    """average rank with ties (1-based), per group; NULL values get NULL."""
+def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", distributed: bool = False,
+             buckets: int = 64) -> DataFrame:
+    """average rank with ties (1-based), per group; NULL values get NULL.
+
+    ``distributed=False``: one window per group -- right for aggregated rows
+    (one per dataset or model).  ``distributed=True``: exact ranks without
+    sorting a whole group in one task, for raw rows where one group can hold
+    a third of the data: each group's values are cut into ``buckets``
+    chunks at approximate quantiles, each (group, chunk) is ranked locally
+    (the chunks of a hot group spread over many tasks), and the row counts
+    of the group's lower chunks are added as an offset (a prefix sum over a
+    table of groups x buckets).
+    """
     part = list(by)
-    w = Window.partitionBy(*part).orderBy(F.col(col).asc_nulls_last())
-    wt = Window.partitionBy(*part, col)
-    return (df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
-              .withColumn(out, F.when(F.col(col).isNotNull(), F.col(out))))
+    if not distributed:
+        w = Window.partitionBy(*part).orderBy(F.col(col).asc_nulls_last())
+        wt = Window.partitionBy(*part, col)
+        return (df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
+                  .withColumn(out, F.when(F.col(col).isNotNull(), F.col(out))))
+    valid = df.where(F.col(col).isNotNull())
+    # data-defined chunks: each group's values cut at approximate quantiles
+    # (one partial aggregate); equal values always share a chunk, so the
+    # ranks are exact whatever the boundaries are
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = valid.groupBy(*part).agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("_b"))
+    v = F.col(col).cast("double")
+    r = (valid.join(F.broadcast(bounds), part) if part else valid.crossJoin(F.broadcast(bounds)))
+    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
+    chunk = [*part, "_pid"]
+    counts = r.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_c"))
+    wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
+    wl = Window.partitionBy(*chunk).orderBy(col)
+    wt = Window.partitionBy(*chunk, col)
+    local = r.withColumn(out, F.rank().over(wl) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
+    ranked = local.join(offsets, chunk).withColumn(out, F.col(out) + F.col("_off")).drop("_pid", "_off")
+    nulls = df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.unionByName(nulls)
 
 
 def pearson_from(df: DataFrame, by: Sequence[str], x: Column, y: Column) -> DataFrame:
@@ -164,10 +196,10 @@ def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return pearson_from(df, by, F.col(x).cast("double"), F.col(y).cast("double"))
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, distributed: bool = True) -> DataFrame:
     """L3: Spearman rho = Pearson r of the average ranks (rows with a NULL dropped)."""
     src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    src = avg_rank(avg_rank(src, by, x, "_rx"), by, y, "_ry")
+    src = avg_rank(avg_rank(src, by, x, "_rx", distributed), by, y, "_ry", distributed)
     return pearson_from(src, by, F.col("_rx"), F.col("_ry")).withColumnRenamed("r", "rho")
 
 
@@ -213,14 +245,14 @@ def wilcoxon(df: DataFrame, by: Sequence[str], a: str, b: str, exact_max_n: int
     return g.select(*by, "n", "statistic", p.alias("p_value"))
 
 
-def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str) -> DataFrame:
+def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str, distributed: bool = False) -> DataFrame:
     """Mann-Whitney U of ``value`` for flag true (x) against false (y).
 
     U = R_x - n_x(n_x+1)/2; two-sided normal law with tie and continuity
     correction (SciPy's asymptotic method).
     """
     src = df.select(*by, F.col(value).alias("_v"), F.col(flag).alias("_f")).where(F.col("_v").isNotNull())
-    src = avg_rank(src, by, "_v", "_r")
+    src = avg_rank(src, by, "_v", "_r", distributed)
     wt = Window.partitionBy(*by, "_v")
     src = src.withColumn("_t", F.count(F.lit(1)).over(wt))
     g = src.groupBy(*by).agg(

@@ -188,7 +188,7 @@ SELECT event_id, model, rank() OVER (PARTITION BY model ORDER BY auc)
 def f1_avg_rank(spark, d):
     """average rank with ties per model."""
     s = V.scores(spark, d).select("event_id", "model", "auc")
-    return ST.avg_rank(s, ["model"], "auc").select("event_id", "model", "rank")
+    return ST.avg_rank(s, ["model"], "auc", distributed=True).select("event_id", "model", "rank")
 
 
 def _bin_curve_sql(kmax: int = 9) -> str:

@@ -175,7 +175,7 @@ SELECT dataset, n_true, n_false, {r6('u1')} AS u_stat,
 def l8_mannwhitney(spark, d):
     """Mann-Whitney U of x3 between the two cat2 levels per dataset."""
     s = V.samples(spark, d).withColumn("is_y", F.col("cat2") == "Y")
-    return ST.mannwhitney(s, ["dataset"], "x3", "is_y")
+    return ST.mannwhitney(s, ["dataset"], "x3", "is_y", distributed=True)
 
 
 def _bp_sql():

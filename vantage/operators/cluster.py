@@ -95,10 +95,11 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     by = list(by)
     checkpoint_dir(df.sparkSession)
     kcol = F.col(k) if isinstance(k, str) else F.lit(int(k))
-    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     # loop-invariant input: materialised once (recomputable from lineage if
-    # an executor is lost), not re-read from the source every iteration
-    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))).persist()
+    # an executor is lost), not re-read from the source every iteration; the
+    # restarts are expanded on the fly so the cache holds each point once
+    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v")).persist()
+    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
     gk = [*by, "_run"]
     h = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed)), F.col("_run").cast("string")))
     w = Window.partitionBy(*gk).orderBy(h, "_id")
@@ -135,7 +136,7 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
         # in between the (tiny) centre table is only persisted
         new = new.checkpoint() if it % 4 == 3 else new.persist()
         per_run = new.groupBy(*gk).agg(F.sum("_shift").alias("_s2"))
-        per_run = per_run.join(var, by) if by else per_run.crossJoin(var)
+        per_run = per_run.join(var, by) if by else _attach(per_run, var)
         moved = per_run.agg(F.count(F.when(F.col("_s2") > F.col("_tol"), 1))).first()[0]
         if prev is not None:
             prev.unpersist()
@@ -159,7 +160,7 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
                    .select(*by, "cluster", F.col("_c").alias("center")))
     # the cached input is released; the returned plans start from the last
     # centre table and recompute the (cheap) point scan when used
-    runs.unpersist()
+    pts.unpersist()
     return assign_out, cent, best.select(*by, "inertia")
 
 
@@ -271,3 +272,8 @@ def cluster_count_summary(emb: DataFrame, kmax: int = 9, key: str = "dataset", i
     return ek.groupBy("model").agg(F.avg("elbow_k").alias("computed_clusters_mean"),
                                    F.stddev_samp("elbow_k").alias("computed_clusters_std"),
                                    F.count(F.lit(1)).alias("n"))
+
+
+def _attach(df, one_row):
+    from vantage.operators.relational import attach
+    return attach(df, one_row)

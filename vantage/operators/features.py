@@ -56,7 +56,11 @@ def impute(df: DataFrame, by: Sequence[str], cols: Sequence[str], strategy: str
     if strategy == "mean":
         stats = src.groupBy(*by).agg(*[F.avg(clean[c]).alias(f"_fill_{c}") for c in cols])
     elif strategy == "median":
-        stats = src.groupBy(*by).agg(*[F.median(clean[c]).alias(f"_fill_{c}") for c in cols])
+        from vantage.operators.stats import exact_quantiles
+        stats = None
+        for c in cols:
+            q = exact_quantiles(src, by, c, [0.5], names=[f"_fill_{c}"]).drop("n")
+            stats = q if stats is None else stats.join(q, list(by), "full")
     else:
         raise ValueError(strategy)
     out = df.join(stats, list(by), "left")
@@ -66,9 +70,18 @@ def impute(df: DataFrame, by: Sequence[str], cols: Sequence[str], strategy: str
 
 
 def impute_mode(df: DataFrame, by: Sequence[str], cols: Sequence[str], fit_on: Column | None = None) -> DataFrame:
-    """Fill NULL categories with the most frequent value, smallest on ties."""
+    """Fill NULL categories with the most frequent value, smallest on ties.
+
+    Value counts are a partial aggregate per (group, value); the winner is
+    picked on those counted rows, so no group's values meet in one buffer.
+    """
     src = df if fit_on is None else df.filter(fit_on)
-    stats = src.groupBy(*by).agg(*[F.mode(c, deterministic=True).alias(f"_mode_{c}") for c in cols])
+    stats = None
+    for c in cols:
+        cnt = src.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt"))
+        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.col("_cnt").desc(), F.col(c))
+        m = cnt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(*by, F.col(c).alias(f"_mode_{c}"))
+        stats = m if stats is None else stats.join(m, list(by), "full")
     out = df.join(stats, list(by), "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_mode_{c}")))
@@ -93,7 +106,7 @@ def standardize(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
     """(x - mean) / population std per group (the scikit-learn scaler)."""
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],
                                 *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    out = df.join(stats, list(by), "left") if by else df.crossJoin(F.broadcast(stats))
+    out = df.join(stats, list(by), "left") if by else _attach(df, stats)
     for c in cols:
         sd = F.col(f"_sd_{c}")
         out = out.withColumn(c, F.when(sd > 0, (F.col(c) - F.col(f"_mu_{c}")) / sd).otherwise(F.lit(0.0)))
@@ -208,3 +221,8 @@ def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k
                    F.zip_with(vec, nv, lambda a, b: a + gap * (b - a)).alias(vec), F.lit(True).alias("synthetic"))
     orig = base.select(*by, label, F.col(id_col).cast("string").alias(id_col), vec, F.lit(False).alias("synthetic"))
     return orig.unionByName(new)
+
+
+def _attach(df, one_row):
+    from vantage.operators.relational import attach
+    return attach(df, one_row)

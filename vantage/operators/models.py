@@ -188,7 +188,7 @@ def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: in
                      big.alias("best_sse"), F.lit(1.0).alias("best_a"), F.lit(1.0).alias("best_b"),
                      *[F.lit(0.0).alias(c) for c in ["baa", "bab", "bbb", "bar", "bbr"]])
     for i in range(iters):
-        j = data.join(st, by) if by else data.crossJoin(st)
+        j = data.join(st, by) if by else _attach(data, st)
         den = F.col("_x") + F.col("b")
         ja, jb = 1.0 / den, -F.col("a") / (den * den)
         r = F.col("_y") - F.col("a") / den
@@ -242,3 +242,8 @@ def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str,
                "logreg": C.LogisticRegression(maxIter=500, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                                               standardization=False, family="auto", labelCol=label)}[kind]
     return Pipeline(stages=[va, est]).fit(train)
+
+
+def _attach(df, one_row):
+    from vantage.operators.relational import attach
+    return attach(df, one_row)

@@ -144,13 +144,13 @@ def box_stats(df: DataFrame, by: Sequence[str], metric: str, outliers: bool = Fa
     """Quartiles (linear interpolation), whiskers at the most extreme
     points within 1.5 IQR, and the number of points outside them.
 
-    Exact percentiles (one sort of the metric per group); the whisker pass
-    joins the per-group quartiles back to the rows.
+    Exact quartiles without a per-group value buffer (``exact_quantiles``);
+    the whisker pass joins the per-group quartiles back to the rows.
     """
+    from vantage.operators.stats import exact_quantiles
+
     v = F.col(metric)
-    q = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(
-        F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.75).alias("q3"), F.count(v).alias("n"))
+    q = exact_quantiles(df, by, metric, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     j = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v")).join(q, list(by))
@@ -233,3 +233,10 @@ def union_results(*dfs: DataFrame) -> DataFrame:
 def append_dedupe(old: DataFrame, new: DataFrame) -> DataFrame:
     """H2: append new results to old and drop exact duplicates."""
     return old.unionByName(new, allowMissingColumns=True).dropDuplicates()
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (global statistics, fitted
+    parameters) to every row: an equi-join on a constant key, never a cross
+    join; AQE broadcasts the single row."""
+    return df.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")

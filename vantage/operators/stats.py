@@ -161,7 +161,8 @@ def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", dist
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = valid.groupBy(*part).agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("_b"))
     v = F.col(col).cast("double")
-    r = (valid.join(F.broadcast(bounds), part) if part else valid.crossJoin(F.broadcast(bounds)))
+    # one row per group: AQE broadcasts it when its measured size is small
+    r = valid.join(bounds, part) if part else _attach(valid, bounds)
     r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
     chunk = [*part, "_pid"]
     counts = r.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_c"))
@@ -336,7 +337,53 @@ def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str,
     rng = ex.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     pts = rng.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
         "gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / float(grid - 1))
-    lines = (g.join(pts, by) if by else g.crossJoin(pts)).withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
+    lines = (g.join(pts, by) if by else _attach(g, pts)).withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
     a = (1.0 - level) / 2.0
     return lines.groupBy(*by, "gi", "gx").agg(F.percentile("gy", a).alias("band_low"),
                                               F.percentile("gy", 1.0 - a).alias("band_high"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], buckets: int = 64,
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (``percentile`` / pandas /
+    NumPy default) without holding a group's values in one buffer.
+
+    Values are cut into chunks at approximate quantile boundaries (one
+    partial aggregate), chunk counts give each chunk's offset in the sorted
+    order, and only the chunks that contain a wanted order statistic are
+    sorted (``row_number`` within the chunk).  Output: ``by, n, <names>``.
+    """
+    part = list(by)
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    v = F.col(col).cast("double")
+    valid = df.select(*part, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = valid.groupBy(*part).agg(F.percentile_approx("_v", cuts, 1000).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    r = valid.join(bounds, part) if part else _attach(valid, bounds)
+    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+    counts = r.groupBy(*part, "_pid", "_n").agg(F.count(F.lit(1)).alias("_c"))
+    wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0)))
+    # wanted 0-based positions: floor and ceil of p * (n - 1)
+    pos = F.array(*[F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("_n") - 1)).alias("h")) for i, p in enumerate(probs)])
+    want = counts.select(*part, "_pid", "_n", "_off", "_c", F.explode(pos).alias("_w"))
+    want = want.select(*part, "_pid", "_n", "_off", "_c", "_w.qi", "_w.h",
+                       F.explode(F.array(F.floor("_w.h"), F.ceil("_w.h"))).alias("_k"))
+    want = want.where((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_c")))
+    need = want.select(*part, "_pid").distinct()
+    wl = Window.partitionBy(*part, "_pid").orderBy("_v")
+    ordered = (r.join(need, [*part, "_pid"], "left_semi").withColumn("_rn", F.row_number().over(wl) - 1)
+                .select(*part, "_pid", "_rn", "_v"))
+    hit = want.join(ordered, [*part, "_pid"]).where(F.col("_rn") + F.col("_off") == F.col("_k"))
+    g = hit.groupBy(*part, "_n", "qi", "h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                                 F.min("_k").alias("_klo"))
+    frac = F.col("h") - F.floor("h")
+    g = g.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
+    wide = g.groupBy(*part, F.col("_n").alias("n")).pivot("qi", list(range(len(probs)))).agg(F.first("_q"))
+    return wide.select(*part, "n", *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
+
+
+def _attach(df, one_row):
+    from vantage.operators.relational import attach
+    return attach(df, one_row)

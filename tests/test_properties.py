@@ -106,3 +106,14 @@ def test_silhouette_two_blobs(spark):
     df = spark.createDataFrame(rows, "g string, id int, v array<double>, lab int")
     s = VX.silhouette(df, ["g"], "id", "v", "lab").first().silhouette
     assert s > 0.99
+
+
+def test_regression_band_contains_line(spark):
+    from vantage.operators import stats as STS
+    rows = [(i, float(i), 2.0 * i + ((i * 7) % 5) - 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    band = STS.regression_band(df, [], "x", "y", "k", reps=50, grid=10)
+    line = STS.regression_line(df, [], "x", "y").first()
+    for r in band.collect():
+        fit = line.intercept + line.slope * r.gx
+        assert r.band_low - 1e-9 <= fit <= r.band_high + 1e-9

@@ -65,7 +65,7 @@ def _dist2(v, c):
 
 
 def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 50,
-           tol: float = 1e-4, seed: int = 42):
+           tol: float = 1e-4, seed: int = 42, kmax: int | None = None):
     """Lloyd's K-means for every group at once.
 
     ``k`` is an int or the name of a per-group column (then it must be in
@@ -103,7 +103,10 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     gk = [*by, "_run"]
     h = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed)), F.col("_run").cast("string")))
     w = Window.partitionBy(*gk).orderBy(h, "_id")
-    centers = (runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kcol)
+    # a literal bound first, so the start-point pick is a WindowGroupLimit
+    # (each map task keeps at most kmax rows per group before the shuffle)
+    bound = int(k) if not isinstance(k, str) else int(kmax or 10)
+    centers = (runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= bound).where(F.col("_rn") <= kcol)
                    .select(*gk, (F.col("_rn") - 1).alias("_cid"), F.col("_v").alias("_c")))
     centers = centers.checkpoint()
     from pyspark.ml.functions import array_to_vector as _a2v
@@ -168,7 +171,7 @@ def elbow_curve(df: DataFrame, by: Sequence[str], id_col: str, vec: str, kmax: i
                 seed: int = 42) -> DataFrame:
     """I4: K-means inertia for k = 1..kmax, all k in the same job."""
     ks = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(kmax))))
-    _, _, cost = kmeans(ks, [*by, "k"], id_col, vec, "k", n_init=n_init, seed=seed)
+    _, _, cost = kmeans(ks, [*by, "k"], id_col, vec, "k", n_init=n_init, seed=seed, kmax=kmax)
     return cost
 
 

@@ -33,14 +33,21 @@ def split(df: DataFrame, key: str, test_share: float = 0.3, seed: int = 42, out:
 def stratified_split(df: DataFrame, by: Sequence[str], label: str, key: str,
                      test_share: float = 0.3, seed: int = 42, out: str = "is_test") -> DataFrame:
     """Per (by, label) stratum, the ``ceil(test_share * n)`` rows with the
-    smallest hash go to test; strata of one row stay in training."""
-    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    w = Window.partitionBy(*by, label).orderBy(h, F.col(key))
-    wn = Window.partitionBy(*by, label)
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .withColumn("_n", F.count(F.lit(1)).over(wn))
-              .withColumn(out, (F.col("_n") >= 2) & (F.col("_rn") <= F.ceil(F.col("_n") * test_share)))
-              .drop("_rn", "_n"))
+    smallest hash go to test; strata of one row stay in training.
+
+    The position of a row in its stratum is the exact distributed rank of a
+    52-bit hash (``stats.avg_rank(distributed=True)``), so a stratum holding
+    a third of the data is never sorted in one task.
+    """
+    from vantage.operators.stats import avg_rank
+
+    strata = [*by, label]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
+    ranked = avg_rank(df.withColumn("_h", h.cast("double")), strata, "_h", "_rn", distributed=True)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    return (ranked.join(sizes, strata)
+                  .withColumn(out, (F.col("_n") >= 2) & (F.col("_rn") <= F.ceil(F.col("_n") * test_share)))
+                  .drop("_rn", "_n", "_h"))
 
 
 def impute(df: DataFrame, by: Sequence[str], cols: Sequence[str], strategy: str = "mean",

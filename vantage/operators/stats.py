@@ -307,40 +307,47 @@ def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str,
                     grid: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
     """L10 (band): bootstrap band of the regression line (what ``regplot`` draws).
 
-    Each replicate resamples rows with Poisson(1) weights derived from a
-    hash of (row key, replicate) -- no row is copied, so one pass builds
-    the weighted sums of every replicate.  The line of each replicate is
-    evaluated on a ``grid`` over [min x, max x] and the band is the
-    (1 - level)/2 and (1 + level)/2 percentiles over replicates.
+    Each replicate resamples rows with Poisson(1) weights drawn from a hash
+    of (row key, replicate), so no row is ever copied: every row emits one
+    vector of its weighted sums for all replicates (w, wx, wy, wxx, wxy per
+    replicate) and a single ``Summarizer.sum`` per group adds them up -- one
+    pass over the data.  The replicate lines are evaluated on a ``grid``
+    over [min x, max x]; the band is the (1 - level)/2 and (1 + level)/2
+    percentiles over replicates (aggregated rows only).
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     by = list(by)
-    ex = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-                   F.col(key).cast("string").alias("_k"))
-    reps_df = ex.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    # Poisson(1) weight by inverting the CDF at a hashed uniform
-    u = (F.abs(F.xxhash64("_k", "_rep", F.lit(seed))) % 1000003) / 1000003.0
-    w = F.lit(0)
-    cdf = 0.0
-    term = math_exp_neg1 = 0.36787944117144233
-    for k in range(8):
-        cdf += term
-        w = w + F.when(u > cdf, 1).otherwise(0)
-        term = term / (k + 1)
-    del math_exp_neg1
-    g = reps_df.withColumn("_w", w.cast("double")).groupBy(*by, "_rep").agg(
-        F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_x")).alias("sx"),
-        F.sum(F.col("_w") * F.col("_y")).alias("sy"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"),
-        F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("sxy"))
-    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw"),
-                         F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw"))
-    g = g.withColumn("slope", slope).withColumn("icpt", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw"))
-    rng = ex.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    pts = rng.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / float(grid - 1))
-    lines = (g.join(pts, by) if by else _attach(g, pts)).withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
+    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    # Poisson(1) by inverting its CDF at a hashed uniform
+    cdf, term, steps = [], 0.36787944117144233, 0.0
+    for k in range(10):
+        steps += term
+        cdf.append(steps)
+        term /= (k + 1)
+
+    def weight(r):
+        u = (F.abs(F.xxhash64(F.col(key).cast("string"), r, F.lit(seed))) % 1000003) / 1000003.0
+        return F.aggregate(F.array(*[F.lit(c) for c in cdf]), F.lit(0.0),
+                           lambda acc, c: acc + F.when(u > c, 1.0).otherwise(0.0))
+
+    ws = F.transform(F.sequence(F.lit(1), F.lit(reps)), weight)
+    parts = F.flatten(F.transform(ws, lambda w: F.array(w, w * xs, w * ys, w * xs * xs, w * xs * ys)))
+    src = df.where(xs.isNotNull() & ys.isNotNull())
+    g = src.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector(parts))).alias("_s"),
+                             F.min(xs).alias("lo"), F.max(xs).alias("hi"))
+    g = g.select(*by, "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)),
+                                                            lambda i: F.slice("_s", i * 5 + 1, 5))).alias("_rep", "_v"))
+    sw, sx, sy, sxx, sxy = [F.col("_v")[i] for i in range(5)]
+    slope = F.try_divide(sxy - sx * sy / sw, sxx - sx * sx / sw)
+    g = g.withColumn("slope", slope).withColumn("icpt", (sy - F.col("slope") * sx) / sw)
+    g = g.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    g = g.withColumn("gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / float(grid - 1))
+    g = g.withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
     a = (1.0 - level) / 2.0
-    return lines.groupBy(*by, "gi", "gx").agg(F.percentile("gy", a).alias("band_low"),
-                                              F.percentile("gy", 1.0 - a).alias("band_high"))
+    return g.groupBy(*by, "gi", "gx").agg(F.percentile("gy", a).alias("band_low"),
+                                          F.percentile("gy", 1.0 - a).alias("band_high"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], buckets: int = 64,

@@ -58,12 +58,15 @@ def solve_moments(mom: DataFrame, by: Sequence[str], idx: Sequence[int], names:
     Output: ``by, n, keep..., <prefix>intercept, <prefix><name>...``.
     """
     p = len(idx)
-    q = [f"`{c}`" for c in [*by, "n", *keep]]
-    cur = mom.selectExpr(*q, *LA.normal_equation_inputs(idx))
+    q = ", ".join(f"`{c}`" for c in [*by, "n", *keep])
+    # the p projections as one nested statement: analysed once instead of
+    # once per step (each DataFrame step re-analyses the growing plan)
+    text = f"SELECT {q}, {', '.join(LA.normal_equation_inputs(idx))} FROM {{mom}}"
     for k in range(p):
-        cur = cur.selectExpr(*q, *LA.gauss_jordan_step(k, p))
+        text = f"SELECT {q}, {', '.join(LA.gauss_jordan_step(k, p))} FROM ({text}) AS step{k}"
     labels = ["intercept"] + list(names)
-    return cur.selectExpr(*q, *[f"r_{i} AS `{prefix}{labels[i]}`" for i in range(p)])
+    outs = ", ".join(f"r_{i} AS `{prefix}{labels[i]}`" for i in range(p))
+    return mom.sparkSession.sql(f"SELECT {q}, {outs} FROM ({text}) AS solved", mom=mom)
 
 
 def grouped_ols(df: DataFrame, by: Sequence[str], y: str, xs, where: Column | None = None,

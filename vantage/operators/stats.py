@@ -394,3 +394,31 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
 def _attach(df, one_row):
     from vantage.operators.relational import attach
     return attach(df, one_row)
+
+
+def pearson_many(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """L2 for several (x, y, name) pairs in one aggregate: ``n, r_<name>, p_<name>``.
+
+    ``n`` counts the rows of the group (rows with a NULL in a pair count
+    for that pair only through ``covar_pop`` / ``stddev_pop``)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for x, y, nm in pairs:
+        xv, yv = F.col(x).cast("double"), F.col(y).cast("double")
+        aggs += [F.covar_pop(xv, yv).alias(f"_c_{nm}"), F.stddev_pop(xv).alias(f"_sx_{nm}"),
+                 F.stddev_pop(yv).alias(f"_sy_{nm}")]
+    g = df.groupBy(*by).agg(*aggs)
+    out = [*by, "n"]
+    for _, _, nm in pairs:
+        sx, sy = F.col(f"_sx_{nm}"), F.col(f"_sy_{nm}")
+        r = F.when((sx > 0) & (sy > 0), F.greatest(F.least(F.try_divide(F.col(f"_c_{nm}"), sx * sy), F.lit(1.0)),
+                                                   F.lit(-1.0)))
+        out.append(r.alias(f"r_{nm}"))
+    g = g.select(*out)
+    for _, _, nm in pairs:
+        r = F.col(f"r_{nm}")
+        t = r * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1.0 - r * r))
+        g = g.withColumn(f"_t_{nm}", F.when((F.abs(r) < 1.0) & (F.col("n") >= 3), t))
+        p = (F.when(r.isNull() | (F.col("n") < 3), _null_d()).when(F.abs(r) >= 1.0, F.lit(0.0))
+             .otherwise(dist.col_t_sf2(f"_t_{nm}", "n - 2")))
+        g = g.withColumn(f"p_{nm}", p).drop(f"_t_{nm}")
+    return g

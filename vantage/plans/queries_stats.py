@@ -286,14 +286,13 @@ def m5_structural_sensitivity(spark, d):
     fitted line and the low-density count (SVR < 20)."""
     j = R.regression_pairs(spark, d).where(F.col("model") == "unassisted")
     j = RL.quality_filter(j.join(V.dataset_meta(spark, d), "dataset"), "r2", 0.2)
-    j = j.withColumn("ncat", F.col("num_categorical_vars").cast("double")).withColumn("_one", F.lit(1))
-    a = ST.pearson(j, ["_one"], "subject_variable_ratio", "r2").select(
-        "_one", "n", F.col("r").alias("r_svr"), F.col("p_value").alias("p_svr"))
-    b = ST.pearson(j, ["_one"], "ncat", "r2").select("_one", F.col("r").alias("r_ncat"), F.col("p_value").alias("p_ncat"))
-    c = j.groupBy("_one").agg(F.regr_slope("r2", "subject_variable_ratio").alias("slope"),
-                              F.regr_intercept("r2", "subject_variable_ratio").alias("intercept"),
-                              F.count(F.when(F.col("subject_variable_ratio") < 20, 1)).alias("n_low_density"))
-    return a.join(b, "_one").join(c, "_one").drop("_one")
+    j = j.withColumn("ncat", F.col("num_categorical_vars").cast("double"))
+    # one aggregate: both correlations, the line and the low-density count
+    r = ST.pearson_many(j, [], [("subject_variable_ratio", "r2", "svr"), ("ncat", "r2", "ncat")])
+    c = j.agg(F.regr_slope("r2", "subject_variable_ratio").alias("slope"),
+              F.regr_intercept("r2", "subject_variable_ratio").alias("intercept"),
+              F.count(F.when(F.col("subject_variable_ratio") < 20, 1)).alias("n_low_density"))
+    return RL.attach(r, c)
 
 
 def _m7_sql():

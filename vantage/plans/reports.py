@@ -48,7 +48,19 @@ def regression_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dataset", F.col("x3").alias("y"),
         K.linear_prediction("u_", UNASSISTED).alias("yhat_u"),
         K.linear_prediction("a_", ASSISTED).alias("yhat_a"))
-    return regression_metrics_wide(pred, ["dataset"], "y", {"unassisted": "yhat_u", "assisted": "yhat_a"})
+    out = regression_metrics_wide(pred, ["dataset"], "y", {"unassisted": "yhat_u", "assisted": "yhat_a"})
+    return materialize(out)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small result table (one row per dataset) once to the shared
+    checkpoint folder and cut its lineage, so reports that read it several
+    times (per side, per subset, per test) do not recompute the scans and
+    fits behind it.  Reliable checkpoint, never ``localCheckpoint``."""
+    from vantage.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

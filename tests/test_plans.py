@@ -20,7 +20,13 @@ def test_flagship_plan(spark, sf_small, registry):
     p = plan_of(registry["m14_segmented_mae"](spark, sf_small))
     assert "CartesianProduct" not in p
     assert "BatchEvalPython" not in p
-    assert "ReadSchema: struct<l_orderkey" in p or "l_orderkey" in p
+
+
+def test_grouped_ols_plan_prunes_and_pushes(spark, sf_small, registry):
+    p = plan_of(registry["k1_grouped_ols"](spark, sf_small))
+    assert "ReadSchema: struct<l_orderkey" in p
+    assert "l_extendedprice" not in p and "l_shipdate" not in p
+    assert "CartesianProduct" not in p
 
 
 @pytest.mark.parametrize("name", ["v4_regression_pairs", "m12_paired_r2", "m16_drivers_table", "l9_breusch_pagan",

@@ -33,3 +33,28 @@ def test_samples_view_shape(spark, sf_small):
     s = V.samples(spark, sf_small)
     assert s.count() == spark.read.parquet(f"{sf_small}/lineitem.parquet").count()
     assert s.select("dataset").distinct().count() == spark.read.parquet(f"{sf_small}/supplier.parquet").count()
+
+
+def test_synthetic_samples(spark):
+    from vantage.sources.synthetic import synthetic_samples
+    df = synthetic_samples(spark, n_datasets=20, n_rows=500, seed=7)
+    assert df.count() == 10000
+    assert df.select("dataset").distinct().count() == 20
+    m = df.agg(F.avg(F.when(F.col("cat1") == "A", F.col("x1"))).alias("a"),
+               F.avg(F.when(F.col("cat1") == "B", F.col("x1"))).alias("b"),
+               F.min(F.when(F.col("cat1") == "A", F.col("x1"))).alias("lo"),
+               F.max(F.when(F.col("cat1") == "A", F.col("x1"))).alias("hi")).first()
+    assert abs(m.a) < 1.0 and abs(m.b - 50.0) < 1.0 and m.lo >= -10.0 and m.hi <= 10.0
+    # x3 computed before the shift: for linear datasets x3 ~ 3 x1r + 2 x2r, so mean near 0
+    lin = df.where(F.col("equation") == "linear").agg(F.avg("x3")).first()[0]
+    assert lin is None or abs(lin) < 3.0
+    assert df.collect() == synthetic_samples(spark, n_datasets=20, n_rows=500, seed=7).collect()
+
+
+def test_dataset_metadata_generic(spark, sf_small):
+    from vantage.operators.relational import dataset_metadata
+    s = V.samples(spark, sf_small)
+    g = dataset_metadata(s, "dataset", ["x1", "x2", "x3"], ["cat1", "cat2"])
+    r = g.first()
+    assert r.n_cols == 5 and r.num_categorical_vars == 2
+    assert r.subject_variable_ratio == pytest.approx(r.n_rows / 5)

@@ -240,3 +240,23 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     parameters) to every row: an equi-join on a constant key, never a cross
     join; AQE broadcasts the single row."""
     return df.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def dataset_metadata(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str],
+                     extra_levels: str | None = None) -> DataFrame:
+    """Per dataset ``n_rows, n_cols, num_categorical_vars,
+    subject_variable_ratio`` (SVR = rows / columns, a documented choice:
+    the reference names the ratio but never writes its producer).
+
+    ``extra_levels`` optionally adds the distinct count of another column
+    (one per 25 levels) to the categorical count."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    if extra_levels:
+        aggs.append(F.countDistinct(extra_levels).alias("_lv"))
+    g = df.groupBy(key).agg(*aggs)
+    ncat = F.lit(len(categorical))
+    if extra_levels:
+        ncat = ncat + F.floor(F.col("_lv") / 25)
+    ncols = F.lit(len(numeric)) + ncat
+    return g.select(key, "n_rows", ncols.cast("int").alias("n_cols"), ncat.cast("int").alias("num_categorical_vars"),
+                    (F.col("n_rows") / ncols).alias("subject_variable_ratio"))

@@ -131,17 +131,10 @@ def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     give the metadata variation we count the distinct parts of each
     supplier as extra categorical levels (one per 25 parts).
     """
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    eq = equation_of(F.col("l_suppkey"))
-    g = (li.groupBy(F.concat(F.lit("data_"), F.col("l_suppkey").cast("string"), F.lit("_"), eq).alias("dataset"))
-         .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_partkey").alias("n_parts")))
-    ncat = (F.lit(2) + F.floor(F.col("n_parts") / 25)).cast("int")
-    return g.select(
-        "dataset", "n_rows",
-        (F.lit(3) + ncat).cast("int").alias("n_cols"),
-        ncat.alias("num_categorical_vars"),
-        (F.col("n_rows") / (F.lit(3) + ncat)).alias("subject_variable_ratio"),
-    )
+    from vantage.operators.relational import dataset_metadata
+
+    return dataset_metadata(samples(spark, sf_dir), "dataset", ["x1", "x2", "x3"], ["cat1", "cat2"],
+                            extra_levels="pk")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,20 @@ def test_regression_band_contains_line(spark):
     for r in band.collect():
         fit = line.intercept + line.slope * r.gx
         assert r.band_low - 1e-9 <= fit <= r.band_high + 1e-9
+
+
+def test_silhouette_sq_matches_brute_force(spark):
+    import numpy as np
+    pts = [(i, [float((i * 7) % 11), float((i * 3) % 5)], i % 3) for i in range(30)]
+    df = spark.createDataFrame([("d", i, v, lab) for i, v, lab in pts], "g string, id int, v array<double>, lab int")
+    got = VX.silhouette_sq(df, ["g"], "v", "lab").first().silhouette_sq
+    X = np.array([p[1] for p in pts])
+    L = np.array([p[2] for p in pts])
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    s = []
+    for i in range(len(X)):
+        own = L == L[i]
+        a = D[i, own].sum() / (own.sum() - 1)
+        b = min(D[i, L == c].mean() for c in set(L) if c != L[i])
+        s.append((b - a) / max(a, b))
+    assert got == pytest.approx(float(np.mean(s)))

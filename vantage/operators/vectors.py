@@ -132,3 +132,39 @@ def silhouette(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: s
                      F.greatest(F.coalesce(F.col("a"), F.lit(0.0)), F.col("b"))))
     return s.groupBy(*by).agg(F.when(F.count(F.col("b")) > 0, F.avg(sil)).alias("silhouette"),
                               F.count(F.lit(1)).alias("n"))
+
+
+def silhouette_sq(df: DataFrame, by: Sequence[str], vec: str, label: str) -> DataFrame:
+    """I14 over whole groups: mean silhouette with *squared* Euclidean distance
+    (the metric of Spark's ``ClusteringEvaluator``), exact and without pairs.
+
+    For squared distances the mean distance of x to cluster C is
+    |x|^2 - 2 x.mu_C + mean_C |y|^2, so per-cluster sums (count, mean
+    vector, mean squared norm) -- k rows per group -- are all that is needed;
+    a(x) excludes x itself (factor n_C / (n_C - 1)).  Singletons score 0;
+    NULL with fewer than 2 clusters.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    by = list(by)
+    v = F.col(vec).cast("array<double>")
+    sq = F.aggregate(F.transform(v, lambda t: t * t), F.lit(0.0), lambda a, t: a + t)
+    src = df.select(*by, v.alias("_v"), F.col(label).alias("_l"), sq.alias("_sq"))
+    cl = src.groupBy(*by, "_l").agg(F.count(F.lit(1)).alias("_n"), F.avg("_sq").alias("_m2"),
+                                    vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias("_mu"))
+    packed = cl.groupBy(*by).agg(F.collect_list(F.struct("_l", "_n", "_m2", "_mu")).alias("_cs"))
+    j = src.join(packed, by) if by else src.withColumn("_one", F.lit(1)).join(packed.withColumn("_one", F.lit(1)), "_one")
+
+    def mean_d(c):
+        dot = F.aggregate(F.zip_with(F.col("_v"), c["_mu"], lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
+        return F.col("_sq") - 2.0 * dot + c["_m2"]
+
+    own = F.filter("_cs", lambda c: c["_l"] == F.col("_l"))[0]
+    others = F.transform(F.filter("_cs", lambda c: c["_l"] != F.col("_l")), mean_d)
+    a = F.when(own["_n"] > 1, mean_d(own) * own["_n"] / (own["_n"] - 1))
+    b = F.array_min(others)
+    s = F.when(own["_n"] <= 1, F.lit(0.0)).otherwise(F.try_divide(b - a, F.greatest(a, b)))
+    scored = j.select(*by, s.alias("_s"), F.size("_cs").alias("_k"))
+    return scored.groupBy(*by).agg(F.when(F.max("_k") > 1, F.avg("_s")).alias("silhouette_sq"),
+                                   F.count(F.lit(1)).alias("n"))

@@ -185,6 +185,28 @@ def i14_silhouette(spark, d):
     return VX.silhouette(r, ["dataset"], "row_id", "vec", "lab", cap=CAP)
 
 
+def _i14sq_sql():
+    q = base("raw")
+    q.add("rv", "SELECT dataset, x2 AS v1, x3 AS v2, x2 * x2 + x3 * x3 AS sq, x1 > 0 AS lab FROM raw")
+    q.add("cl", "SELECT dataset, lab, count(*) AS n, avg(sq) AS m2, avg(v1) AS mu1, avg(v2) AS mu2 FROM rv GROUP BY ALL")
+    q.add("d", """SELECT r.dataset, r.lab, c.lab AS clab, c.n, r.sq - 2.0 * (r.v1 * c.mu1 + r.v2 * c.mu2) + c.m2 AS md,
+       r.v1, r.v2, r.sq FROM rv r JOIN cl c ON r.dataset = c.dataset""")
+    q.add("s", """SELECT dataset, v1, v2, sq, lab,
+       max(CASE WHEN lab = clab AND n > 1 THEN md * n / (n - 1) END) AS a,
+       max(CASE WHEN lab = clab THEN n END) AS own_n,
+       min(CASE WHEN lab <> clab THEN md END) AS b, count(*) AS k FROM d GROUP BY dataset, v1, v2, sq, lab""")
+    s_expr = f"CASE WHEN own_n <= 1 THEN 0.0 ELSE {D.div('b - a', 'greatest(a, b)')} END"
+    return q.sql(f"""SELECT dataset, {r6(f'CASE WHEN max(k) > 1 THEN avg({s_expr}) END')} AS silhouette_sq,
+       count(*) AS n FROM s GROUP BY dataset""")
+
+
+@register("i14_silhouette_sq", _i14sq_sql)
+def i14_silhouette_sq(spark, d):
+    """I14 over whole datasets: squared-Euclidean silhouette from per-cluster sums (no pairs)."""
+    r = V.emb_raw(spark, d).select("dataset", F.array("x2", "x3").alias("vec"), (F.col("x1") > 0).alias("lab"))
+    return VX.silhouette_sq(r, ["dataset"], "vec", "lab")
+
+
 # ---------------------------------------------------------------- I (P: iterative)
 
 @register("i3_kmeans")
@@ -663,5 +685,6 @@ def k15_clinical_pipeline(spark, d):
     e = embed_texts(docs.withColumn("one", F.lit("all")), "sentence", dim=64, key="doc_id")
     a, _, _ = CL.kmeans(e, ["one"], "doc_id", "embedding", 2, n_init=3)
     lab = a.join(e.select("one", "doc_id", "embedding"), ["one", "doc_id"])
-    sil = VX.silhouette(lab, ["one"], "doc_id", "embedding", "cluster", cap=CAP)
+    # whole table: squared-Euclidean silhouette from per-cluster sums
+    sil = VX.silhouette_sq(lab, ["one"], "embedding", "cluster")
     return sil.drop("one")

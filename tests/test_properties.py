@@ -134,3 +134,13 @@ def test_silhouette_sq_matches_brute_force(spark):
         b = min(D[i, L == c].mean() for c in set(L) if c != L[i])
         s.append((b - a) / max(a, b))
     assert got == pytest.approx(float(np.mean(s)))
+
+
+def test_one_vs_rest_equals_direct_welch(spark):
+    rows = [(f"m{i % 3}", float((i * 13) % 17) + (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "m string, v double")
+    ovr = {r.m: r for r in ST.one_vs_rest_ttest(df, [], "m", "v").collect()}
+    for m in ["m0", "m1", "m2"]:
+        flagged = df.withColumn("f", F.col("m") == m).withColumn("one", F.lit(1))
+        w = ST.ttest_welch(flagged, ["one"], "v", "f").first()
+        assert ovr[m].t_stat == pytest.approx(w.t_stat) and ovr[m].p_value == pytest.approx(w.p_value)

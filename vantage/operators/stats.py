@@ -169,10 +169,14 @@ def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", dist
     wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
-    wl = Window.partitionBy(*chunk).orderBy(col)
-    wt = Window.partitionBy(*chunk, col)
-    local = r.withColumn(out, F.rank().over(wl) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
-    ranked = local.join(offsets, chunk).withColumn(out, F.col(out) + F.col("_off")).drop("_pid", "_off")
+    # ranks from counts of distinct values: a running sum over the distinct
+    # values of a chunk (not its rows), joined back on (group, chunk, value);
+    # a value shared by a huge number of rows is one counted row here
+    ties = r.groupBy(*chunk, col).agg(F.count(F.lit(1)).alias("_tv"))
+    wc = Window.partitionBy(*chunk).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = ties.withColumn("_cum", F.sum("_tv").over(wc)).join(offsets, chunk)
+    ties = ties.select(*chunk, col, (F.col("_off") + F.col("_cum") - (F.col("_tv") - 1) / 2.0).alias(out))
+    ranked = r.join(ties, [*chunk, col]).drop("_pid")
     nulls = df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast("double"))
     return ranked.unionByName(nulls)
 

@@ -361,8 +361,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
 
     Values are cut into chunks at approximate quantile boundaries (one
     partial aggregate), chunk counts give each chunk's offset in the sorted
-    order, and only the chunks that contain a wanted order statistic are
-    sorted (``row_number`` within the chunk).  Output: ``by, n, <names>``.
+    order, and in the chunks that hold a wanted order statistic the distinct
+    values are counted and cumulated (no row-level sort, ties collapse to
+    one row).  Output: ``by, n, <names>``.
     """
     part = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
@@ -383,10 +384,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
                        F.explode(F.array(F.floor("_w.h"), F.ceil("_w.h"))).alias("_k"))
     want = want.where((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_c")))
     need = want.select(*part, "_pid").distinct()
-    wl = Window.partitionBy(*part, "_pid").orderBy("_v")
-    ordered = (r.join(need, [*part, "_pid"], "left_semi").withColumn("_rn", F.row_number().over(wl) - 1)
-                .select(*part, "_pid", "_rn", "_v"))
-    hit = want.join(ordered, [*part, "_pid"]).where(F.col("_rn") + F.col("_off") == F.col("_k"))
+    # order statistics from counts of distinct values (no row-level sort):
+    # value v covers positions [off + cum - t, off + cum) of the sorted group
+    vals = (r.join(need, [*part, "_pid"], "left_semi").groupBy(*part, "_pid", "_v")
+             .agg(F.count(F.lit(1)).alias("_t")))
+    wc = Window.partitionBy(*part, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vals = vals.withColumn("_cum", F.sum("_t").over(wc))
+    hit = want.join(vals, [*part, "_pid"]).where(
+        (F.col("_k") >= F.col("_off") + F.col("_cum") - F.col("_t")) & (F.col("_k") < F.col("_off") + F.col("_cum")))
     g = hit.groupBy(*part, "_n", "qi", "h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                                  F.min("_k").alias("_klo"))
     frac = F.col("h") - F.floor("h")

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's score is a logistic function
-of the words of a learned vocabulary in it; a document's score is the
+of the words and word stems of a learned vocabulary in it; a document's score is the
 noisy-or of its sentences (and of a small learned leak, which is the score of
 a text without evidence).  Only document labels are used: the gradient of the
 document likelihood flows to the sentences that explain it, so that the same
@@ -23,7 +23,9 @@ from vantage.llm.common import bound_batches, col, fresh, materialise
 
 #: The model is fitted on this many labelled documents of each class at most, chosen by a hash of their text.
 MAX_TRAIN_PER_CLASS = 3000
-#: Vocabulary: words by the z score of their document counts in the two classes.
+#: Lengths of the word stems that count as features beside the words: inflected and joined words share them.
+STEMS = (4, 5)
+#: Vocabulary: features by the z score of their document counts in the two classes.
 VOCABULARY, MIN_Z, MIN_DOCS = 2048, 4.0, 4
 FOLDS = 5
 
@@ -37,6 +39,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+def features(text: str) -> set[str]:
+    """The words of a text and their stems: ``^`` and the first letters."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*[{"^" + w[:n] for w in words} for n in STEMS])
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, str]]:
     for m in SENTENCE.finditer(text):
         yield m.start(), m.end(), m.group()
@@ -53,12 +61,12 @@ class NoisyOr:
     def sentence(self, text: str) -> float:
         """Score of one sentence; 0 without a word of the vocabulary."""
         w = self.weights
-        seen = [w[x] for x in set(WORD.findall(text.lower())) if x in w]
+        seen = [w[x] for x in features(text) if x in w]
         return 1 / (1 + np.exp(-min(50.0, max(-50.0, sum(seen) + self.bias)))) if seen else 0.0
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Document score and the offending sentences ``(start, end, score >= 0.5)``."""
-        if self.weights.keys().isdisjoint(WORD.findall(text.lower())):
+        if self.weights.keys().isdisjoint(features(text)):
             return self.leak, []
         clean, bad = 1 - self.leak, []
         for s, e, part in sentences(text):
@@ -79,13 +87,19 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     return materialise(src.join(F.broadcast(chosen), "id").select("text", "y"), "toxicity-train")  # 2 * per_class ids at most
 
 
+def _stem(n: int):
+    return lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))
+
+
 def vocabulary(train: DataFrame, size: int = VOCABULARY, min_z: float = MIN_Z) -> list[str]:
-    """The words whose document counts differ most between the classes."""
+    """The features whose document counts differ most between the classes."""
     tot = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = tot.get(0, 0), tot.get(1, 0)
     if not n0 or not n1:
         return []
-    words = train.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_SPARK_WORD), F.lit(0)))).alias("w"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_SPARK_WORD), F.lit(0)))
+    stems = [F.transform(words, _stem(n)) for n in STEMS]
+    words = train.select("y", F.explode(F.array_distinct(F.concat(words, *stems))).alias("w"))
     c = words.groupBy("w").agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1")).where(F.col("c0") + F.col("c1") >= MIN_DOCS)
     p = (F.col("c0") + F.col("c1") + 1.0) / (n0 + n1 + 2.0)
     z = (F.col("c1") / float(n1) - F.col("c0") / float(n0)) / F.sqrt(p * (1 - p) * (1.0 / n0 + 1.0 / n1))
@@ -101,7 +115,7 @@ def bags(train: DataFrame, words: list[str]) -> DataFrame:
         for pdf in parts:
             out = []
             for t in pdf["text"]:
-                found = {tuple(sorted({at[w] for w in WORD.findall(s.lower()) if w in at})) for _, _, s in sentences(t)}
+                found = {tuple(sorted(at[w] for w in features(s) if w in at)) for _, _, s in sentences(t)}
                 out.append([list(x) for x in sorted(found) if x])
             yield pd.DataFrame({"y": pdf["y"], "bag": out})
 

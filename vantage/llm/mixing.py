@@ -143,14 +143,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """``docs`` drawn to the target weights: each row once for each epoch that picks it; all columns stay."""
     cols = docs.columns
-    (row,) = fresh(docs, "row")
+    row, pid, prow, pn, pe = fresh(docs, "row", "pick_id", "pick_row", "pick_n", "pick_e")
     tagged = docs.withColumn(row, F.xxhash64(*map(col, cols)))
     keyed = materialise(keys(tagged, id_col, text_col, lang_col, source_col, F.col(row)), "mix-keys")
     got = select_epochs(keyed, **options).groupBy("id", "row").agg(F.count("*").alias("picked"))
     twins = keyed.groupBy("id", "row").count().withColumnRenamed("count", "twins")
     same = got["id"].eqNullSafe(twins["id"]) & (got["row"] == twins["row"])
-    each = got.join(twins, same).select(got["id"].alias("pick_id"), got["row"].alias("pick_row"),
-                                        F.ceil(F.col("picked") / F.col("twins")).cast("int").alias("pick_n"))
+    each = got.join(twins, same).select(got["id"].alias(pid), got["row"].alias(prow),
+                                        F.ceil(F.col("picked") / F.col("twins")).cast("int").alias(pn))
     each = materialise(each, "mix-picked")
-    out = tagged.join(each, col(id_col).eqNullSafe(F.col("pick_id")) & (F.col(row) == F.col("pick_row")))
-    return out.withColumn("pick_e", F.explode(F.sequence(F.lit(1), F.col("pick_n")))).select(*map(col, cols))
+    out = tagged.join(each, col(id_col).eqNullSafe(F.col(pid)) & (F.col(row) == F.col(prow)))
+    return out.withColumn(pe, F.explode(F.sequence(F.lit(1), F.col(pn)))).select(*map(col, cols))

@@ -118,10 +118,10 @@ class GuessCost:
         for size in (2, 3, 4):  # repeated blocks: the block and the count
             i = 0
             while i + 2 * size <= n:
-                j = i + size
-                while v[j:j + size] == v[i:i + size] and j + size <= n:
+                j, block = i + size, v[i:i + size]
+                while len(set(block)) > 1 and v[j:j + size] == block:
                     j += size
-                if j - i >= 2 * size and len(set(v[i:i + size])) > 1:
+                if j - i >= 2 * size:
                     add(i, j, sum(map(self.brute, v[i:i + size])) + log10((j - i) // size), "repeat")
                     i = j
                 else:

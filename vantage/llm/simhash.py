@@ -122,7 +122,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of near-duplicates: that of the smallest id (null last), ties by all columns."""
     bound_batches(docs.sparkSession)
     cols = docs.columns
-    fp, row = fresh(docs, "fp", "row")
+    fp, row, kid, krow = fresh(docs, "fp", "row", "keep_id", "keep_row")
     tagged = docs.select(*map(col, cols), fingerprint(col(text_col), k).alias(fp), F.xxhash64(*map(col, cols)).alias(row))
     keys = materialise(tagged.select(col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row")), "simhash-keys")
     group = grouped(keys.select("id", "fp"), max_bits, segments)
@@ -130,8 +130,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by = keys.join(group, "fp").groupBy(F.coalesce("component", "fp").alias("g"), F.col("component").isNull().alias("none"))
     keep = by.agg(F.min(rank).alias("r")).select(F.col("r.id").alias("id"), F.col("r.row").alias("row")).distinct()
     keep = materialise(keep, "simhash-kept")
-    same = col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(row) == F.col("keep_row"))
-    got = tagged.join(keep.toDF("keep_id", "keep_row"), same, "left_semi")
+    same = col(id_col).eqNullSafe(F.col(kid)) & (F.col(row) == F.col(krow))
+    got = tagged.join(keep.toDF(kid, krow), same, "left_semi")
     if not keys.groupBy("id", "row").count().where("count > 1").isEmpty():  # rows repeated in every column
         got = got.dropDuplicates([id_col, row])
     return got.select(*map(col, cols))

@@ -75,8 +75,9 @@ def leaf_budgets(leaves: DataFrame, epochs: int, fraction: float, domain_weights
     leaves = leaves.withColumns({"cap": F.col("tokens") * epochs, "one": F.lit(1)})
     langs = leaves.groupBy("one", "domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     domains = langs.groupBy("one", "domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    total = domains.groupBy("one").agg(F.floor(F.sum("tokens").cast("double") * fraction).cast("bigint").alias("budget"))
-    d = water_fill(domains.join(total, "one").withColumn("w", _weight("domain", domain_weights)), ["one"], "domain")
+    total = F.sum("tokens").over(Window.partitionBy("one"))
+    domains = domains.withColumn("budget", F.floor(total.cast("double") * fraction).cast("bigint"))
+    d = water_fill(domains.withColumn("w", _weight("domain", domain_weights)), ["one"], "domain")
     lg = langs.join(d.select("domain", F.col("share").alias("budget")), "domain").withColumn("w", _weight("lang", language_weights))
     lg = water_fill(lg, ["domain"], "lang")
     lf = leaves.join(lg.select("domain", "lang", F.col("share").alias("budget")), ["domain", "lang"]).withColumn("w", _weight("source", source_weights))

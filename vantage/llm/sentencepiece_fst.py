@@ -38,7 +38,7 @@ from vantage.llm.common import bound_batches, col
 
 MARK = "▁"
 #: Bounds of the caches of a worker: segments and their length, pairs of pieces.
-CACHE, CACHED_CHARS, CONTEXTS = 500_000, 32, 1_000_000
+CACHE, CACHED_CHARS, CONTEXTS = 250_000, 32, 1_000_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER_DEFINED, _BYTE = 1, 2, 4, 6
 _UNKNOWN_WEIGHT = 1e6

@@ -24,3 +24,18 @@ def test_incremental_resume(spark, sf_small, tmp_path):
     expected = s.select("dataset", "model").distinct().count()
     assert out.count() == expected > first
     assert out.select("dataset", "model").distinct().count() == expected
+
+
+def test_partials_keep_late_rows(spark, sf_small, tmp_path):
+    from vantage.streaming.incremental import merged
+
+    s = V.scores(spark, sf_small).select("dataset", "model", "auc")
+    src, res, ck = (str(tmp_path / x) for x in ("in", "res", "ck"))
+    part = lambda df: df.groupBy("dataset", "model").agg(F.count("auc").alias("n"), F.sum("auc").alias("t"))
+    for k in range(2):
+        s.where(F.pmod(F.hash("auc"), F.lit(2)) == k).write.parquet(f"{src}/part{k}")
+        run_incremental(spark, src + "/*", s.schema, res, part, ck, partials=True).awaitTermination()
+    out = merged(spark, res, lambda p: p.groupBy("dataset", "model").agg(F.sum("n").alias("n"), (F.sum("t") / F.sum("n")).alias("m")))
+    got = {(r.dataset, r.model): (r.n, round(r.m, 9)) for r in out.collect()}
+    want = s.groupBy("dataset", "model").agg(F.count("auc").alias("n"), F.avg("auc").alias("m")).collect()
+    assert got == {(r.dataset, r.model): (r.n, round(r.m, 9)) for r in want}

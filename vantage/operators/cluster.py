@@ -64,7 +64,7 @@ def _dist2(v, c):
     return F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 50,
+def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 300,
            tol: float = 1e-4, seed: int = 42, kmax: int | None = None):
     """Lloyd's K-means for every group at once.
 
@@ -85,7 +85,8 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
 
     Returns ``(assign, centers, cost)``: labels per row (renumbered by
     first appearance in ``id`` order), centres per (group, cluster), and
-    the inertia of the best restart per group.
+    the inertia of the best restart per group with its ``converged`` flag
+    (false if ``max_iter`` ended it).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -123,12 +124,8 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
                                                                 c["_cid"].alias("cid"))))
         return j.select(*gk, "_id", "_v", best["cid"].alias("_cid"), best["d"].alias("_d"))
 
-    import os
-    import time
-    debug = os.environ.get("VANTAGE_DEBUG")
     prev = None
     for it in range(max_iter):
-        t0 = time.time()
         a = assign(centers)
         new = (a.groupBy(*gk, "_cid").agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
                 .select(*gk, "_cid", vector_to_array("_m").alias("_c")))
@@ -145,10 +142,9 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
             prev.unpersist()
         prev = new if it % 4 != 3 else None
         centers = new.drop("_shift")
-        if debug:
-            print(f"kmeans iter {it} moved={moved} {time.time() - t0:.2f}s", flush=True)
         if not moved:
             break
+    ended = per_run.select(*gk, (F.col("_s2") <= F.col("_tol")).alias("converged")).checkpoint()
     a = assign(centers)
     cost = a.groupBy(*gk).agg(F.sum("_d").alias("inertia"))
     wb = Window.partitionBy(*by).orderBy("inertia", "_run") if by else Window.orderBy("inertia", "_run")
@@ -164,7 +160,7 @@ def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: i
     # the cached input is released; the returned plans start from the last
     # centre table and recompute the (cheap) point scan when used
     pts.unpersist()
-    return assign_out, cent, best.select(*by, "inertia")
+    return assign_out, cent, best.join(ended, gk).select(*by, "inertia", "converged")
 
 
 def elbow_curve(df: DataFrame, by: Sequence[str], id_col: str, vec: str, kmax: int = 9, n_init: int = 10,
@@ -236,12 +232,15 @@ def _first_rows(df, key, id_col, cap):
     return head_per_group(df, [key], [id_col], cap) if cap else df
 
 
-def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], k: int = 5, cap: int = 300,
-                       key: str = "dataset", id_col: str = "row_id", n_init: int = 10) -> DataFrame:
-    """Per (dataset, model): K-means (k = 5) on the raw features and on
-    the embeddings of the first ``cap`` rows, then Spearman and cosine of
+def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], k: int | DataFrame = 5,
+                       cap: int | None = None, kmax: int = 10, key: str = "dataset", id_col: str = "row_id", n_init: int = 10) -> DataFrame:
+    """Per (dataset, model): K-means on the raw features and on the
+    embeddings of all rows (with ``cap`` the first ones), then Spearman and cosine of
     the two centre-to-centre distance matrices.
 
+    ``k`` is one number or a table ``(key, k)`` with a k of its own for each
+    dataset, ``kmax`` at most.
+
     Deviation: K-means labels are arbitrary, so centres are paired by their
     first-appearance order (smallest row id) rather than by raw label.
     """
@@ -251,18 +250,23 @@ def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str],
                         key, id_col, cap)
     rv = raw.join(first, [key, id_col], "left_semi").withColumn("_vec", F.array(*[F.col(c).cast("double") for c in raw_cols]))
     ev = emb.join(first, [key, id_col], "left_semi")
-    _, rc, _ = kmeans(rv, [key], id_col, "_vec", k, n_init=n_init)
-    _, ec, _ = kmeans(ev, [key, "model"], id_col, "embedding", k, n_init=n_init)
+    if isinstance(k, DataFrame):
+        rv, ev = (x.join(k.select(key, F.col("k").alias("_k")), key) for x in (rv, ev))
+        _, rc, _ = kmeans(rv, [key, "_k"], id_col, "_vec", "_k", n_init=n_init, kmax=kmax)
+        _, ec, _ = kmeans(ev, [key, "model", "_k"], id_col, "embedding", "_k", n_init=n_init, kmax=kmax)
+    else:
+        _, rc, _ = kmeans(rv, [key], id_col, "_vec", k, n_init=n_init)
+        _, ec, _ = kmeans(ev, [key, "model"], id_col, "embedding", k, n_init=n_init)
     rd = center_distances(rc, [key]).select(key, "i", "j", F.col("dist").alias("d_raw"))
     ed = center_distances(ec, [key, "model"]).select(key, "model", "i", "j", F.col("dist").alias("d_emb"), "w")
     return matrix_similarity(ed.join(rd, [key, "i", "j"]), [key, "model"], "d_raw", "d_emb", "w")
 
 
-def assign_clusters(samples: DataFrame, emb: DataFrame, k: int = 2, key: str = "dataset", id_col: str = "row_id",
-                    n_init: int = 10) -> DataFrame:
-    """``cluster_<model>`` label columns beside the sample rows."""
+def assign_clusters(samples: DataFrame, emb: DataFrame, models: Sequence[str], k: int = 2, key: str = "dataset",
+                    id_col: str = "row_id", n_init: int = 10) -> DataFrame:
+    """``cluster_<model>`` label columns, for the named models, beside the sample rows."""
+    emb = emb.where(F.col("model").isin(*models))
     a, _, _ = kmeans(emb, [key, "model"], id_col, "embedding", k, n_init=n_init)
-    models = [r[0] for r in emb.select("model").distinct().orderBy("model").collect()]
     wide = a.groupBy(key, id_col).pivot("model", models).agg(F.first("cluster"))
     return samples.join(wide.select(key, id_col, *[F.col(m).alias(f"cluster_{m}") for m in models]), [key, id_col], "left")
 

@@ -145,8 +145,7 @@ def _cell_key(vec: str, r: Column, offset=None) -> Column:
     return F.concat_ws(",", F.transform(cells, lambda c: c.cast("string")))
 
 
-def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int, dim: int,
-               max_rounds: int = 12) -> DataFrame:
+def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int, dim: int) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) inside each group, without the
     all-pairs product.
 
@@ -154,8 +153,9 @@ def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int,
     the points of its 3^dim neighbouring cells, and its k-th nearest
     candidate is exact whenever it lies within r (every point closer than
     r is in a neighbouring cell).  Points not resolved in a round are
-    retried with r doubled; r starts from the group's extent and size so a
-    cell holds about k points.  Meant for the low-dimensional encoded
+    retried with r doubled until none is left; r starts from the middle 80%
+    of the group's values and its size, so a cell holds about k points even
+    if a few points lie far out.  Meant for the low-dimensional encoded
     feature space SMOTE works in.  Output: ``by, id, nbr, nbr_vec, d``.
     """
     import itertools
@@ -163,14 +163,17 @@ def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int,
     by = list(by)
     pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     ext = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                               *[(F.max(F.col("_v")[i]) - F.min(F.col("_v")[i])).alias(f"_e{i}") for i in range(dim)])
+                               *[F.percentile_approx(F.col("_v")[i], [0.0, 0.1, 0.9, 1.0], 1000).alias(f"_q{i}") for i in range(dim)])
+    for i in range(dim):
+        q = F.col(f"_q{i}")
+        ext = ext.withColumn(f"_e{i}", F.when(q[2] > q[1], (q[2] - q[1]) / 0.8).otherwise(q[3] - q[0]))
     span = F.greatest(*[F.col(f"_e{i}") for i in range(dim)], F.lit(1e-9)) if dim > 1 else F.greatest(F.col("_e0"), F.lit(1e-9))
     r0 = span / F.pow(F.greatest(F.col("_n") / float(max(k, 1)), F.lit(1.0)), 1.0 / dim)
     pts = pts.join(ext.select(*by, "_n", r0.alias("_r")), by)
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=dim)])
     todo = pts
     done = None
-    for rnd in range(max_rounds):
+    while True:
         data = todo.select(*by, "_r").distinct().join(pts.drop("_r"), by)
         data = data.select(*by, "_r", F.col("_id").alias("nbr"), F.col("_v").alias("nbr_vec"),
                            _cell_key("_v", F.col("_r")).alias("_cell"))
@@ -219,11 +222,11 @@ def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k
     m = base.join(sizes, [*by, label]).where(F.col("_need") > 0).withColumn("_rk", F.row_number().over(wr) - 1)
     copies = (F.floor(F.col("_need") / F.col("_nc")) + F.when(F.col("_rk") < F.col("_need") % F.col("_nc"), 1).otherwise(0))
     m = m.withColumn("_copies", copies.cast("int")).where(F.col("_copies") > 0)
-    m = m.join(nbrs, [*by, label, id_col]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    m = m.join(nbrs, [*by, label, id_col], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     hh = F.xxhash64(F.col(id_col), F.col("_copy"), F.lit(seed))
     pick = (F.abs(hh) % F.size("_nb")).cast("int")
     gap = (F.abs(F.xxhash64(F.col(id_col), F.col("_copy"), F.lit(seed + 1))) % 1000003) / 1000003.0
-    nv = F.element_at("_nb", pick + 1)["nbr_vec"]
+    nv = F.coalesce(F.when(F.size("_nb") > 0, F.element_at("_nb", pick + 1)["nbr_vec"]), F.col(vec))  # a class of one repeats its row
     new = m.select(*by, label, F.concat_ws("#", F.col(id_col).cast("string"), F.col("_copy").cast("string")).alias(id_col),
                    F.zip_with(vec, nv, lambda a, b: a + gap * (b - a)).alias(vec), F.lit(True).alias("synthetic"))
     orig = base.select(*by, label, F.col(id_col).cast("string").alias(id_col), vec, F.lit(False).alias("synthetic"))

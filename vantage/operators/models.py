@@ -24,49 +24,71 @@ def _as_exprs(xs) -> dict[str, Column]:
 
 
 def cross_moments(df: DataFrame, by: Sequence[str], y: str | Column, xs, where: Column | None = None) -> DataFrame:
-    """Sufficient statistics of OLS with intercept for each group.
-
-    Output: ``by, n, s_i_j (i <= j), sy_i, syy`` where index 0 is the
-    intercept and 1.. follow ``xs`` order.  ``where`` restricts the rows
-    (e.g. training rows) without a second scan.
+    """Sufficient statistics of OLS with intercept for each group, centred.
+
+    Output: ``by, n, s_0_0`` (= n), ``s_0_j`` and ``sy_0`` (means), and for
+    i, j >= 1 the centred sums of products ``s_i_j (i <= j), sy_i, syy``;
+    index 0 is the intercept and 1.. follow ``xs`` order.  Centring inside
+    the aggregate (``covar_pop`` merges means and co-moments) keeps the
+    result right for columns far from zero.  ``where`` restricts the rows
+    (e.g. training rows) without a second scan; rows with a missing value
+    in any column do not count.
     """
     ex = _as_exprs(xs)
-    cols = [F.lit(1.0)] + [c.cast("double") for c in ex.values()]
+    cols = [c.cast("double") for c in ex.values()]
     yv = (F.col(y) if isinstance(y, str) else y).cast("double")
     keep = F.lit(True) if where is None else where
+    for c in (*cols, yv):
+        keep = keep & c.isNotNull()
+    cols, yv = [F.when(keep, c) for c in cols], F.when(keep, yv)
+    n = F.count(F.when(keep, F.lit(1)))
+
+    def s(a, b):
+        return F.covar_pop(a, b) * n
+
+    aggs = [n.alias("n"), n.cast("double").alias("s_0_0"), F.avg(yv).alias("sy_0"), s(yv, yv).alias("syy")]
+    for i, a in enumerate(cols, 1):
+        aggs += [F.avg(a).alias(f"s_0_{i}"), s(a, yv).alias(f"sy_{i}")]
+        aggs += [s(a, b).alias(f"s_{i}_{j}") for j, b in enumerate(cols[i - 1:], i)]
+    return df.groupBy(*by).agg(*aggs)
 
-    def s(e):
-        return F.sum(F.when(keep, e))
 
-    aggs = [F.count(F.when(keep, F.lit(1))).alias("n")]
-    p = len(cols)
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(s(cols[i] * cols[j]).alias(f"s_{i}_{j}"))
-        aggs.append(s(cols[i] * yv).alias(f"sy_{i}"))
-    aggs.append(s(yv * yv).alias("syy"))
-    return df.groupBy(*by).agg(*aggs)
+def mask_moments(mom: DataFrame, use: Sequence[Column]) -> DataFrame:
+    """Moments of the sub-design that ``use`` (a boolean per feature, in order) picks in each group: the others get zero
+    rows and columns, which ``solve_moments`` turns into coefficient 0."""
+    out = {}
+    for i, a in enumerate(use, 1):
+        out[f"sy_{i}"] = F.when(a, F.col(f"sy_{i}")).otherwise(0.0)
+        for j, b in enumerate(use[i - 1:], i):
+            out[f"s_{i}_{j}"] = F.when(a & b, F.col(f"s_{i}_{j}")).otherwise(0.0)
+    return mom.withColumns(out)
 
 
 def solve_moments(mom: DataFrame, by: Sequence[str], idx: Sequence[int], names: Sequence[str],
                   prefix: str = "b_", keep: Sequence[str] = ()) -> DataFrame:
-    """Solve the normal equations of the sub-design ``idx`` (0 = intercept).
+    """Solve the normal equations of the sub-design ``idx`` (first 0, the intercept).
 
+    The slopes come from the centred system, the intercept from the means.
     Gauss-Jordan without row exchange on the symmetric positive
     semi-definite matrix, one projection per pivot (see
     ``vantage.functions.linalg``).  Collinear columns get coefficient 0.
     Output: ``by, n, keep..., <prefix>intercept, <prefix><name>...``.
     """
+    if idx[0] != 0:
+        raise ValueError("idx starts with 0, the intercept")
+    idx = list(idx[1:])
     p = len(idx)
-    q = ", ".join(f"`{c}`" for c in [*by, "n", *keep])
+    means = ["sy_0", *[f"s_0_{i}" for i in idx]]
+    q = ", ".join(f"`{c}`" for c in [*by, "n", *keep, *[c for c in means if c not in keep]])
+    out_q = ", ".join(f"`{c}`" for c in [*by, "n", *keep])
     # the p projections as one nested statement: analysed once instead of
     # once per step (each DataFrame step re-analyses the growing plan)
-    text = f"SELECT {q}, {', '.join(LA.normal_equation_inputs(idx))} FROM {{mom}}"
+    text = f"SELECT {', '.join([q, *LA.normal_equation_inputs(idx)])} FROM {{mom}}"
     for k in range(p):
         text = f"SELECT {q}, {', '.join(LA.gauss_jordan_step(k, p))} FROM ({text}) AS step{k}"
-    labels = ["intercept"] + list(names)
-    outs = ", ".join(f"r_{i} AS `{prefix}{labels[i]}`" for i in range(p))
-    return mom.sparkSession.sql(f"SELECT {q}, {outs} FROM ({text}) AS solved", mom=mom)
+    intercept = " - ".join(["sy_0", *[f"r_{k} * s_0_{i}" for k, i in enumerate(idx)]])
+    outs = ", ".join([f"{intercept} AS `{prefix}intercept`", *[f"r_{k} AS `{prefix}{name}`" for k, name in enumerate(names)]])
+    return mom.sparkSession.sql(f"SELECT {out_q}, {outs} FROM ({text}) AS solved", mom=mom)
 
 
 def grouped_ols(df: DataFrame, by: Sequence[str], y: str, xs, where: Column | None = None,
@@ -178,13 +200,15 @@ def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: in
     point (damping / 10), otherwise the damping grows x 10; the next
     candidate solves (J'J + lam diag(J'J)) d = J'r at the best point.  The
     parameter table (one row per group) is checkpointed to the session's
-    shared folder every few iterations.
+    shared folder every few iterations, where the fit also ends once no
+    group moves by more than 1e-10 of its parameters.  The input is written
+    there once and not read again.
     """
     from vantage.session import checkpoint_dir
 
     by = list(by)
     checkpoint_dir(df.sparkSession)
-    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).checkpoint()
     keys = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     big = F.lit(float("inf"))
     st = keys.select(*by, F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(1e-3).alias("lam"),
@@ -212,9 +236,12 @@ def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: in
         da = F.coalesce(F.try_divide(m22 * F.col("bar") - F.col("bab") * F.col("bbr"), det), F.lit(0.0))
         db = F.coalesce(F.try_divide(m11 * F.col("bbr") - F.col("bab") * F.col("bar"), det), F.lit(0.0))
         st = g.select(*by, (F.col("best_a") + da).alias("a"), (F.col("best_b") + db).alias("b"), "lam", "best_sse",
-                      "best_a", "best_b", "baa", "bab", "bbb", "bar", "bbr")
+                      "best_a", "best_b", "baa", "bab", "bbb", "bar", "bbr",
+                      F.greatest(F.abs(da) / (F.abs("best_a") + 1e-12), F.abs(db) / (F.abs("best_b") + 1e-12)).alias("step"))
         if i % 5 == 4:
             st = st.checkpoint()
+            if st.where("step > 1e-10").isEmpty():
+                break
     return st.select(*by, F.col("best_a").alias("a"), F.col("best_b").alias("b"), F.col("best_sse").alias("sse"))
 
 

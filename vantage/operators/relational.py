@@ -88,8 +88,9 @@ def merge_with_metadata(pairs: DataFrame, meta: DataFrame, on: str = "dataset",
     """Pair table + metadata.  With ``dedupe`` the metadata is first cut to
     one row per key (the reference fans out instead)."""
     if dedupe:
-        cols = [c for c in meta.columns if c != on]
-        meta = meta.groupBy(on).agg(*[F.first(c).alias(c) for c in cols])
+        # the least whole row of each key: never values of different rows
+        rest = F.struct(*[F.col(c) for c in meta.columns if c != on])
+        meta = meta.groupBy(on).agg(F.min(rest).alias("_row")).select(on, "_row.*")
     return pairs.join(meta, on, "inner")
 
 

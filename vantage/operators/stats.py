@@ -113,20 +113,24 @@ def one_vs_rest_ttest(df: DataFrame, by: Sequence[str], group: str, value: str,
     """Welch test of each ``group`` against all other rows of its ``by`` partition.
 
     One aggregate per (by, group); the "rest" moments are the partition
-    totals minus the group's own (sum, sum of squares, count), so there is
-    no second scan per group.
+    totals minus the group's own (count, sum and sum of squares of the
+    deviations from the partition's mean, so that nothing cancels far from
+    zero); there is no second scan per group.
     """
     v = _nan_to_null(F.col(value))
-    g = df.groupBy(*by, group).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"),
-                                   F.avg(v).alias("_m"), F.var_samp(v).alias("_var"))
+    g = df.groupBy(*by, group).agg(F.count(v).alias("_n"), F.avg(v).alias("_m"), F.var_samp(v).alias("_var"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    g = (g.withColumn("_tn", F.sum("_n").over(w)).withColumn("_ts", F.sum("_s").over(w))
-          .withColumn("_tss", F.sum("_ss").over(w)))
+    g = g.withColumn("_tn", F.sum("_n").over(w))
+    g = g.withColumn("_tm", F.sum(F.col("_m") * F.col("_n") / F.col("_tn")).over(w))
+    g = g.withColumn("_s", F.coalesce(F.col("_n") * (F.col("_m") - F.col("_tm")), F.lit(0.0)))
+    g = g.withColumn("_ss", F.coalesce(F.col("_var") * (F.col("_n") - 1), F.lit(0.0)) + F.coalesce(F.col("_s") * (F.col("_m") - F.col("_tm")), F.lit(0.0)))
+    g = g.withColumn("_ts", F.sum("_s").over(w)).withColumn("_tss", F.sum("_ss").over(w))
     rn = F.col("_tn") - F.col("_n")
     rs = F.col("_ts") - F.col("_s")
     rss = F.col("_tss") - F.col("_ss")
-    rm = F.try_divide(rs, rn.cast("double"))
-    rv = F.try_divide(rss - rn * rm * rm, (rn - 1).cast("double"))
+    rd = F.try_divide(rs, rn.cast("double"))
+    rm = F.col("_tm") + rd
+    rv = F.try_divide(rss - rn * rd * rd, (rn - 1).cast("double"))
     t, dof = welch_from_moments(F.col("_n"), F.col("_m"), F.col("_var"), rn, rm, F.greatest(rv, F.lit(0.0)))
     out = g.select(*by, group, F.col("_n").alias("n"), F.col("_m").alias("mean"), rn.alias("n_rest"),
                    rm.alias("mean_rest"), t.alias("t_stat"), dof.alias("dof"))

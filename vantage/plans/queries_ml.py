@@ -229,29 +229,27 @@ def i2_pca(spark, d):
 @register("i5_assign_clusters")
 def i5_assign_clusters(spark, d):
     """cluster_<model> label columns beside the raw rows (k = 2)."""
-    out = CL.assign_clusters(V.emb_raw(spark, d), V.emb_long(spark, d), k=2)
+    out = CL.assign_clusters(V.emb_raw(spark, d), V.emb_long(spark, d), V.EMB_MODELS, k=2)
     cols = [c for c in out.columns if c.startswith("cluster_")]
     return out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_share") for c in cols])
 
 
 @register("i9_cluster_similarity")
 def i9_cluster_similarity(spark, d):
-    """Cluster-geometry similarity (k = 5, first 300 rows)."""
-    return CL.cluster_similarity(V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"], k=5, cap=CAP)
+    """Cluster-geometry similarity (k = 5) over all rows."""
+    return CL.cluster_similarity(V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"], k=5)
 
 
 @register("i10_cluster_similarity_reduced")
 def i10_cluster_similarity_reduced(spark, d):
-    """As I9 with mean imputation, 2-D PCA of the embeddings and a
-    data-chosen k."""
+    """As I9 with mean imputation, 2-D PCA of the embeddings and a k
+    of its own (2 to 10, by distinct rows) for each dataset."""
     raw = J.impute(V.emb_raw(spark, d), ["dataset"], ["x1", "x2", "x3"], "mean")
     emb = V.emb_long(spark, d)
     scores, _ = CL.pca(emb, ["dataset", "model"], "row_id", "embedding", 16, 2)
     emb2 = scores.withColumnRenamed("scores", "embedding")
-    k = CL.choose_k(raw, ["dataset"], ["x1", "x2", "x3"], cap=CAP)
-    kk = int(k.agg(F.max("k")).first()[0] or 2)
-    kk = min(kk, 5)
-    return CL.cluster_similarity(raw, emb2, ["x1", "x2", "x3"], k=kk, cap=CAP)
+    k = CL.choose_k(raw, ["dataset"], ["x1", "x2", "x3"])
+    return CL.cluster_similarity(raw, emb2, ["x1", "x2", "x3"], k=k)
 
 
 @register("i13_audit_table")
@@ -270,7 +268,7 @@ def i13_audit_table(spark, d):
 @register("i15_cluster_count_summary")
 def i15_cluster_count_summary(spark, d):
     """Elbow k (k = 1..9) per (dataset, model), summarised per model."""
-    return CL.cluster_count_summary(V.emb_long(spark, d), kmax=9, n_init=3)
+    return CL.cluster_count_summary(V.emb_long(spark, d), kmax=9)
 
 
 @register("i1_embed_texts")
@@ -278,7 +276,7 @@ def i1_embed_texts(spark, d):
     """Text -> vector in batches (tokenise, hashed term counts, IDF,
     L2 norm), the re-aimed row embedding."""
     from vantage.operators.text import embed_texts
-    e = embed_texts(V.docs(spark, d), "text", dim=256)
+    e = embed_texts(V.table(spark, d, "documents"), "text", dim=256)
     return e.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("norm").alias("mean_norm"),
                                  F.avg("nnz").alias("mean_nnz"))
 
@@ -564,33 +562,40 @@ def _k13_sql():
     q = base("samples")
     _design_sql(q)
     q.add("km", D.moments_sql("sd", ["dataset"], "x3", R.ASSISTED, "NOT is_test"))
-    c = D.solve_sql(q, "km", ["dataset"], [0, 1, 2, 3, 4], R.ASSISTED, "b_", tag="kg")
-    lists = _chosen_sql(REQUESTED)
-    feats = ["x1", "x2", "cat1_B", "cat2_Y"]
-    coef_terms = []
-    for f in feats:
-        base_name = f.split("_")[0]
-        coef_terms.append(f"CASE WHEN list_contains(lst, '{base_name}') THEN printf('%.3f*{f}', b_{f}) END")
-    q.add("eq", f"""SELECT DISTINCT s.dataset, list_filter({lists}, lambda f: list_contains(['x1', 'x2', 'x3', 'cat1', 'cat2'], f) AND f <> 'x3') AS lst
+    q.add("eq", f"""SELECT DISTINCT s.dataset, list_filter({_chosen_sql(REQUESTED)}, lambda f: list_contains(['x1', 'x2', 'x3', 'cat1', 'cat2'], f) AND f <> 'x3') AS lst
        FROM samples s""")
-    return q.sql(f"""SELECT e.dataset, 'x3 = ' || concat_ws(' + ', printf('%.3f', b_intercept), {', '.join(coef_terms)}) AS equation
-       FROM eq e JOIN {c} c ON e.dataset = c.dataset""")
+    use = {i: f"list_contains(lst, '{f.split('_')[0]}')" for i, f in enumerate(R.ASSISTED, 1)}
+    cols = [f"CASE WHEN {use[i]} THEN sy_{i} ELSE 0.0 END AS sy_{i}" for i in use]
+    cols += [f"CASE WHEN {use.get(i, 'TRUE')} AND {use[j]} THEN s_{i}_{j} ELSE 0.0 END AS s_{i}_{j}" for i in (0, *use) for j in use if j >= i]
+    q.add("kmask", f"SELECT km.dataset, n, lst, s_0_0, sy_0, {', '.join(cols)} FROM km JOIN eq ON km.dataset = eq.dataset")
+    c = D.solve_sql(q, "kmask", ["dataset"], [0, 1, 2, 3, 4], R.ASSISTED, "b_", keep=["lst"], tag="kg")
+    terms = [f"CASE WHEN {use[i]} THEN printf('%.3f*{f}', b_{f}) END" for i, f in sorted(enumerate(R.ASSISTED, 1), key=lambda x: _K13_ORDER.index(x[1]))]
+    q.add("pr", f"SELECT t.dataset, t.x3 AS y, b_intercept + {' + '.join(f'b_{f} * t.{f}' for f in R.ASSISTED)} AS yhat FROM sd t JOIN {c} c ON t.dataset = c.dataset WHERE t.is_test")
+    q.add("met", f"""SELECT dataset, count(*) AS n, 1.0 - {D.div('sum((y - yhat) * (y - yhat))', 'var_pop(y) * count(*)')} AS r2,
+       sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat)) AS mae FROM pr GROUP BY dataset""")
+    return q.sql(f"""SELECT c.dataset, 'x3 = ' || concat_ws(' + ', printf('%.3f', b_intercept), {', '.join(terms)}) AS equation,
+       met.n, {r6('r2')} AS r2, {r6('rmse')} AS rmse, {r6('mae')} AS mae FROM {c} c JOIN met ON c.dataset = met.dataset""")
+
+
+_K13_ORDER = ["x1", "x2", "cat1_B", "cat2_Y"]
 
 
 @register("k13_assisted_regression", _k13_sql)
 def k13_assisted_regression(spark, d):
-    """Assisted regression on each dataset's requested (usable) features;
-    the equation text of the fit (terms of unrequested features dropped)."""
+    """Assisted regression fitted on each dataset's requested (usable)
+    features alone: equation of that fit and its test metrics.  All datasets
+    are solved together, the features left out as zero rows of the moments."""
     s = R.design(V.samples(spark, d))
-    coef = K.grouped_ols(s, ["dataset"], "x3", R.ASSISTED, where=~F.col("is_test")).drop("n")
     avail = F.array(*[F.lit(c) for c in ["x1", "x2", "x3", "cat1", "cat2"]])
     lists = V.samples(spark, d).select("dataset", "equation").distinct().select(
         "dataset", F.filter(_chosen_col(REQUESTED), lambda f: F.array_contains(avail, f) & (f != "x3")).alias("lst"))
-    j = lists.join(coef, "dataset")
-    terms = [F.when(F.array_contains("lst", f.split("_")[0]), F.format_string(f"%.3f*{f}", F.col(f"b_{f}")))
-             for f in ["x1", "x2", "cat1_B", "cat2_Y"]]
+    use = {f: F.array_contains("lst", f.split("_")[0]) for f in R.ASSISTED}
+    mom = K.cross_moments(s, ["dataset"], "x3", R.ASSISTED, where=~F.col("is_test")).join(lists, "dataset")
+    coef = K.solve_moments(K.mask_moments(mom, list(use.values())), ["dataset"], [0, 1, 2, 3, 4], R.ASSISTED, "b_", keep=["lst"]).drop("n")
+    pred = s.where(F.col("is_test")).join(coef, "dataset").select("dataset", F.col("x3").alias("y"), K.linear_prediction("b_", R.ASSISTED).alias("yhat"))
+    terms = [F.when(use[f], F.format_string(f"%.3f*{f}", F.col(f"b_{f}"))) for f in _K13_ORDER]
     eq = F.concat(F.lit("x3 = "), F.concat_ws(" + ", F.format_string("%.3f", F.col("b_intercept")), *terms))
-    return j.select("dataset", eq.alias("equation"))
+    return coef.select("dataset", eq.alias("equation")).join(K.regression_metrics(pred, ["dataset"]), "dataset")
 
 
 @register("k3_random_forest")
@@ -630,8 +635,8 @@ def _pooled_classifier(spark, d, kind):
     pred = model.transform(docs.where(F.col("is_test")))
     if "probability" in pred.columns:
         pred = pred.withColumn("score", vector_to_array("probability")[1])
-    else:
-        pred = pred.withColumn("score", F.col("prediction"))
+    else:  # one-vs-rest: the raw score of the positive class
+        pred = pred.withColumn("score", vector_to_array("rawPrediction")[1])
     a = K.auc(pred, ["lang"], "quality", "score")
     m = pred.groupBy("lang").agg(F.sqrt(F.avg(F.pow(F.col("quality") - F.col("prediction"), 2))).alias("rmse"),
                                  F.avg(F.abs(F.col("quality") - F.col("prediction"))).alias("mae"))
@@ -676,14 +681,14 @@ def m6_complexity_frontier(spark, d):
 
 @register("k15_clinical_pipeline")
 def k15_clinical_pipeline(spark, d):
-    """Labelled rows -> sentence -> embedding -> 2 clusters -> silhouette;
-    plus SMOTE + forest on the encoded features (documents as the table)."""
+    """K15, clustering half: labelled rows -> sentence -> embedding -> 2
+    clusters -> silhouette (documents as the table)."""
     from vantage.operators.text import embed_texts
     docs = V.docs(spark, d).withColumn("outcome", B.binarize("quality", 0, "good", "poor"))
     docs = docs.withColumn("sentence", B.row_sentence(["quality", "toxic"], skip=("outcome",)))
     docs = docs.withColumn("sentence", F.concat_ws(" ", "sentence", "lang", "source"))
     e = embed_texts(docs.withColumn("one", F.lit("all")), "sentence", dim=64, key="doc_id")
-    a, _, _ = CL.kmeans(e, ["one"], "doc_id", "embedding", 2, n_init=3)
+    a, _, _ = CL.kmeans(e, ["one"], "doc_id", "embedding", 2)
     lab = a.join(e.select("one", "doc_id", "embedding"), ["one", "doc_id"])
     # whole table: squared-Euclidean silhouette from per-cluster sums
     sil = VX.silhouette_sq(lab, ["one"], "embedding", "cluster")

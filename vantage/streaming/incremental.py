@@ -21,27 +21,36 @@ from pyspark.sql import types as T
 from vantage.operators.relational import pending
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _read_done(spark: SparkSession, result_path: str, keys: Sequence[str]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(result_path).select(*keys).distinct()
-    except Exception:  # no result table yet
-        return None
+    """Keys with a result; None if there is no result table yet (any other failure to read it is raised)."""
+    return spark.read.parquet(result_path).select(*keys).distinct() if _exists(spark, result_path) else None
 
 
 def run_incremental(spark: SparkSession, source_dir: str, schema: T.StructType, result_path: str,
-                    compute: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("dataset", "model"),
-                    checkpoint_location: str | None = None, available_now: bool = True):
+                    compute: Callable[[DataFrame], DataFrame], checkpoint_location: str,
+                    keys: Sequence[str] = ("dataset", "model"), available_now: bool = True, partials: bool = False):
     """Start (and with ``available_now`` finish) an incremental run.
 
-    ``compute`` maps the pending input rows of a micro-batch to result rows
-    that carry ``keys``.  Returns the streaming query handle.
+    ``compute`` maps the input rows of a micro-batch to result rows that
+    carry ``keys``.  ``checkpoint_location`` is a folder in shared storage
+    that stays the same across restarts.  By default only keys without a
+    result are computed (the resume rule).  With ``partials`` every row
+    counts: each micro-batch writes its partial results under its own
+    number (a replayed batch replaces its own), and ``merged`` adds them up,
+    so rows of a known key that arrive later are not lost.  Returns the
+    streaming query handle.
     """
-    from vantage.session import checkpoint_dir
-
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/incremental-{abs(hash(result_path))}"
     keys = list(keys)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
+        if partials:
+            compute(df).write.mode("overwrite").parquet(f"{result_path.rstrip('/')}/epoch={epoch_id}")
+            return
         done = _read_done(df.sparkSession, result_path, keys)
         todo = df if done is None else pending(df, done, keys)
         out = compute(todo)
@@ -50,6 +59,11 @@ def run_incremental(spark: SparkSession, source_dir: str, schema: T.StructType,
         out.dropDuplicates().write.mode("append").parquet(result_path)
 
     w = (spark.readStream.schema(schema).parquet(source_dir).writeStream
-         .foreachBatch(batch).option("checkpointLocation", ckpt))
+         .foreachBatch(batch).option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def merged(spark: SparkSession, result_path: str, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of a ``partials`` run: ``combine`` reduces the partial rows of all micro-batches (one aggregate by key)."""
+    return combine(spark.read.parquet(result_path).drop("epoch"))

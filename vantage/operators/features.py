@@ -153,7 +153,7 @@ def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int,
     the points of its 3^dim neighbouring cells, and its k-th nearest
     candidate is exact whenever it lies within r (every point closer than
     r is in a neighbouring cell).  Points not resolved in a round are
-    retried with r doubled until none is left; r starts from the middle 80%
+    retried with a larger r until none is left; r starts from the middle 80%
     of the group's values and its size, so a cell holds about k points even
     if a few points lie far out.  Meant for the low-dimensional encoded
     feature space SMOTE works in.  Output: ``by, id, nbr, nbr_vec, d``.
@@ -173,6 +173,7 @@ def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int,
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=dim)])
     todo = pts
     done = None
+    grow = 2.0
     while True:
         data = todo.select(*by, "_r").distinct().join(pts.drop("_r"), by)
         data = data.select(*by, "_r", F.col("_id").alias("nbr"), F.col("_v").alias("nbr_vec"),
@@ -190,9 +191,10 @@ def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int,
         res = top.join(ok, [*by, "_id"], "left_semi").select(*by, F.col("_id").alias(id_col), "nbr", "nbr_vec", "d")
         done = res if done is None else done.unionByName(res)
         todo = todo.join(ok, [*by, "_id"], "left_anti").where(F.col("_n") > 1)
-        todo = todo.withColumn("_r", F.col("_r") * 2.0).checkpoint()
+        todo = todo.withColumn("_r", F.col("_r") * grow).checkpoint()
         if todo.isEmpty():
             break
+        grow = min(2.0 * grow, 64.0)  # what is left after some rounds lies far out
     return done
 
 

@@ -150,15 +150,15 @@ def t_ppf(p: float, nu: str) -> str:
 def norm_sf2(z: str) -> str:
     """1 - 2 phi(z) sum z^(2n+1) / (2n+1)!!; all terms are positive."""
     zz = f"greatest(least(abs({z}), 9.0), 1e-300)"
-    term = f"exp((2 * n + 1) * ln({zz}) - lgamma(n + 1.5) - (n + 1) * ln(2.0) + 0.5 * ln(pi()) - {zz} * {zz} / 2.0)"
-    return f"greatest(1.0 - sqrt(2.0 / pi()) * list_sum(list_transform(range(0, {_SERIES}), lambda n: {term})), 0.0)"
+    term = f"exp((2 * term_no + 1) * ln({zz}) - lgamma(term_no + 1.5) - (term_no + 1) * ln(2.0) + 0.5 * ln(pi()) - {zz} * {zz} / 2.0)"
+    return f"greatest(1.0 - sqrt(2.0 / pi()) * list_sum(list_transform(range(0, {_SERIES}), lambda term_no: {term})), 0.0)"
 
 
 def chi2_sf(x: str, k: int) -> str:
     """1 - sum e^-s s^(a+n) / Gamma(a+n+1), s = x/2, a = k/2."""
     s, a = f"(({x}) / 2.0)", k / 2
-    term = f"exp(-{s} + ({a} + n) * ln({s}) - lgamma({a} + n + 1.0))"
-    body = f"list_sum(list_transform(range(0, {_SERIES} + CAST(least({s}, 1e5) AS BIGINT) * 2), lambda n: {term}))"
+    term = f"exp(-{s} + ({a} + term_no) * ln({s}) - lgamma({a} + term_no + 1.0))"
+    body = f"list_sum(list_transform(range(0, {_SERIES} + CAST(least({s}, 1e5) AS BIGINT) * 2), lambda term_no: {term}))"
     return f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE greatest(least(1.0 - {body}, 1.0), 0.0) END)"
 
 

@@ -168,3 +168,35 @@ def silhouette_sq(df: DataFrame, by: Sequence[str], vec: str, label: str) -> Dat
     scored = j.select(*by, s.alias("_s"), F.size("_cs").alias("_k"))
     return scored.groupBy(*by).agg(F.when(F.max("_k") > 1, F.avg("_s")).alias("silhouette_sq"),
                                    F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- whole-group forms (no pairs, no sample)
+
+def mean_sq_distance(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """I8 / D7 over whole groups: mean squared distance of all ordered row pairs (diagonal included),
+    which is twice the sum of the population variances: one aggregate."""
+    total = F.lit(0.0)
+    for c in cols:
+        total = total + F.var_pop(F.col(c).cast("double"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.lit(2.0) * total).alias("mean_sq_dist"))
+
+
+def linear_cka(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], dim: int, key: str = "dataset", id_col: str = "row_id",
+               model: str = "model", vec: str = "embedding") -> DataFrame:
+    """I12 over whole groups: similarity of raw and embedded row geometry as linear CKA,
+    |Cxy|^2 / (|Cxx| |Cyy|) with Frobenius norms of the covariance matrices (the cosine of the two centred
+    row-similarity matrices).  One join on the row and one aggregate; null for a constant side."""
+    j = emb.join(raw.select(key, id_col, *raw_cols), [key, id_col])
+    x = [F.col(c).cast("double") for c in raw_cols]
+    y = [F.col(vec)[i].cast("double") for i in range(dim)]
+
+    def norm2(a, b, same):
+        terms = [(F.lit(1.0 if not same or i == k else 2.0)) * F.pow(F.covar_pop(u, v), 2)
+                 for i, u in enumerate(a) for k, v in enumerate(b) if not same or k >= i]
+        out = terms[0]
+        for t in terms[1:]:
+            out = out + t
+        return out
+
+    g = j.groupBy(key, model).agg(F.count(F.lit(1)).alias("n"), norm2(x, y, False).alias("_xy"), norm2(x, x, True).alias("_xx"), norm2(y, y, True).alias("_yy"))
+    return g.select(key, model, "n", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))).alias("cka"))

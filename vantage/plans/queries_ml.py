@@ -207,6 +207,39 @@ def i14_silhouette_sq(spark, d):
     return VX.silhouette_sq(r, ["dataset"], "vec", "lab")
 
 
+def _i8sq_sql():
+    q = base("raw")
+    return q.sql(f"""SELECT a.dataset, count(DISTINCT a.row_id) AS n,
+       {r6('avg(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.x3 - b.x3, 2))')} AS mean_sq_dist
+       FROM raw a JOIN raw b ON a.dataset = b.dataset GROUP BY a.dataset""")
+
+
+@register("i8_mean_sq_distance", _i8sq_sql)
+def i8_mean_sq_distance(spark, d):
+    """I8 / D7 over whole datasets: mean squared row distance from variances (the twin forms all pairs)."""
+    return VX.mean_sq_distance(V.emb_raw(spark, d), ["dataset"], ["x1", "x2", "x3"])
+
+
+def _cka_sql():
+    q = base("raw", "emb")
+    q.add("xl", " UNION ALL ".join(f"SELECT dataset, row_id, {i} AS i, x{i} AS v FROM raw" for i in (1, 2, 3)))
+    q.add("yl", "SELECT dataset, model, row_id, j, embedding[j] AS v FROM emb, unnest(range(1, 17)) AS u(j)")
+    q.add("cxy", "SELECT y.dataset, y.model, x.i, y.j, covar_pop(x.v, y.v) AS c FROM yl y JOIN xl x ON x.dataset = y.dataset AND x.row_id = y.row_id GROUP BY ALL")
+    q.add("cyy", "SELECT a.dataset, a.model, a.j, b.j AS k, covar_pop(a.v, b.v) AS c FROM yl a JOIN yl b ON a.dataset = b.dataset AND a.model = b.model AND a.row_id = b.row_id GROUP BY ALL")
+    q.add("cxx", "SELECT e.dataset, e.model, a.i, b.i AS k, covar_pop(a.v, b.v) AS c FROM emb e JOIN xl a ON a.dataset = e.dataset AND a.row_id = e.row_id JOIN xl b ON b.dataset = e.dataset AND b.row_id = e.row_id GROUP BY ALL")
+    for t in ("cxy", "cxx", "cyy"):
+        q.add(f"{t}s", f"SELECT dataset, model, sum(c * c) AS s FROM {t} GROUP BY ALL")
+    q.add("nn", "SELECT dataset, model, count(*) AS n FROM emb GROUP BY ALL")
+    return q.sql(f"""SELECT n.dataset, n.model, n.n, {r6(D.div('a.s', 'sqrt(b.s * c.s)'))} AS cka FROM nn n JOIN cxys a USING (dataset, model)
+       JOIN cxxs b USING (dataset, model) JOIN cyys c USING (dataset, model)""")
+
+
+@register("i12_linear_cka", _cka_sql)
+def i12_linear_cka(spark, d):
+    """I12 over whole datasets: linear CKA of raw features and embeddings per (dataset, model)."""
+    return VX.linear_cka(V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"], 16)
+
+
 # ---------------------------------------------------------------- I (P: iterative)
 
 @register("i3_kmeans")

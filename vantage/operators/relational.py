@@ -238,9 +238,10 @@ def append_dedupe(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table (global statistics, fitted
-    parameters) to every row: an equi-join on a constant key, never a cross
-    join; AQE broadcasts the single row."""
-    return df.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    parameters) to every row: an equi-join on a constant key.  The broadcast
+    side is one row by contract (an aggregate without keys), so ``df`` is
+    never shuffled on the constant."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def dataset_metadata(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str],

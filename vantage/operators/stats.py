@@ -185,6 +185,38 @@ def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", dist
     return ranked.unionByName(nulls)
 
 
+def distinct_value_ranks(counts: DataFrame, by: Sequence[str], value: str, count: str, out: str,
+                         buckets: int = 64) -> DataFrame:
+    """Average rank of each distinct ``value`` of a group, from a table with
+    one row per (by, value) and its row ``count``.
+
+    The distinct values are cut into chunks at approximate quantiles, summed
+    up inside each chunk and shifted by the counts of the lower chunks, so
+    neither a repeated value nor a large group is sorted in one task.  NULL
+    group keys form a group of their own.
+    """
+    part = list(by)
+    v = F.col(value).cast("double")
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    r = _join_groups(counts, counts.groupBy(*part).agg(F.percentile_approx(v, probs, 1000).alias("_b")), part)
+    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
+    below = Window.partitionBy(*(part or [F.lit(1)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = r.groupBy(*part, "_pid").agg(F.sum(count).alias("_c"))
+    offsets = offsets.select(*part, "_pid", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy(*part, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = _join_groups(r.withColumn("_cum", F.sum(count).over(upto)), offsets, [*part, "_pid"])
+    return r.withColumn(out, F.col("_off") + F.col("_cum") - (F.col(count) - 1) / 2.0).drop("_pid", "_cum", "_off")
+
+
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL equals NULL; without keys ``right`` is one row."""
+    if not keys:
+        return _attach(left, right)
+    right = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    on = [left[k].eqNullSafe(right[f"_key_{i}"]) for i, k in enumerate(keys)]
+    return left.join(right, on).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def pearson_from(df: DataFrame, by: Sequence[str], x: Column, y: Column) -> DataFrame:
     g = df.groupBy(*by).agg(
         F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"),
@@ -229,19 +261,17 @@ def wilcoxon(df: DataFrame, by: Sequence[str], a: str, b: str, exact_max_n: int
 
     ``W = min(W+, W-)``.  Exact null law when n <= ``exact_max_n`` and no
     ties among |d| (SciPy's 'auto'), else the normal law with tie
-    correction and no continuity correction.
+    correction and no continuity correction.  Rows are counted per distinct
+    |d| first; only those counts are ranked, chunk by chunk.
     """
-    d = (F.col(a) - F.col(b)).alias("_d")
-    src = df.select(*by, d).where(F.col("_d").isNotNull() & (F.col("_d") != 0)).withColumn("_ad", F.abs("_d"))
-    src = avg_rank(src, by, "_ad", "_r")
-    wt = Window.partitionBy(*by, "_ad")
-    src = src.withColumn("_t", F.count(F.lit(1)).over(wt))
-    g = src.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"),
-        F.sum((F.pow(F.col("_t"), 3) - F.col("_t")) / F.col("_t")).alias("_tie"),
-        F.max("_t").alias("_maxt"))
+    by = list(by)
+    d = F.col(a) - F.col(b)
+    counts = df.where(d.isNotNull() & (d != 0)).groupBy(*by, F.abs(d).alias("_ad")).agg(
+        F.count(F.when(d > 0, 1)).alias("_np"), F.count(F.when(d < 0, 1)).alias("_nn"), F.count(F.lit(1)).alias("_t"))
+    g = distinct_value_ranks(counts, by, "_ad", "_t", "_r").groupBy(*by).agg(
+        F.sum("_t").alias("n"), F.sum(F.col("_np") * F.col("_r")).alias("w_plus"),
+        F.sum(F.col("_nn") * F.col("_r")).alias("w_minus"),
+        F.sum(F.pow(F.col("_t"), 3) - F.col("_t")).alias("_tie"), F.max("_t").alias("_maxt"))
     n = F.col("n").cast("double")
     stat = F.least(F.col("w_plus"), F.col("w_minus"))
     mean = n * (n + 1) / 4.0
@@ -254,21 +284,21 @@ def wilcoxon(df: DataFrame, by: Sequence[str], a: str, b: str, exact_max_n: int
     return g.select(*by, "n", "statistic", p.alias("p_value"))
 
 
-def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str, distributed: bool = False) -> DataFrame:
+def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str) -> DataFrame:
     """Mann-Whitney U of ``value`` for flag true (x) against false (y).
 
     U = R_x - n_x(n_x+1)/2; two-sided normal law with tie and continuity
-    correction (SciPy's asymptotic method).
+    correction (SciPy's asymptotic method).  Rows are counted per distinct
+    value first; only those counts are ranked, chunk by chunk.
     """
-    src = df.select(*by, F.col(value).alias("_v"), F.col(flag).alias("_f")).where(F.col("_v").isNotNull())
-    src = avg_rank(src, by, "_v", "_r", distributed)
-    wt = Window.partitionBy(*by, "_v")
-    src = src.withColumn("_t", F.count(F.lit(1)).over(wt))
-    g = src.groupBy(*by).agg(
-        F.count(F.when(F.col("_f"), 1)).alias("n_true"),
-        F.count(F.when(~F.col("_f"), 1)).alias("n_false"),
-        F.sum(F.when(F.col("_f"), F.col("_r")).otherwise(0.0)).alias("_rx"),
-        F.sum((F.pow(F.col("_t"), 3) - F.col("_t")) / F.col("_t")).alias("_tie"))
+    by = list(by)
+    f = F.col(flag)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
+        F.count(F.when(f, 1)).alias("_nx"), F.count(F.when(~f, 1)).alias("_ny"), F.count(F.lit(1)).alias("_t"))
+    g = distinct_value_ranks(counts, by, "_v", "_t", "_r").groupBy(*by).agg(
+        F.sum("_nx").alias("n_true"), F.sum("_ny").alias("n_false"),
+        F.sum(F.col("_nx") * F.col("_r")).alias("_rx"),
+        F.sum(F.pow(F.col("_t"), 3) - F.col("_t")).alias("_tie"))
     n1 = F.col("n_true").cast("double")
     n2 = F.col("n_false").cast("double")
     nn = n1 + n2
@@ -295,9 +325,9 @@ def breusch_pagan(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -
     by = list(by)
     xs = list(xs)
     coef = K.grouped_ols(df, by, y, xs, prefix="b_").drop("n")
-    res = df.join(coef, by).select(*by, *xs, F.pow(F.col(y) - K.linear_prediction("b_", xs), 2).alias("_u"))
+    res = _join_groups(df, coef, by).select(*by, *xs, F.pow(F.col(y) - K.linear_prediction("b_", xs), 2).alias("_u"))
     coef2 = K.grouped_ols(res, by, "_u", xs, prefix="a_").drop("n")
-    fit = res.join(coef2, by).groupBy(*by).agg(
+    fit = _join_groups(res, coef2, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.pow(F.col("_u") - K.linear_prediction("a_", xs), 2)).alias("_sse"),
         (F.var_pop("_u") * F.count(F.lit(1))).alias("_sst"))

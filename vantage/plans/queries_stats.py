@@ -175,7 +175,7 @@ SELECT dataset, n_true, n_false, {r6('u1')} AS u_stat,
 def l8_mannwhitney(spark, d):
     """Mann-Whitney U of x3 between the two cat2 levels per dataset."""
     s = V.samples(spark, d).withColumn("is_y", F.col("cat2") == "Y")
-    return ST.mannwhitney(s, ["dataset"], "x3", "is_y", distributed=True)
+    return ST.mannwhitney(s, ["dataset"], "x3", "is_y")
 
 
 def _bp_sql():
@@ -319,9 +319,9 @@ def m7_residual_diagnostics(spark, d):
     """M7: OLS of R2 on SVR and category count (R2 > 0.2), Breusch-Pagan and the verdict."""
     j = R.regression_pairs(spark, d).where(F.col("model") == "unassisted")
     j = RL.quality_filter(j.join(V.dataset_meta(spark, d), "dataset"), "r2", 0.2)
-    j = j.select(F.lit(1).alias("_one"), "r2", F.col("subject_variable_ratio").alias("svr"),
+    j = j.select("r2", F.col("subject_variable_ratio").alias("svr"),
                  F.col("num_categorical_vars").cast("double").alias("ncat"))
-    bp = ST.breusch_pagan(j, ["_one"], "r2", ["svr", "ncat"])
+    bp = ST.breusch_pagan(j, [], "r2", ["svr", "ncat"])
     verdict = F.when(F.col("p_value") < 0.05, F.lit("heteroscedastic: cut-offs justified")).otherwise(
         F.lit("homoscedastic: cut-offs exploratory"))
     return bp.select("n", "lm_stat", "p_value", verdict.alias("verdict"))
@@ -469,10 +469,10 @@ def _m15_sql():
 @register("m15_distribution_report", _m15_sql)
 def m15_distribution_report(spark, d):
     """Win rate, mean +- CI of each side, paired t-test and its annotation."""
-    w = RL.drop_missing(wide_pairs(spark, d), ["r2_unassisted", "r2_assisted"]).withColumn("_one", F.lit(1))
-    ps = R.paired_summary(w, ["_one"], "r2_unassisted", "r2_assisted", names=("unassisted", "assisted"))
-    wr = RL.win_rate(w.withColumn("_b", F.col("r2_assisted") > F.col("r2_unassisted")), "_b", ["_one"]).drop("n")
-    out = ps.join(wr, "_one").drop("_one")
+    w = RL.drop_missing(wide_pairs(spark, d), ["r2_unassisted", "r2_assisted"])
+    ps = R.paired_summary(w, [], "r2_unassisted", "r2_assisted", names=("unassisted", "assisted"))
+    wr = RL.win_rate(w.withColumn("_b", F.col("r2_assisted") > F.col("r2_unassisted")), "_b", []).drop("n")
+    out = RL.attach(ps, wr)
     ann = F.when(F.col("p_value") < 0.05, F.format_string("Paired t-test: p = %.4f*", F.col("p_value"))).otherwise(
         F.format_string("Paired t-test: p = %.4f (NS)", F.col("p_value")))
     return out.withColumn("annotation", ann)

@@ -204,10 +204,11 @@ def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k
 
     Neighbours are the exact ``min(k, n_class - 1)`` nearest members of the
     same class (``knn_within``).  Synthetic rows go round-robin over the
-    class members (ordered by a hash); each picks one neighbour and a gap
+    class members (in hash order); each picks one neighbour and a gap
     in [0, 1) from a hash of (id, copy, seed):  x + gap * (neighbour - x).
     Output: ``by, label, id, vec, synthetic`` (originals + new rows).
     """
+    from vantage.operators.stats import avg_rank
     from vantage.session import checkpoint_dir
 
     by = list(by)
@@ -219,9 +220,11 @@ def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k
     sizes = sizes.withColumn("_need", F.max("_nc").over(wmax) - F.col("_nc"))
     nn = knn_within(base, [*by, label], id_col, vec, k, dim)
     nbrs = nn.groupBy(*by, label, id_col).agg(F.array_sort(F.collect_list(F.struct("d", "nbr", "nbr_vec"))).alias("_nb"))
-    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    wr = Window.partitionBy(*by, label).orderBy(h, id_col)
-    m = base.join(sizes, [*by, label]).where(F.col("_need") > 0).withColumn("_rk", F.row_number().over(wr) - 1)
+    # members by hash order: the exact distributed rank of a 52-bit hash, so
+    # a large class is never sorted in one task
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
+    m = base.join(sizes, [*by, label]).where(F.col("_need") > 0).withColumn("_h", h.cast("double"))
+    m = avg_rank(m, [*by, label], "_h", "_rk", distributed=True).withColumn("_rk", F.col("_rk") - 1)
     copies = (F.floor(F.col("_need") / F.col("_nc")) + F.when(F.col("_rk") < F.col("_need") % F.col("_nc"), 1).otherwise(0))
     m = m.withColumn("_copies", copies.cast("int")).where(F.col("_copies") > 0)
     m = m.join(nbrs, [*by, label, id_col], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

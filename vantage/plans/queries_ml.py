@@ -694,6 +694,69 @@ def k7_gradient_boost_classifier(spark, d):
     return _pooled_classifier(spark, d, "gbt")
 
 
+# The model families compared by K8 and K9, in the order tried (the first wins ties).
+REGRESSORS = ["linear", "rf", "gbt"]
+CLASSIFIERS = ["logreg", "rf", "gbt"]
+
+
+def _order(names):
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+
+
+@register("k8_best_of_families")
+def k8_best_of_families(spark, d):
+    """K8: grouped linear fit, pooled random forest and pooled boosting on the
+    training rows; per dataset the family with the best test R2."""
+    s = J.one_hot(R.design(V.samples(spark, d)), "equation", list(V.EQUATIONS), prefix="eq")
+    s = R.materialize(s.select("dataset", "x3", "is_test", *R.ASSISTED, *[f"eq_{e}" for e in V.EQUATIONS]))
+    feats = [*R.ASSISTED, *[f"eq_{e}" for e in V.EQUATIONS]]
+    coef = K.grouped_ols(s, ["dataset"], "x3", R.ASSISTED, where=~F.col("is_test")).drop("n")
+    pred = s.where("is_test").join(coef, "dataset").withColumn("yhat_linear", K.linear_prediction("b_", R.ASSISTED))
+    for kind in REGRESSORS[1:]:
+        model = K.fit_pooled(s.where("not is_test"), feats, "x3", kind)
+        pred = model.transform(pred).drop("features").withColumnRenamed("prediction", f"yhat_{kind}")
+    m = R.regression_metrics_multi(pred, ["dataset"], "x3", {n: f"yhat_{n}" for n in REGRESSORS})
+    best = K.best_by(m.withColumn("_ord", _order(REGRESSORS)[F.col("model")]), ["dataset"], "r2", "_ord")
+    return best.select("dataset", F.col("model").alias("best_model"), "n", "r2", "rmse", "mae")
+
+
+def classifier_chain(rows, by, id_col, label, numeric, categorical):
+    """J7 -> J5 -> J8 -> K5-K7 -> K11: stratified split, imputation and scaling
+    fitted on training rows, SMOTE of the training rows, three classifiers;
+    the test AUC of each per group: ``by, model, auc``.  ``label`` is 0 / 1."""
+    from pyspark.ml.functions import vector_to_array
+    s = J.stratified_split(rows, by, label, id_col)
+    s = J.impute(s, by, numeric, "median", fit_on=~F.col("is_test"))
+    stats = s.where("not is_test").groupBy(*by).agg(*[F.avg(c).alias(f"_mu_{c}") for c in numeric],
+                                                    *[F.stddev_pop(c).alias(f"_sd_{c}") for c in numeric])
+    scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")), F.lit(0.0)) for c in numeric]
+    hot = [J.indicator(c, lv) for c, levels in categorical.items() for lv in levels]
+    s = R.materialize(s.join(stats, list(by)).select(*by, F.col(id_col).cast("string").alias(id_col), label, "is_test",
+                                                     F.array(*scaled, *hot).alias("vec")))
+    names = [f"f{i}" for i in range(len(scaled) + len(hot))]
+    flat = [F.col("vec")[i].alias(n) for i, n in enumerate(names)]
+    train = R.materialize(J.smote(s.where("not is_test"), by, id_col, "vec", label).select(label, *flat))
+    test = s.where("is_test").select(*by, label, *flat)
+    out = None
+    for kind in CLASSIFIERS:
+        pred = K.fit_pooled(train, names, label, kind, task="classification").transform(test)
+        score = "probability" if "probability" in pred.columns else "rawPrediction"
+        a = K.auc(pred.withColumn("score", vector_to_array(score)[1]), by, label, "score").select(*by, F.lit(kind).alias("model"), "auc")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@register("k9_classifier_chain")
+def k9_classifier_chain(spark, d):
+    """K9: the whole chain (split, preparation, SMOTE, three classifiers) on the
+    labelled documents; per language the classifier with the best test AUC."""
+    docs = V.docs(spark, d).select("doc_id", "lang", "source", "quality", F.log1p(F.col("n_chars").cast("double")).alias("len_log"),
+                                   F.size(F.split("text", "\n")).cast("double").alias("lines"))
+    a = classifier_chain(docs, ["lang"], "doc_id", "quality", ["len_log", "lines"], {})
+    best = K.best_by(a.withColumn("_ord", _order(CLASSIFIERS)[F.col("model")]), ["lang"], "auc", "_ord")
+    return best.select("lang", F.col("model").alias("best_model"), "auc")
+
+
 @register("k14_inverse_fit")
 def k14_inverse_fit(spark, d):
     """Fit SVR = a / (categories + b) by Gauss-Newton over all datasets."""

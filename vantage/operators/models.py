@@ -252,7 +252,8 @@ def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str,
 
     ``kind``: 'rf' (100 trees), 'gbt' (100 rounds, depth 3, step 0.1 --
     the scikit-learn defaults), 'logreg' (500 iterations, L2 = 1/n as
-    scikit-learn's C = 1).  Multi-class GBT goes through OneVsRest.
+    scikit-learn's C = 1).  Multi-class GBT goes through OneVsRest;
+    'gbt_binary' fits labels 0 / 1 directly (one model, not two mirrored).
     """
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
@@ -269,6 +270,7 @@ def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str,
         est = {"rf": C.RandomForestClassifier(numTrees=100, seed=seed, labelCol=label),
                "gbt": C.OneVsRest(classifier=C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
                                   labelCol=label),
+               "gbt_binary": C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, labelCol=label),
                "logreg": C.LogisticRegression(maxIter=500, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                                               standardization=False, family="auto", labelCol=label)}[kind]
     return Pipeline(stages=[va, est]).fit(train)

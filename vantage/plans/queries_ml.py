@@ -696,7 +696,7 @@ def k7_gradient_boost_classifier(spark, d):
 
 # The model families compared by K8 and K9, in the order tried (the first wins ties).
 REGRESSORS = ["linear", "rf", "gbt"]
-CLASSIFIERS = ["logreg", "rf", "gbt"]
+CLASSIFIERS = ["logreg", "rf", "gbt_binary"]
 
 
 def _order(names):
@@ -740,8 +740,7 @@ def classifier_chain(rows, by, id_col, label, numeric, categorical):
     out = None
     for kind in CLASSIFIERS:
         pred = K.fit_pooled(train, names, label, kind, task="classification").transform(test)
-        score = "probability" if "probability" in pred.columns else "rawPrediction"
-        a = K.auc(pred.withColumn("score", vector_to_array(score)[1]), by, label, "score").select(*by, F.lit(kind).alias("model"), "auc")
+        a = K.auc(pred.withColumn("score", vector_to_array("probability")[1]), by, label, "score").select(*by, F.lit(kind).alias("model"), "auc")
         out = a if out is None else out.unionByName(a)
     return out
 

@@ -183,6 +183,19 @@ def test_edited_texts(spark, run_rows):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("clumps", [[0, 10**15], [-(1 << 63), (1 << 63) - 400], [5, 7 * 10**6, 7 * 10**6 + 900, 10**9]])
+def test_next_text_of_clumped_ids(spark, clumps):
+    rows = [(c + i, f"{c} {i}") for c in clumps for i in range(0, 300, 1 + len(clumps) % 2)] + [(None, "b"), (None, "a")]
+    src = spark.createDataFrame(rows, "id bigint, t string")
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    nxt = {(*x, order[(k + 1) % len(order)][1]) for k, x in enumerate(order)}
+    got = winnowing.with_next_text(src, 8)
+    assert set(map(tuple, got.collect())) == nxt and got.count() == len(rows)
+    assert set(map(tuple, winnowing.with_next_text(src, 4096).collect())) == nxt
+    runs = winnowing.with_runs(src, 8)[0].where("id is not null").groupBy("run").count()
+    assert runs.agg(F.max("count")).first()[0] <= 32
+
+
 def test_winnowing_likeness(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = winnowing.edited_fingerprints(docs).collect()

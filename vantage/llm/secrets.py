@@ -10,6 +10,7 @@ to guess is ordinary text and stays.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -170,12 +171,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def all_spans(text: str, cost: GuessCost, least: float = MIN_LOG10_GUESSES) -> tuple[list, list]:
     """Base spans, and base spans plus ``guess`` spans (the value alone) of costly values that no base span covers."""
     base = base_spans(text)
+    starts, ends = [], []  # base spans by start, with the farthest end so far
+    for s, e in sorted((s, e) for _, s, e in base):
+        starts.append(s)
+        ends.append(max(e, ends[-1] if ends else 0))
     more = []
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
         while e > s and text[e - 1] in ".,;:!?)]}":
             e -= 1
-        if e - s >= 6 and not any(a <= s and e <= b for _, a, b in base) and cost.segments(text[s:e])[0] >= least:
+        k = bisect.bisect_right(starts, s)
+        if e - s >= 6 and not (k and ends[k - 1] >= e) and cost.segments(text[s:e])[0] >= least:
             more.append(("guess", s, e))
     return base, base + more
 

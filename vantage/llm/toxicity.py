@@ -81,10 +81,12 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     """Bounded sample ``(text, y)``: the ``per_class`` held-in labelled documents of least text hash in each class."""
     y = labels.where(col(label_col).isin(0, 1)).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("y"))
     src = docs.where(~held_out(col(id_col)) & col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
-    keyed = src.select("id", F.xxhash64("text").alias("h")).join(y, "id")
+    src = src.withColumn("h", F.xxhash64("text"))
+    keyed = src.select("id", "h").join(y, "id").distinct()  # repeated rows count once
     pick = [keyed.where(F.col("y") == k).orderBy("h", "id").limit(per_class) for k in (0, 1)]
-    chosen = materialise(pick[0].union(pick[1]).select("id", "y").distinct(), "toxicity-chosen")
-    return materialise(src.join(F.broadcast(chosen), "id").select("text", "y"), "toxicity-train")  # 2 * per_class ids at most
+    chosen = materialise(pick[0].union(pick[1]).select("id", "h", "y"), "toxicity-chosen")
+    rows = src.join(F.broadcast(chosen), ["id", "h"])  # 2 * per_class rows at most
+    return materialise(rows.groupBy("id", "h").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y"), "toxicity-train")
 
 
 def _stem(n: int):

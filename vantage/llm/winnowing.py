@@ -117,28 +117,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return got.select(F.col("id").alias(id_col), digest(F.col("p")).alias("fingerprint"), kept.alias("kept"))
 
 
-def with_next_text(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """``src(id, t)`` with ``nxt``: the text of the next row in the order id descending (null last), then text; after the last the first.
+def with_previous(runs: DataFrame, span: int) -> DataFrame:
+    """``runs(run)`` distinct -> ``(run, to)``: the run before each one, for the first one the last; sorted in pieces ``span`` wide."""
+    runs = runs.withColumn("piece", F.col("run") - F.col("run") % span)
+    whole = Window.partitionBy(F.lit(1))  # one row per piece
+    ends = runs.groupBy("piece").agg(F.max("run").alias("end"))
+    ends = ends.select("piece", F.coalesce(F.lag("end").over(whole.orderBy("piece")), F.max("end").over(whole)).alias("before"))
+    inner = F.lag("run").over(Window.partitionBy("piece").orderBy("run"))
+    return runs.withColumn("inner", inner).join(ends, "piece").select("run", F.coalesce("inner", "before").alias("to"))
+
+
+def with_runs(src: DataFrame, run_rows: int = RUN_ROWS) -> tuple[DataFrame, int]:
+    """``src`` (with ``id``) and a ``run`` for each row, numbered against the order of the ids, null last; the width runs began with.
 
     Ids are cut into runs of equal width, about ``run_rows`` rows each when
-    ids are dense; every run is sorted alone.  The first row of each run also
-    goes to the end of the run before it, so one shuffle moves each text once.
+    ids are dense; a run of more than four times as many rows is cut again
+    until none is left or it holds a single id.
     """
     spread = materialise(src.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")), "runs")
     lo, hi, n = spread.first()
-    if not n:
-        return src.withColumn("nxt", F.col("t"))
-    lo, hi = (lo - 1, hi) if lo is not None else (0, 0)
-    width = max(1, -(-(hi - lo + 1) * run_rows // n))
-    keyed = src.withColumn("k", F.coalesce("id", F.lit(lo)).cast("bigint")).withColumn("run", F.floor((F.lit(hi) - F.col("k")) / width).cast("bigint"))
-    heads = keyed.groupBy("run").agg(F.max("k").alias("head"))
-    order = Window.partitionBy(F.lit(1)).orderBy("run")  # one row per run
-    last = F.max("run").over(Window.partitionBy(F.lit(1)))
-    heads = materialise(heads.select("head", F.coalesce(F.lag("run").over(order), last).alias("to")), "run-heads")
-    first = keyed.select("k", "t").join(heads, F.col("k") == F.col("head")).groupBy("k", "to").agg(F.min("t").alias("t"))
-    guests = first.select(F.lit(None).cast("bigint").alias("id"), "t", F.lit(lo - 1).cast("bigint").alias("k"), F.col("to").alias("run"), F.lit(1).alias("guest"))
-    both = keyed.select("id", "t", "k", "run", F.lit(0).alias("guest")).union(guests)
-    inside = Window.partitionBy("run").orderBy("guest", F.col("k").desc(), "t")
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    drop = 0 if hi - lo < 1 << 61 else 3  # low bits that runs ignore, so that differences of any ids fit a long
+    top, size = hi >> drop, (hi >> drop) - (lo >> drop) + 2  # the last place is for null ids
+    width = min(size, max(1, -(-size * run_rows // max(n, 1))))
+    at = F.coalesce(F.lit(top).cast("bigint") - F.shiftright(F.col("id").cast("bigint"), drop), F.lit(size - 1).cast("bigint"))
+    keyed = src.withColumn("at", at).withColumn("run", F.col("at") - F.col("at") % width).withColumn("width", F.lit(width).cast("bigint"))
+    while True:
+        crowded = keyed.groupBy("run", "width").count().where((F.col("count") > 4 * run_rows) & (F.col("width") > 1))
+        step = F.greatest(F.lit(1), F.floor(F.col("width").cast("double") * run_rows / F.col("count"))).cast("bigint")
+        crowded = materialise(crowded.select("run", step.alias("step")), "crowded-runs")
+        if crowded.isEmpty():
+            return keyed.drop("at", "width"), width
+        step, past = F.coalesce("step", "width"), F.col("at") - F.col("run")
+        keyed = keyed.join(crowded, "run", "left").withColumns({"run": F.col("run") + past - past % step, "width": step}).drop("step")
+
+
+def with_next_text(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``src(id, t)`` with ``nxt``: the text of the next row in the order id descending (null last), then text; after the last the first.
+
+    Every run of ids is sorted alone.  The first row of each run also goes to
+    the end of the run before it, so one shuffle moves each text once.
+    """
+    keyed, width = with_runs(src.select("id", "t"), run_rows)
+    heads = materialise(keyed.groupBy("run").agg(F.max("id").alias("head")), "run-heads")
+    to = materialise(heads.join(with_previous(heads.select("run"), min(width * run_rows, 1 << 62)), "run").select("head", "to"), "run-guests")
+    first = keyed.select("id", "t").join(to, F.col("id").eqNullSafe(F.col("head"))).groupBy("id", "to").agg(F.min("t").alias("t"))
+    guests = first.select(F.lit(None).cast("bigint").alias("id"), "t", F.col("to").alias("run"), F.lit(1).alias("guest"))
+    both = keyed.select("id", "t", "run", F.lit(0).alias("guest")).union(guests)
+    inside = Window.partitionBy("run").orderBy("guest", F.col("id").desc_nulls_last(), "t")
     return both.withColumn("nxt", F.lead("t").over(inside)).where("guest = 0").select("id", "t", "nxt")
 
 

@@ -89,3 +89,39 @@ def test_whole_tables(spark, sf_small):
     assert QUERIES["i1_embed_texts"](spark, sf_small).agg(F.sum("n")).first()[0] == n
     i3 = QUERIES["i3_kmeans"](spark, sf_small)
     assert "converged" in i3.columns and i3.where("not converged").count() == 0
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_ranks_and_quantiles_for_any_chunk_size(spark, by):
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(5)
+    vals = [float(r.choice([r.gauss(0, 1), r.randrange(5), 10.0 ** r.randrange(9)])) for _ in range(400)]
+    rows = [("a", v) for v in vals] + ([("b", v) for v in [math.inf, -math.inf, 1.7e308, -1.7e308, 0.0, 0.0, 3.0]] + [("c", 7.0)] * 5 if by else []) + [("a", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v double")
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    want = (pdf.groupby("g")["v"] if by else pdf["v"]).rank().fillna(-1)
+    for size in (1, 3, 10**6):
+        got = ST.avg_rank(df, by, "v", distributed=True, buckets=4, chunk_rows=size).toPandas().fillna({"rank": -1})
+        assert sorted(got["rank"]) == sorted(want)
+        one = ST.distinct_value_ranks(df.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("t")), by, "v", "t", "rk", buckets=4, chunk_rows=size)
+        assert one.agg(F.sum(F.col("t") * F.col("rk"))).first()[0] == pytest.approx(want[want > 0].sum())
+        q = ST.exact_quantiles(df.where("g = 'a'"), by, "v", [0.1, 0.5, 0.77], buckets=4, chunk_rows=size).first()
+        assert [q.q10, q.q50, q.q77] == pytest.approx(np.percentile(vals, [10, 50, 77]).tolist()) and q.n == 400
+    spread = ST.avg_rank(df.where("g = 'a'"), by, "v", distributed=True, buckets=4, chunk_rows=3)
+    assert spread.count() == 403
+
+
+def test_breusch_pagan_equals_two_fits(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(1e5, 2.0, (200, 2))
+    y = x @ [1.0, -2.0] + r.normal(0, 1, 200) * (1 + np.abs(x[:, 0] - 1e5))
+    df = spark.createDataFrame([("g", float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "g string, x1 double, x2 double, y double")
+    z = np.hstack([np.ones((200, 1)), x - 1e5])
+    u = (y - z @ np.linalg.lstsq(z, y, rcond=None)[0]) ** 2
+    e = u - z @ np.linalg.lstsq(z, u, rcond=None)[0]
+    lm = 200 * (1 - (e ** 2).sum() / ((u - u.mean()) ** 2).sum())
+    assert ST.breusch_pagan(df, ["g"], "y", ["x1", "x2"]).first().lm_stat == pytest.approx(lm, rel=1e-6)

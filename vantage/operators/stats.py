@@ -139,15 +139,41 @@ def one_vs_rest_ttest(df: DataFrame, by: Sequence[str], group: str, value: str,
     return out.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
+#: Rows of a chunk that ranks and quantiles aim at; a group has at least ``buckets`` chunks.
+CHUNK_ROWS = 100_000
+
+
+def _chunk_bounds(df: DataFrame, by: Sequence[str], v: Column, buckets: int) -> DataFrame:
+    """One row per group: ``_b`` (approximate quantiles of ``v``), ``_q_lo``, ``_q_hi``, ``_q_n``."""
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return df.groupBy(*by).agg(F.percentile_approx(v, probs, 1000).alias("_b"), F.min(v).alias("_q_lo"),
+                               F.max(v).alias("_q_hi"), F.count(v).alias("_q_n"))
+
+
+def _chunk_of(v: Column, buckets: int, chunk_rows: int) -> Column:
+    """Number of the chunk of ``v``, rising with it: the quantile bucket and,
+    in a group of more than ``buckets * chunk_rows`` rows, the equal-width
+    part of that bucket, as many parts as bring it down to ``chunk_rows``.
+    Equal values share a chunk; infinite bounds leave a bucket whole but for
+    its largest value."""
+    at = F.size(F.filter("_b", lambda b: b < v))
+    lo, hi = F.coalesce(F.get("_b", at - 1), F.col("_q_lo")), F.coalesce(F.get("_b", at), F.col("_q_hi"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_q_n") / float(buckets * chunk_rows))).cast("bigint")
+    share = F.try_divide(v - lo, hi - lo)
+    inner = F.when(F.isnan(share) | share.isNull(), F.lit(0)).otherwise(F.least(parts - 1, F.floor(share * parts).cast("bigint")))
+    return at * parts + F.when(v >= hi, parts - 1).otherwise(inner)
+
+
 def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", distributed: bool = False,
-             buckets: int = 64) -> DataFrame:
+             buckets: int = 64, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """average rank with ties (1-based), per group; NULL values get NULL.
 
     ``distributed=False``: one window per group -- right for aggregated rows
     (one per dataset or model).  ``distributed=True``: exact ranks without
     sorting a whole group in one task, for raw rows where one group can hold
     a third of the data: each group's values are cut into ``buckets``
-    chunks at approximate quantiles, each (group, chunk) is ranked locally
+    chunks at approximate quantiles (more in a group with more than
+    ``buckets * chunk_rows`` rows), each (group, chunk) is ranked locally
     (the chunks of a hot group spread over many tasks), and the row counts
     of the group's lower chunks are added as an offset (a prefix sum over a
     table of groups x buckets).
@@ -162,12 +188,11 @@ def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", dist
     # data-defined chunks: each group's values cut at approximate quantiles
     # (one partial aggregate); equal values always share a chunk, so the
     # ranks are exact whatever the boundaries are
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = valid.groupBy(*part).agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("_b"))
     v = F.col(col).cast("double")
+    bounds = _chunk_bounds(valid, part, v, buckets)
     # one row per group: AQE broadcasts it when its measured size is small
     r = valid.join(bounds, part) if part else _attach(valid, bounds)
-    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
+    r = r.withColumn("_pid", _chunk_of(v, buckets, chunk_rows)).drop("_b", "_q_lo", "_q_hi", "_q_n")
     chunk = [*part, "_pid"]
     counts = r.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_c"))
     wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
@@ -186,7 +211,7 @@ def avg_rank(df: DataFrame, by: Sequence[str], col: str, out: str = "rank", dist
 
 
 def distinct_value_ranks(counts: DataFrame, by: Sequence[str], value: str, count: str, out: str,
-                         buckets: int = 64) -> DataFrame:
+                         buckets: int = 64, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Average rank of each distinct ``value`` of a group, from a table with
     one row per (by, value) and its row ``count``.
 
@@ -197,9 +222,8 @@ def distinct_value_ranks(counts: DataFrame, by: Sequence[str], value: str, count
     """
     part = list(by)
     v = F.col(value).cast("double")
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    r = _join_groups(counts, counts.groupBy(*part).agg(F.percentile_approx(v, probs, 1000).alias("_b")), part)
-    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < v))).drop("_b")
+    r = _join_groups(counts, _chunk_bounds(counts, part, v, buckets), part)
+    r = r.withColumn("_pid", _chunk_of(v, buckets, chunk_rows)).drop("_b", "_q_lo", "_q_hi", "_q_n")
     below = Window.partitionBy(*(part or [F.lit(1)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = r.groupBy(*part, "_pid").agg(F.sum(count).alias("_c"))
     offsets = offsets.select(*part, "_pid", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_off"))
@@ -317,8 +341,9 @@ def breusch_pagan(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -
 
     Fit y ~ xs per group, regress the squared residuals on the same
     regressors, LM = n * R^2 of that fit, p from chi-square with len(xs)
-    degrees of freedom.  Two grouped OLS fits (one aggregate each) and two
-    joins of one coefficient row per group.
+    degrees of freedom.  One join of the coefficients, one row per group, to
+    the rows; R^2 of the second fit comes from its moments (slopes times
+    centred cross products over the centred sum of squares).
     """
     from vantage.operators import models as K
 
@@ -326,12 +351,10 @@ def breusch_pagan(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -
     xs = list(xs)
     coef = K.grouped_ols(df, by, y, xs, prefix="b_").drop("n")
     res = _join_groups(df, coef, by).select(*by, *xs, F.pow(F.col(y) - K.linear_prediction("b_", xs), 2).alias("_u"))
-    coef2 = K.grouped_ols(res, by, "_u", xs, prefix="a_").drop("n")
-    fit = _join_groups(res, coef2, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.pow(F.col("_u") - K.linear_prediction("a_", xs), 2)).alias("_sse"),
-        (F.var_pop("_u") * F.count(F.lit(1))).alias("_sst"))
-    fit = fit.withColumn("lm_stat", F.col("n") * (1.0 - F.try_divide(F.col("_sse"), F.col("_sst"))))
+    prods = [f"sy_{i}" for i in range(1, len(xs) + 1)]
+    fit = K.solve_moments(K.cross_moments(res, by, "_u", xs), by, list(range(len(xs) + 1)), xs, "a_", keep=["syy", *prods])
+    explained = sum((F.col(f"a_{x}") * F.col(c) for x, c in zip(xs, prods)), F.lit(0.0))
+    fit = fit.withColumn("lm_stat", F.col("n") * F.try_divide(explained, F.col("syy")))
     return fit.select(*by, "n", "lm_stat", dist.col_chi2_sf("lm_stat", len(xs)).alias("p_value"))
 
 
@@ -389,7 +412,7 @@ def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str,
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], buckets: int = 64,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation (``percentile`` / pandas /
     NumPy default) without holding a group's values in one buffer.
 
@@ -403,10 +426,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = F.col(col).cast("double")
     valid = df.select(*part, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = valid.groupBy(*part).agg(F.percentile_approx("_v", cuts, 1000).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    bounds = _chunk_bounds(valid, part, F.col("_v"), buckets)
     r = valid.join(bounds, part) if part else _attach(valid, bounds)
-    r = r.withColumn("_pid", F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+    r = r.withColumn("_pid", _chunk_of(F.col("_v"), buckets, chunk_rows)).drop("_b", "_q_lo", "_q_hi").withColumnRenamed("_q_n", "_n")
     counts = r.groupBy(*part, "_pid", "_n").agg(F.count(F.lit(1)).alias("_c"))
     wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)

@@ -214,6 +214,28 @@ def test_guess_spans_and_redaction(spark):
     assert (rows[2].text, rows[3].text, rows[3].n_chars) == ("plain", None, 5)
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("Authorization: Bearer ", "eyJhbGciOiJIUzI1NiJ9.Zm9v", ""), ("curl -H 'authorization: basic ", "dXNlcjpYazkjdlEyIW1aN3A=", "'"),
+    ("sent Bearer ", "eyJhbGciOiJIUzI1NiJ9.Zm9v", "."), ("DB_PASS=", "Xk9#vQ2!mZ7p", ";"), ("db_password: ", "Xk9#vQ2!mZ7p", ""),
+    ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtn#FEMI/K7MDENG", ""), ("my-token-v2 => ", "Xk9#vQ2!mZ7p", ""), ("dbPassword: '", "Xk9#vQ2!mZ7p", "'"),
+    ("passphrase:" + " " * 9 + "\t", "Xk9#vQ2!mZ7p", ""), ("pwd   \t   = ", "Xk9#vQ2!mZ7p", ""), ("credentials: password: ", "Xk9#vQ2!mZ7p", " end"),
+    ("access key id: password= ", "Xk9#vQ2!mZ7p", ""), ("token_api key: ", "Xk9#vQ2!mZ7p", "")])
+def test_guess_contexts(before, value, after):
+    text = before + value + after
+    base, every = secrets.all_spans(text, secrets.GuessCost())
+    assert not base and every == [("guess", len(before), len(before) + len(value))]
+
+
+def test_guess_contexts_that_are_not():
+    cost = secrets.GuessCost()
+    for text in ("the bearer presented documents", "Bearer identification", "SECRETARY: Xk9#vQ2!mZ7p", "compass: Xk9#vQ2!mZ7p", "credentials: password: password1"):
+        assert secrets.all_spans(text, cost)[1] == []
+    both = "token=user;password:Xk9#vQ2!mZ7p"  # the outer value covers the inner one and counts once
+    assert secrets.all_spans(both, cost)[1] == [("guess", 6, len(both))]
+    for unit in ("pwd=", "password=", "pass_", "secret:"):
+        secrets.all_spans("token: " + unit * 30_000, cost)  # contexts in contexts: linear
+
+
 # --- mixing
 
 def test_water_filling(spark):

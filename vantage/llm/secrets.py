@@ -1,7 +1,7 @@
 """Secret scans: fixed credential patterns and password guess-cost segmentation.
 
-Values in a credential context (``passphrase: ...``, ``client_secret=...``)
-are segmented into words, dates, repeats, keyboard walks and brute-force
+Values in a credential context (``passphrase: ...``, ``DB_PASS=...``,
+``Authorization: Bearer ...``) are segmented into words, dates, repeats, keyboard walks and brute-force
 spans; the segmentation of least total guess cost is found by dynamic
 programming over end positions.  A value whose cheapest segmentation needs
 ``10**MIN_LOG10_GUESSES`` guesses or more is a secret; a value that is cheap
@@ -32,10 +32,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN = 12
 
-#: Credential contexts that the base kinds do not name, or whose value holds other characters; group 1 is the value.
+#: Names of credential contexts that the base kinds do not name, or whose value holds other characters, as parts of a longer name
+#: (``DB_PASS``, ``access-token-id``, ``dbPassword``).  A match takes the rest of the name, so that all matches are found in linear time.
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|auth(?:orization)?|bearer|credentials?|private[ _-]?key"""
-    r"""|access[ _-]?key|client[ _-]?secret|login)\b["']?[ \t]{0,4}(?:=>|[:=])[ \t]{0,4}["']?([^\s"'<>]{6,})""")
+    r"""(?ai)(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|auth(?:orization)?|bearer"""
+    r"""|credentials?|private[ _-]?key|access[ _-]?key|client[ _-]?secret|login)(?:(?![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))[a-z0-9_-]*+"""
+    r"""(?:(?:(?<=api)|(?<=access)|(?<=private))\x20key(?![a-z0-9]))?""")
+#: From a context's name to its value: a separator between any blanks, and the scheme of an authorization.
+TO_VALUE = re.compile(r"""(?ai)["']?[ \t]*+(?:=>|[:=])[ \t]*+["']?(?:(?:bearer|basic|token)[ \t]++["']?)?(?=[^\s"'<>]{6})""")
+#: ``Bearer <value>`` without a separator; such a value holds a digit or a capital after a small letter, as words of prose do not.
+TO_BARE = re.compile(r"""(?a)[ \t]++(?=[^\s"'<>]{6})""")
+BARE = re.compile(r"[0-9]|[a-z][A-Z]")
+VALUE = re.compile(r"""(?a)[^\s"'<>]*""")
 
 # Frequent password words, most frequent first (the position is the guess rank).
 WORDS = (
@@ -168,6 +176,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def blocks(v: str, i: int, j: int, kind: str) -> range:
+    """Where a segment of ``v`` can be entered at no more than its cost: its start, and the blocks of a repeat."""
+    step = next((p for p in (1, 2, 3, 4) if kind == "repeat" and v[i:j - p] == v[i + p:j]), j - i)
+    return range(i, j, step)
+
+
 def all_spans(text: str, cost: GuessCost, least: float = MIN_LOG10_GUESSES) -> tuple[list, list]:
     """Base spans, and base spans plus ``guess`` spans (the value alone) of costly values that no base span covers."""
     base = base_spans(text)
@@ -175,14 +189,33 @@ def all_spans(text: str, cost: GuessCost, least: float = MIN_LOG10_GUESSES) -> t
     for s, e in sorted((s, e) for _, s, e in base):
         starts.append(s)
         ends.append(max(e, ends[-1] if ends else 0))
-    more = []
+    more, far = [], 0
+    stop = end = 0  # of the last run of value characters, and of the value in it
+    ends_at: set[int] = set()  # where a segment of that value's cheap segmentation begins
     for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        while e > s and text[e - 1] in ".,;:!?)]}":
-            e -= 1
+        bare = None
+        to = TO_VALUE.match(text, m.end())
+        if not to and m[0].lower().endswith("bearer"):
+            to = bare = TO_BARE.match(text, m.end())
+        if not to:
+            continue
+        s = to.end()
+        if s >= stop:
+            end = stop = VALUE.match(text, s).end()
+            while end > s and text[end - 1] in ".,;:!?)]}":
+                end -= 1
+            ends_at = set()
+        e = end
         k = bisect.bisect_right(starts, s)
-        if e - s >= 6 and not (k and ends[k - 1] >= e) and cost.segments(text[s:e])[0] >= least:
+        # a costly value covers the contexts inside it; a cheap one is cheap from each of its segments on
+        if e - s < 6 or e <= far or s in ends_at or k and ends[k - 1] >= e or bare and not BARE.search(text, s, e):
+            continue
+        total, parts = cost.segments(text[s:e])
+        if total >= least:
             more.append(("guess", s, e))
+            far = e
+        else:
+            ends_at |= {s + x for part in parts for x in blocks(text[s:e], *part)}
     return base, base + more
 
 

@@ -136,6 +136,42 @@ def test_silhouette_sq_matches_brute_force(spark):
     assert got == pytest.approx(float(np.mean(s)))
 
 
+def test_pair_sums_over_whole_datasets(spark):
+    import numpy as np
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(700, 3)), r.normal(size=(700, 2))
+    x[300:], y[300:] = 5 * x[300:], x[300:, :2]  # the rows past the 300th decide
+    x[7] = x[8]
+    raw = spark.createDataFrame([("d", i, *map(float, v)) for i, v in enumerate(x)] + [("one", 0, 1.0, 2.0, 3.0)], "dataset string, row_id int, x1 double, x2 double, x3 double")
+    emb = spark.createDataFrame([("d", "m", i, [float(t) for t in v]) for i, v in enumerate(y)], "dataset string, model string, row_id int, embedding array<double>")
+    dx, dy = (np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)) for v in (x, y))
+    want = (dx * dy).sum() / np.sqrt((dx * dx).sum() * (dy * dy).sum())
+    got = VX.pair_cosine_whole(raw, emb, ["x1", "x2", "x3"]).collect()
+    assert len(got) == 1 and got[0].n == 700 and got[0].cosine_similarity == pytest.approx(want)
+    first = VX.distance_similarity(raw, emb, ["x1", "x2", "x3"], cap=300).first().cosine_similarity
+    assert abs(first - want) > 0.01
+    for block in (200, 4096):
+        m = {g.dataset: g for g in VX.pair_moments(VX.as_vector(raw, ["x1", "x2", "x3"]), ["dataset"], "row_id", "vec", block=block).collect()}
+        assert m["d"].n_pairs == 700 * 699 // 2 and m["d"].sum_a == pytest.approx(dx.sum() / 2) and m["d"].sum_ab == pytest.approx((dx * dx).sum() / 2)
+        assert (m["one"].n, m["one"].n_pairs, m["one"].sum_a) == (1, 0, 0.0)
+
+
+def test_audit_table_chooses_by_whole_datasets(spark, monkeypatch):
+    from vantage.plans import queries_ml as Q
+    r = __import__("random").Random(5)
+    rows = []
+    for name in ("head", "tail"):  # "head" agrees in its first 300 rows only, "tail" in all but those
+        for i in range(900):
+            v = [r.gauss(0, 1) for _ in range(3)]
+            same = (i < 300) == (name == "head")
+            rows.append((name, i, *v, (v if same else [r.gauss(0, 1) for _ in range(3)]) + [0.0] * 13))
+    t = spark.createDataFrame(rows, "dataset string, row_id int, x1 double, x2 double, x3 double, embedding array<double>").cache()
+    monkeypatch.setattr(Q.V, "emb_raw", lambda s, d: t.drop("embedding"))
+    monkeypatch.setattr(Q.V, "emb_long", lambda s, d: t.select("dataset", F.lit("m").alias("model"), "row_id", "embedding"))
+    assert [tuple(g) for g in Q.audit_choice(spark, "").collect()] == [("m", "tail")]
+    assert [tuple(g) for g in Q.audit_choice(spark, "", cap=300).collect()] == [("m", "head")]
+
+
 def test_one_vs_rest_equals_direct_welch(spark):
     rows = [(f"m{i % 3}", float((i * 13) % 17) + (i % 3)) for i in range(60)]
     df = spark.createDataFrame(rows, "m string, v double")

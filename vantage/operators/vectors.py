@@ -1,10 +1,10 @@
 """Distances and geometry comparison.
 
 Row-pair operators (I8, I12, I14) compare every pair of rows, which is
-quadratic; they are only defined on the reference's bounded sample (the
+quadratic; by default they run on the reference's bounded sample (the
 first ``cap`` rows of each dataset, 300 by default), so the pair count per
-group is at most cap * (cap - 1) / 2 whatever the size of the group.  The
-sample is cut with a ``WindowGroupLimit`` before any shuffle.  Only
+group is at most cap * (cap - 1) / 2 whatever the size of the group
+(``pair_moments`` sums over all pairs of whole groups instead).  The sample is cut with a ``WindowGroupLimit`` before any shuffle.  Only
 ``i < j`` pairs are built; the flattened square matrix of the reference
 (both triangles plus the zero diagonal) is represented by weights: 2 for
 each pair, 1 for each diagonal entry.
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,6 +183,64 @@ def mean_sq_distance(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> D
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.lit(2.0) * total).alias("mean_sq_dist"))
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` and ``y``, from coordinate differences (equal rows are at 0)."""
+    out = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        t = x[:, d, None] - y[None, :, d]
+        out += t * t
+    return np.sqrt(out)
+
+
+def pair_moments(df: DataFrame, by: Sequence[str], id_col: str, a: str, b: str | None = None, block: int = 4096) -> DataFrame:
+    """I8 / I11 / D7 over whole groups: ``by, n, n_pairs`` and the sums of the Euclidean distances of all pairs of rows
+    in ``a`` (``sum_a, sum_aa``), in ``b`` (``sum_b, sum_bb``) and of their products (``sum_ab``).
+
+    Rows are dealt by a hash of the id into blocks of about ``block`` rows, and each pair of blocks is one task's
+    group that returns its sums alone: the work is that of all pairs, no pair leaves a task, and a large group is
+    many groups.  A row goes to n / ``block`` tiles.  Rows with a null vector or coordinate are left out.
+    """
+    by, b = list(by), b or a
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda t: t.isNotNull())
+    src = df.where(whole(a) & whole(b)).select(*by, id_col, F.col(a).cast("array<double>").alias("_x"), F.col(b).cast("array<double>").alias("_y"))
+    sizes = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    dealt = src.join(sizes.withColumn("_blocks", F.ceil(F.col("n") / block)), by)
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_blocks"))).withColumn("_c", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    dealt = dealt.select(*by, "_b", F.least("_b", "_c").alias("_p"), F.greatest("_b", "_c").alias("_q"), "_x", *["_y"] * (b != a))
+    sums = ["sum_a", "sum_aa", "sum_b", "sum_bb", "sum_ab"]
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["_p"] == pdf["_q"]).iloc[0]
+        left = (pdf["_b"] == pdf["_p"]).to_numpy()
+        right = left if own else ~left
+        total, pairs = np.zeros(5), 0
+        if right.any() and left.any():
+            x = np.stack(pdf["_x"].to_numpy())
+            y = np.stack(pdf["_y"].to_numpy()) if b != a else None
+            n, m = int(left.sum()), int(right.sum())
+            pairs = n * (n - 1) // 2 if own else n * m
+            for s in range(0, n, 64):
+                da = _distances(x[left][s:s + 64], x[right])
+                db = da if y is None else _distances(y[left][s:s + 64], y[right])
+                if own:  # i < j
+                    da, db = np.triu(da, s + 1), np.triu(db, s + 1)
+                total += [da.sum(), (da * da).sum(), db.sum(), (db * db).sum(), (da * db).sum()]
+        return pd.DataFrame([[*pdf[by].iloc[0], pairs, *total]], columns=[*by, "n_pairs", *sums])
+
+    keys = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in by)
+    tiles = dealt.groupBy(*by, "_p", "_q").applyInPandas(tile, f"{keys}, n_pairs bigint, " + ", ".join(f"{c} double" for c in sums))
+    got = tiles.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_pairs", *sums)])
+    return sizes.join(got, by)
+
+
+def pair_cosine_whole(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], key: str = "dataset", id_col: str = "row_id") -> DataFrame:
+    """I11 over whole datasets: per (dataset, model) the cosine of the raw and the embedded row-distance matrix of all
+    rows present on both sides (``n, cosine_similarity``); the zero diagonal adds nothing and mirrored pairs cancel."""
+    j = emb.join(as_vector(raw, raw_cols, "_vec").select(key, id_col, "_vec"), [key, id_col])
+    m = pair_moments(j, [key, "model"], id_col, "_vec", "embedding")
+    return m.select(key, "model", "n", F.try_divide(F.col("sum_ab"), F.sqrt(F.col("sum_aa") * F.col("sum_bb"))).alias("cosine_similarity"))
+
+
 def linear_cka(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], dim: int, key: str = "dataset", id_col: str = "row_id",
                model: str = "model", vec: str = "embedding") -> DataFrame:
     """I12 over whole groups: similarity of raw and embedded row geometry as linear CKA,

@@ -220,6 +220,27 @@ def i8_mean_sq_distance(spark, d):
     return VX.mean_sq_distance(V.emb_raw(spark, d), ["dataset"], ["x1", "x2", "x3"])
 
 
+@register("i8_distance_pairs_whole")
+def i8_distance_pairs_whole(spark, d):
+    """I8 over whole datasets: entries and mean distance of the full row-distance matrix, summed per tile."""
+    m = VX.pair_moments(_raw_vec(spark, d), ["dataset"], "row_id", "vec")
+    entries = F.col("n").cast("double") * F.col("n")
+    return m.select("dataset", entries.alias("n_entries"), (2.0 * F.col("sum_a") / entries).alias("mean_dist"))
+
+
+@register("d7_pairwise_whole")
+def d7_pairwise_whole(spark, d):
+    """D7 over whole datasets: row pairs i < j and their mean distance, summed per tile."""
+    m = VX.pair_moments(_raw_vec(spark, d), ["dataset"], "row_id", "vec").where("n_pairs > 0")
+    return m.select("dataset", "n_pairs", (F.col("sum_a") / F.col("n_pairs")).alias("mean_dist"))
+
+
+@register("i11_pair_cosine_whole")
+def i11_pair_cosine_whole(spark, d):
+    """I11 over whole datasets: cosine of the two flattened distance matrices of all rows, summed per tile."""
+    return VX.pair_cosine_whole(V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"]).withColumnRenamed("cosine_similarity", "cosine")
+
+
 def _cka_sql():
     q = base("raw", "emb")
     q.add("xl", " UNION ALL ".join(f"SELECT dataset, row_id, {i} AS i, x{i} AS v FROM raw" for i in (1, 2, 3)))
@@ -285,12 +306,19 @@ def i10_cluster_similarity_reduced(spark, d):
     return CL.cluster_similarity(raw, emb2, ["x1", "x2", "x3"], k=k)
 
 
+def audit_choice(spark, d, cap=None):
+    """Best dataset per model by cosine over all its rows (``cap``: over its first ones, 300 in the reference)."""
+    raw, emb, cols = V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"]
+    sim = VX.pair_cosine_whole(raw, emb, cols) if cap is None else VX.distance_similarity(raw, emb, cols, cap=cap)
+    return RL.best_row(sim, ["model"], "cosine_similarity", ["dataset"]).select("model", "dataset")
+
+
 @register("i13_audit_table")
-def i13_audit_table(spark, d):
-    """Best dataset per model by cosine, with 2-D coordinates and
-    4-cluster labels of its raw and embedded rows."""
-    sim = VX.distance_similarity(V.emb_raw(spark, d), V.emb_long(spark, d), ["x1", "x2", "x3"], cap=CAP)
-    best = RL.best_row(sim, ["model"], "cosine_similarity", ["dataset"]).select("model", "dataset")
+def i13_audit_table(spark, d, cap=None):
+    """Best dataset per model by cosine (over all rows unless ``cap``
+    is given), with 2-D coordinates and 4-cluster labels of its raw and
+    embedded rows."""
+    best = audit_choice(spark, d, cap)
     emb = V.emb_long(spark, d).join(best, ["dataset", "model"], "left_semi")
     sc, _ = CL.pca(emb, ["dataset", "model"], "row_id", "embedding", 16, 2)
     lab, _, _ = CL.kmeans(sc, ["dataset", "model"], "row_id", "scores", 4)

@@ -106,6 +106,17 @@ def test_toxicity_learns_and_locates(spark):
     assert 0 <= none.score("zork")[0] <= 1
 
 
+def test_training_sample_holds_different_texts(spark):
+    texts = [f"text {i}" for i in range(40)]
+    first = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.xxhash64("t")).first().t  # the copies enter the sample first
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, first) for i in range(200)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(t != first and i % 2)) for i, t in rows], "doc_id bigint, toxic int")
+    got = toxicity.train_rows(docs, labels, "doc_id", "text", "toxic", 5).collect()
+    assert sorted(r.y for r in got) == [0] * 5 + [1] * 5
+    assert len({r.text for r in got}) == 10 and first in {r.text for r in got}
+
+
 def test_noisy_or():
     m = toxicity.NoisyOr({"bad": 3.0, "sad": 1.0}, -1.0, 0.1)
     p = lambda z: 1 / (1 + np.exp(-z))

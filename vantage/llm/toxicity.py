@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm.common import bound_batches, col, fresh, materialise
 
-#: The model is fitted on this many labelled documents of each class at most, chosen by a hash of their text.
+#: The model is fitted on this many different labelled texts of each class at most, chosen by a hash of the text.
 MAX_TRAIN_PER_CLASS = 3000
 #: Lengths of the word stems that count as features beside the words: inflected and joined words share them.
 STEMS = (4, 5)
@@ -78,12 +78,12 @@ class NoisyOr:
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """Bounded sample ``(text, y)``: the ``per_class`` held-in labelled documents of least text hash in each class."""
+    """Bounded sample ``(text, y)``: the ``per_class`` different held-in labelled texts of least hash in each class."""
     y = labels.where(col(label_col).isin(0, 1)).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("y"))
     src = docs.where(~held_out(col(id_col)) & col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
     src = src.withColumn("h", F.xxhash64("text"))
-    keyed = src.select("id", "h").join(y, "id").distinct()  # repeated rows count once
-    pick = [keyed.where(F.col("y") == k).orderBy("h", "id").limit(per_class) for k in (0, 1)]
+    keyed = src.select("id", "h").join(y, "id").groupBy("h", "y").agg(F.min("id").alias("id"))  # copies of a text count once
+    pick = [keyed.where(F.col("y") == k).orderBy("h").limit(per_class).select("id", "h", "y") for k in (0, 1)]
     chosen = materialise(pick[0].union(pick[1]).select("id", "h", "y"), "toxicity-chosen")
     rows = src.join(F.broadcast(chosen), ["id", "h"])  # 2 * per_class rows at most
     return materialise(rows.groupBy("id", "h").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y"), "toxicity-train")

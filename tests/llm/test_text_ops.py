@@ -317,7 +317,7 @@ def test_pipeline(spark, sf_small):
     assert rows.where("not round_trip").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op9_source_mixture"])
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op9_source_mixture", "op12_lexical_search", "op13_hard_negatives"])
 def test_matches_duckdb(spark, sf_small, name):
     from tests.oracle_check import compare, duck_con
     from vantage.llm.queries import ORACLE, QUERIES

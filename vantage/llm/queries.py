@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vantage.llm import chat, licenses, mixing, secrets, sentencepiece_fst, simhash, token_counts, toxicity, vector_dedup, winnowing
+from vantage.llm import (chat, hard_negatives, lexical_search, licenses, mixing, secrets, sentencepiece_fst, simhash, token_counts, token_files, toxicity, vector_dedup,
+                         winnowing)
 from vantage.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +57,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_embedding_near_dedup, op3_chat_formatting, op4_sentencepiece, op5_toxicity, op6_license_scan,
-                            op7_secret_scan, op8_simhash, op9_source_mixture, op10_winnowing)}
+                            op7_secret_scan, op8_simhash, op9_source_mixture, op10_winnowing, op11_token_files, op12_lexical_search, op13_hard_negatives)}
 
 
 def _case(name: str, weights: dict[str, int]) -> str:
@@ -114,4 +130,34 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
 
-ORACLE: dict[str, str] = {"op2_embedding_near_dedup": vector_sql(), "op9_source_mixture": mixture_sql()}
+def search_sql(top: int = lexical_search.TOP) -> str:
+    words = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {words("coalesce(text, '')")} AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, text, unnest({words('text')}) AS t FROM benchmark),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (SELECT doc_id, rid, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, rid, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, rid, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, g GROUP BY t),
+p AS (SELECT doc_id, rid, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS part FROM tf JOIN w USING (t), g),
+s AS (SELECT item_id, text, doc_id, rid, sum(part)::BIGINT AS score FROM q JOIN p USING (t) GROUP BY item_id, text, doc_id, rid)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= {top}"""
+
+
+def negatives_sql() -> str:
+    return """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid AS brid, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid AND len(a.x) = len(b.x)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST, brid) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.arid, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST, s.brid) AS rank
+      FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+ORACLE: dict[str, str] = {"op2_embedding_near_dedup": vector_sql(), "op9_source_mixture": mixture_sql(), "op12_lexical_search": search_sql(),
+                          "op13_hard_negatives": negatives_sql()}

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +66,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="vantage-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their PYTHONPATH has it.
+
+    Python functions that run on executors refer to the package's modules.
+    The archive is served by the driver while the session lasts.
+    """
+    root = Path(__file__).resolve().parents[1]
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if root in on_path or app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    name = Path(tempfile.mkdtemp(prefix="vantage-"), "vantage-library.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.glob("vantage/**/*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))

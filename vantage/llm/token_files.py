@@ -51,10 +51,12 @@ from vantage.session import checkpoint_dir
 END_ID = 1
 #: Bytes of text a shard holds on average, and the most shards (beyond, shards grow).
 SHARD_BYTES, MAX_SHARDS = 32 << 20, 50_000
-#: Words a worker remembers, and the longest of them in characters; longer ones are encoded each time.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words a worker remembers in each of two generations, and the longest of them in characters; longer ones are encoded each time.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 #: Characters encoded in one library call.
 CALL_CHARS = 1 << 20
+#: Stands between words in a call: a control character, so a word of its own, whose last byte ends no other word.
+_MARK = "\x01"
 _TOP = (1 << 63) - 1
 
 
@@ -121,7 +123,11 @@ class Packer:
         self.words = by_word(json.loads(self.lib.to_str()))
         self.dtype = id_type(max(self.lib.get_vocab(with_added_tokens=True).values()), end_id)
         self.end = np.array([end_id], self.dtype).tobytes()
+        # two generations of words: what the older one is not asked for again is forgotten with it
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.lib.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def library(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -134,25 +140,57 @@ class Packer:
             at = stop
         return out
 
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  One call a few thousand words, with a mark between them that has an id no other text gives."""
+        if self.mark is None or any(_MARK in w for w in words):
+            return self.library(words)
+        out = []
+        for at in range(0, len(words), 4000):
+            (got,) = self.lib.encode_batch_fast([f" {_MARK} ".join(words[at:at + 4000])], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.mark)
+            size, data = ids.itemsize, ids.tobytes()
+            ends = [*(cuts * size).tolist(), len(data)]
+            starts = [0, *((cuts + 1) * size).tolist()]
+            out += [data[a:b] for a, b in zip(starts, ends)]
+        return out
+
     def pack(self, texts: list[str]) -> Iterator[bytes]:
         if not self.words:
             for t in texts:
                 yield self.library([t])[0] + self.end
             return
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = [w for w in set(words) if w not in self.cache]
-            long = []
-            if new:
-                self.cache.update(zip(new, self.library(new)))
-                long = [w for w in new if len(w) > CACHE_CHARS]
-            yield b"".join(map(self.cache.__getitem__, words)) + self.end
+        for group in grouped(texts):
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in group]
+            if len(self.cache) > CACHE_WORDS:
+                self.cache, self.older = {}, self.cache
+            new = []
+            for w in set().union(*split).difference(self.cache):
+                if w in self.older:
+                    self.cache[w] = self.older[w]
+                else:
+                    new.append(w)
+            long = [w for w in new if len(w) > CACHE_CHARS]
+            short = [w for w in new if len(w) <= CACHE_CHARS]
+            self.cache.update(zip(long, self.library(long)))
+            self.cache.update(zip(short, self.encoded(short)))
+            for words in split:
+                yield b"".join(map(self.cache.__getitem__, words)) + self.end
             for w in long:
                 del self.cache[w]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
+
+
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of up to about ``CALL_CHARS`` characters."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > CALL_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def id_type(top: int, end_id: int) -> np.dtype:

@@ -133,13 +133,11 @@ def brute_winnow(grams, w):
     if len(grams) < w:
         m = min(grams)
         return [(m, max(i for i, g in enumerate(grams) if g == m))]
-    out = []
+    out = {}
     for a in range(len(grams) - w + 1):
         m = min(grams[a:a + w])
-        at = max(i for i in range(a, a + w) if grams[i] == m)
-        if (m, at) not in out:
-            out.append((m, at))
-    return out
+        out[m, max(i for i in range(a, a + w) if grams[i] == m)] = None
+    return list(out)
 
 
 def test_winnowing_windows(spark):
@@ -178,7 +176,7 @@ def test_edited_texts(spark, run_rows):
     order = sorted([(i, t or "") for i, t in rows], key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
     nxt = sorted([(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)], key=str)
     assert sorted(map(tuple, winnowing.with_next_text(src, run_rows).collect()), key=str) == nxt
-    got = sorted([(x.doc_id, x.n_chars, x.edited_sha256) for x in winnowing.edited_fingerprints(df).collect()], key=str)
+    got = sorted([(x.doc_id, x.n_chars, x.edited_sha256) for x in winnowing.edited_fingerprints(df, run_rows=run_rows).collect()], key=str)
     want = [(i, len(t), hashlib.sha256((t[:len(t) - len(t) // 2] + n[:len(t) // 2]).encode()).hexdigest()) for i, t, n in nxt]
     assert got == sorted(want, key=str)
 
@@ -212,6 +210,82 @@ def test_winnowing_likeness(spark, sf_small):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def units(text):
+    import regex
+
+    letter = r"[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]]"
+    return regex.findall(rf"(?V1)(?<!{letter}){letter}{{1,16}}+(?!{letter})|[^\s\p{{Z}}]", text.lower())
+
+
+def brute_fingerprint(text, k, w):
+    """Kept (hash, position) pairs from the units by the definition of the rolling hash: unit hashes rotated by their distance to the gram's end, xored."""
+    mask = (1 << 64) - 1
+    rotl = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & mask if n % 64 else x
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units(text)]
+    long_hash = lambda v: xxhash.xxh64_intdigest((signed(v) & mask).to_bytes(8, "little"), seed=42)
+    if len(h) >= k:
+        grams = []
+        for a in range(len(h) - k + 1):
+            g = 0
+            for i in range(k):
+                g ^= rotl(h[a + i], k - 1 - i)
+            grams.append(long_hash(g) >> 32)
+        return brute_winnow(grams, w), grams
+    return None, None
+
+
+SCRIPTS = {
+    "prose": "the quick brown fox jumps over the lazy dog and runs from there to another place while nobody looks at it again ".split(),
+    "chinese": list("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜"),
+    "thai": list("กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ"),
+    "code": list("abcdefghijklmnopqrstuvwxyz0123456789(){}[];=+.,"),
+    "encoded": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_half_kept_texts_are_alike_in_every_script(spark, script):
+    r = random.Random(script)
+    sep = " " if script == "prose" else ""
+    text = lambda n: sep.join(r.choice(SCRIPTS[script]) for _ in range(n))
+    rows = [(k, text(r.randrange(60, 900) if script == "prose" else r.randrange(210, 4000))) for k in range(20)]
+    shared = text(400)
+    rows += [(100, text(150) + sep + shared), (99, shared + sep + text(170))]
+    got = {x.doc_id: x for x in winnowing.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(x.near_edited > 0.3 for x in got.values()), {i: x.near_edited for i, x in got.items()}
+    assert all(got[k].near_next < 0.2 for k in range(1, 20)) and got[100].near_next > 0.5
+
+
+def test_fingerprint_and_likeness_equal_brute_force(spark):
+    r = random.Random(11)
+    pieces = ["word", "Straße", "été", "ÉTÉ", "naïve", "你好", "世界", "กขค", "x" * 16, "y" * 17, "z" * 40, "a1b2", "--", "(", "😀", "\u00a0", "\u3000", "\n", "e\u0301"]
+    rows = [(k, "".join(r.choice(pieces) + r.choice(["", " ", ", "]) for _ in range(n))) for k, n in enumerate([0, 1, 3, 5, 8, 9, 30, 200, 201])]
+    rows.append((50, "long words only " * 1200))
+    k, w = winnowing.K, winnowing.W
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {x.doc_id: [(y.hash & 0xFFFFFFFF, y.position) for y in x.kept] for x in winnowing.fingerprints(df).collect()}
+    order = sorted(rows, reverse=True)
+    out = {x.doc_id: x for x in winnowing.edited_fingerprints(df).collect()}
+    sets = {}
+    for i, t in rows:
+        want, grams = brute_fingerprint(t, k, w)
+        if want is None:
+            assert len(kept[i]) == (1 if units(t) else 0)
+            continue
+        # the stored hash is the upper half of the gram's hash
+        assert [(h & 0xFFFFFFFF, p) for h, p in want] == kept[i]
+        sets[i] = {h for h, _ in want}
+    for n, (i, t) in enumerate(order):
+        _, nt = order[(n + 1) % len(order)]
+        edited, _ = brute_fingerprint(t[:len(t) - len(t) // 2] + nt[:len(t) // 2], k, w)
+        nxt, _ = brute_fingerprint(nt, k, w)
+        for other, value in ((edited, out[i].near_edited), (nxt, out[i].near_next)):
+            if i in sets and other is not None:
+                b = {h for h, _ in other}
+                assert value == pytest.approx(2 * len(sets[i] & b) / (len(sets[i]) + len(b)))
+
+
 def test_winnowing_of_nothing_and_of_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     assert winnowing.edited_fingerprints(df.where("false")).count() == 0

@@ -75,6 +75,16 @@ def test_token_files_of_nothing(spark):
     assert tf.read_token_files(manifest).count() == 0
 
 
+def test_latin_words_equal_the_library():
+    """Every character of the Latin range beside letters, digits, marks, blanks and quotes, and random mixtures."""
+    lib, own = Tokenizer.from_file(WORD), tf.Packer(WORD, 1)
+    r = random.Random(1)
+    chars = [chr(c) for c in range(0x250)]
+    texts = [f"a{c}b {c}s '{c} {c}{c}9 x{c}" for c in chars] + ["".join(r.choice(chars if r.random() < 0.3 else list("ab'sStT \n12.,é")) for _ in range(60)) for _ in range(400)]
+    got = [np.frombuffer(b, own.dtype).tolist() for b in own.pack(texts)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_by_word_reads_the_configuration():
     config = json.loads(Tokenizer.from_file(WORD).to_str())
     assert tf.by_word(config) and not tf.by_word(json.loads(Tokenizer.from_file(BYTE).to_str()))

@@ -26,14 +26,18 @@ many shards.  The order is id (null as the greatest), then that hash.
 
 A tokenizer whose configuration never lets a token or a normalisation reach
 across a blank is applied word by word: a bounded cache holds the packed ids of
-words seen before, the library encodes the others.  Any other configuration
-encodes whole texts.
+words seen before, the library encodes the others.  Texts in Latin letters
+alone, which that configuration's normalisation only makes lower case, are cut
+by its word pattern, other texts at blanks.  Any other configuration encodes
+whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -95,6 +99,13 @@ def _mapped(path: str, dtype: np.dtype, n: int) -> np.ndarray:
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_LATIN = [c for c in map(chr, range(0x180)) if c != "\u0130"]  # composed, and one small letter for each capital
+_L, _N = ("".join(c for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN")
+_OTHER = re.compile(f"[^{_LATIN[0]}-\u012f\u0131-{_LATIN[-1]}]")
+#: The word pattern with its classes spelled out for Latin letters.
+_LATIN_WORDS = re.compile(_WORDS.replace(r"[^\s\p{L}\p{N}]", f"[^\t\n\x0b\x0c\r \x85\xa0{_L}{_N}]").replace(r"[\p{L}]", f"[{_L}]").replace(r"[\p{N}]", f"[{_N}]"))
+
+
 def by_word(config: dict) -> bool:
     """Whether encoding a text equals joining the encodings of its blank-separated parts, read off the configuration.
 
@@ -120,7 +131,9 @@ class Packer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.words = by_word(json.loads(self.lib.to_str()))
+        config = json.loads(self.lib.to_str())
+        self.words = by_word(config)
+        self.special = [t["content"] for t in config["added_tokens"]]
         self.dtype = id_type(max(self.lib.get_vocab(with_added_tokens=True).values()), end_id)
         self.end = np.array([end_id], self.dtype).tobytes()
         # two generations of words: what the older one is not asked for again is forgotten with it
@@ -155,13 +168,19 @@ class Packer:
             out += [data[a:b] for a, b in zip(starts, ends)]
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text whose ids make up the text's: words by the pattern, or else what blanks divide."""
+        if _OTHER.search(text) or any(t in text for t in self.special):
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return _LATIN_WORDS.findall(text.lower())
+
     def pack(self, texts: list[str]) -> Iterator[bytes]:
         if not self.words:
             for t in texts:
                 yield self.library([t])[0] + self.end
             return
         for group in grouped(texts):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in group]
+            split = [self.cut(t) for t in group]
             if len(self.cache) > CACHE_WORDS:
                 self.cache, self.older = {}, self.cache
             new = []

@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words (lower case, between white space) are hashed, ``k`` neighbouring word
+A lower-case text is cut into units: a word of up to 16 letters, marks and
+digits is one, everything else but white space is one unit a code point, and
+so are words of scripts that put no blanks between them and longer runs
+(minified code, encoded data).  Units are hashed, ``k`` neighbouring unit
 hashes are combined by a rolling cyclic-polynomial hash (built by doubling),
 and in every window of ``w`` k-grams the least hash is kept, the rightmost on
 ties.  Hash and position travel in one long (hash above, 2^31 - 1 - position
 below), so a plain minimum picks the rightmost of equal hashes, and windows
 that keep the same k-gram fall together as equal values.  Guarantee: any
-passage of ``w + k - 1`` words that two texts share gives a common hash.
+passage of ``w + k - 1`` units that two texts share gives a common hash.
 """
 
 from __future__ import annotations
@@ -46,20 +49,26 @@ def _steps(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(text: Column) -> Column:
-    flat = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
-    return F.transform(F.filter(F.split(flat, " "), lambda x: x != ""), lambda x: F.xxhash64(x))
+#: Scripts written without blanks between words.
+_UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+_LETTER = "[\\p{L}\\p{M}\\p{N}&&[^" + "".join(f"\\p{{Is{s}}}" for s in _UNSPACED) + "]]"
+#: A whole run of up to 16 letters, marks and digits, else one code point that is no white space.
+UNIT = f"(?<!{_LETTER}){_LETTER}{{1,16}}+(?!{_LETTER})|[^\\s\\p{{Z}}]"
+
+
+def unit_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))
 
 
 def with_winnowed(df: DataFrame, text: Column, out: str, k: int = K, w: int = W) -> DataFrame:
     """``df`` with ``out`` array<bigint>: the kept k-grams of ``text`` as packed (hash, position), by position of their window.
 
-    A text of fewer than ``k`` words has one gram of all its words (none:
+    A text of fewer than ``k`` units has one gram of all its units (none:
     an empty list); one of fewer than ``w`` grams has one window of all.
     """
     t = lambda s: f"__{out}_{s}"
     drop = [t("h"), t("g"), t("m")]
-    df = df.withColumn(t("h"), word_hashes(text))
+    df = df.withColumn(t("h"), unit_hashes(text))
     h = F.col(t("h"))
     # rolling hash: the span of length n at i is rotl(span a at i, b) ^ (span b at i + a)
     spans, g = {1: h}, h
@@ -93,14 +102,14 @@ def hashes(packed: Column) -> Column:
 
 
 def positions(packed: Column) -> Column:
-    """The k-gram positions (0 for the first word) of a packed fingerprint."""
+    """The k-gram positions (0 for the first unit) of a packed fingerprint."""
     return F.transform(packed, lambda x: (F.lit(_POS).cast("bigint") - x.bitwiseAND(F.lit(_POS).cast("bigint"))).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared over all distinct hashes; 1 for two empty fingerprints."""
-    every = F.size(F.array_union(a, b))
-    return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / every)
+    """Shared hashes over the mean number of distinct hashes of the two (a half for two texts of which half is the same); 1 for two empty fingerprints."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / both)
 
 
 def digest(packed: Column) -> Column:
@@ -152,11 +161,12 @@ def with_runs(src: DataFrame, run_rows: int = RUN_ROWS) -> tuple[DataFrame, int]
         keyed = keyed.join(crowded, "run", "left").withColumns({"run": F.col("run") + past - past % step, "width": step}).drop("step")
 
 
-def with_next_text(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """``src(id, t)`` with ``nxt``: the text of the next row in the order id descending (null last), then text; after the last the first.
+def in_order(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``src(id, t)`` as ``run, pos, guest, id, t, nxt``: each run's rows in the order id descending (null last), then text.
 
     Every run of ids is sorted alone.  The first row of each run also goes to
-    the end of the run before it, so one shuffle moves each text once.
+    the end of the run before it (``guest``), so one shuffle moves each text
+    once; ``nxt`` is the text of the next row, after the last the first.
     """
     keyed, width = with_runs(src.select("id", "t"), run_rows)
     heads = materialise(keyed.groupBy("run").agg(F.max("id").alias("head")), "run-heads")
@@ -165,25 +175,34 @@ def with_next_text(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     guests = first.select(F.lit(None).cast("bigint").alias("id"), "t", F.col("to").alias("run"), F.lit(1).alias("guest"))
     both = keyed.select("id", "t", "run", F.lit(0).alias("guest")).union(guests)
     inside = Window.partitionBy("run").orderBy("guest", F.col("id").desc_nulls_last(), "t")
-    return both.withColumn("nxt", F.lead("t").over(inside)).where("guest = 0").select("id", "t", "nxt")
+    return both.select("run", "guest", "id", "t", F.row_number().over(inside).alias("pos"), F.lead("t").over(inside).alias("nxt"))
+
+
+def with_next_text(src: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``src(id, t)`` with ``nxt``: the text of the next row in the order id descending (null last), then text; after the last the first."""
+    return in_order(src, run_rows).where("guest = 0").select("id", "t", "nxt")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W, run_rows: int = RUN_ROWS) -> DataFrame:
     """Fingerprints of each text and of its edited text (its last half replaced by the start of the next document).
 
     One row per input row: ``id_col, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_kept``.  A null text is
     empty; rows with a null id come last, rows with equal ids by text; a
-    single row is its own next; other columns are ignored.
+    single row is its own next; other columns are ignored.  Each text is
+    fingerprinted once: the row before it in its run gets the kept grams, not
+    the text, a second time.
     """
     src = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    both = with_next_text(src).withColumn("n", F.length("t").cast("bigint"))
+    both = in_order(src, run_rows).withColumn("n", F.length("t").cast("bigint"))
     half = F.floor(F.col("n") / 2).cast("int")
-    both = both.withColumn("e", F.concat(F.substring("t", F.lit(1), F.col("n").cast("int") - half), F.substring("nxt", F.lit(1), half)))
-    both = both.select("id", "n", "t", "e", "nxt")
-    for name in ("t", "e", "nxt"):
+    edited = F.concat(F.substring("t", F.lit(1), F.col("n").cast("int") - half), F.substring("nxt", F.lit(1), half))
+    both = both.withColumn("e", F.when(F.col("guest") == 0, edited).otherwise(""))
+    for name in ("t", "e"):
         both = with_winnowed(both, F.col(name), f"p{name}", k, w)
-    own, edited, nxt = hashes(F.col("pt")), hashes(F.col("pe")), hashes(F.col("pnxt"))
-    return both.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"),
+    slim = both.select("run", "pos", "guest", "id", "n", F.sha2(F.col("e").cast("binary"), 256).alias("sha"), "pt", "pe")
+    slim = slim.withColumn("pnxt", F.lead("pt").over(Window.partitionBy("run").orderBy("pos"))).where("guest = 0")
+    own = hashes(F.col("pt"))
+    return slim.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
                        digest(F.col("pt")).alias("fingerprint"), digest(F.col("pe")).alias("edited_fingerprint"),
-                       likeness(own, edited).alias("near_edited"), likeness(own, nxt).alias("near_next"), F.size("pt").cast("bigint").alias("n_kept"))
+                       likeness(own, hashes(F.col("pe"))).alias("near_edited"), likeness(own, hashes(F.col("pnxt"))).alias("near_next"), F.size("pt").cast("bigint").alias("n_kept"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vantage.operators.neighbors import knn_within
+
 
 def split_flag(key: Column, test_share: float = 0.3, seed: int = 42) -> Column:
     """Deterministic train/test assignment from the row key.
@@ -138,66 +140,6 @@ def feature_names(numeric: Sequence[str], categorical: dict) -> list[str]:
     return list(numeric) + [f"{c}_{lv}" for c, levels in categorical.items() for lv in levels]
 
 
-def _cell_key(vec: str, r: Column, offset=None) -> Column:
-    cells = F.transform(vec, lambda v: F.floor(v / r))
-    if offset is not None:
-        cells = F.zip_with(cells, offset, lambda a, b: a + b)
-    return F.concat_ws(",", F.transform(cells, lambda c: c.cast("string")))
-
-
-def knn_within(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k: int, dim: int) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) inside each group, without the
-    all-pairs product.
-
-    Points are hashed to grid cells of side r; a point's candidates are
-    the points of its 3^dim neighbouring cells, and its k-th nearest
-    candidate is exact whenever it lies within r (every point closer than
-    r is in a neighbouring cell).  Points not resolved in a round are
-    retried with a larger r until none is left; r starts from the middle 80%
-    of the group's values and its size, so a cell holds about k points even
-    if a few points lie far out.  Meant for the low-dimensional encoded
-    feature space SMOTE works in.  Output: ``by, id, nbr, nbr_vec, d``.
-    """
-    import itertools
-
-    by = list(by)
-    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
-    ext = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                               *[F.percentile_approx(F.col("_v")[i], [0.0, 0.1, 0.9, 1.0], 1000).alias(f"_q{i}") for i in range(dim)])
-    for i in range(dim):
-        q = F.col(f"_q{i}")
-        ext = ext.withColumn(f"_e{i}", F.when(q[2] > q[1], (q[2] - q[1]) / 0.8).otherwise(q[3] - q[0]))
-    span = F.greatest(*[F.col(f"_e{i}") for i in range(dim)], F.lit(1e-9)) if dim > 1 else F.greatest(F.col("_e0"), F.lit(1e-9))
-    r0 = span / F.pow(F.greatest(F.col("_n") / float(max(k, 1)), F.lit(1.0)), 1.0 / dim)
-    pts = pts.join(ext.select(*by, "_n", r0.alias("_r")), by)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=dim)])
-    todo = pts
-    done = None
-    grow = 2.0
-    while True:
-        data = todo.select(*by, "_r").distinct().join(pts.drop("_r"), by)
-        data = data.select(*by, "_r", F.col("_id").alias("nbr"), F.col("_v").alias("nbr_vec"),
-                           _cell_key("_v", F.col("_r")).alias("_cell"))
-        q = todo.select(*by, "_id", "_v", "_r", "_n", F.explode(offsets).alias("_off"))
-        q = q.select(*by, "_id", "_v", "_r", "_n", _cell_key("_v", F.col("_r"), F.col("_off")).alias("_cell"))
-        cand = q.join(data, [*by, "_r", "_cell"]).where(F.col("nbr") != F.col("_id"))
-        diff = F.zip_with("_v", "nbr_vec", lambda a, b: (a - b) * (a - b))
-        cand = cand.withColumn("d", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x))).where(F.col("d") <= F.col("_r"))
-        w = Window.partitionBy(*by, "_id").orderBy("d", "nbr")
-        top = cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
-        need = F.least(F.lit(k), F.col("_n") - 1)
-        cnt = top.groupBy(*by, "_id", "_n").agg(F.count(F.lit(1)).alias("_c"))
-        ok = cnt.where(F.col("_c") >= need).select(*by, "_id")
-        res = top.join(ok, [*by, "_id"], "left_semi").select(*by, F.col("_id").alias(id_col), "nbr", "nbr_vec", "d")
-        done = res if done is None else done.unionByName(res)
-        todo = todo.join(ok, [*by, "_id"], "left_anti").where(F.col("_n") > 1)
-        todo = todo.withColumn("_r", F.col("_r") * grow).checkpoint()
-        if todo.isEmpty():
-            break
-        grow = min(2.0 * grow, 64.0)  # what is left after some rounds lies far out
-    return done
-
-
 def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k: int = 5,
           seed: int = 42) -> DataFrame:
     """SMOTE -- every class of a group is oversampled to the majority size.
@@ -213,12 +155,11 @@ def smote(df: DataFrame, by: Sequence[str], id_col: str, vec: str, label: str, k
 
     by = list(by)
     checkpoint_dir(df.sparkSession)
-    dim = len(df.select(vec).first()[0])
     base = df.select(*by, label, id_col, F.col(vec).cast("array<double>").alias(vec))
     sizes = base.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
     wmax = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     sizes = sizes.withColumn("_need", F.max("_nc").over(wmax) - F.col("_nc"))
-    nn = knn_within(base, [*by, label], id_col, vec, k, dim)
+    nn = knn_within(base, [*by, label], id_col, vec, k)
     nbrs = nn.groupBy(*by, label, id_col).agg(F.array_sort(F.collect_list(F.struct("d", "nbr", "nbr_vec"))).alias("_nb"))
     # members by hash order: the exact distributed rank of a 52-bit hash, so
     # a large class is never sorted in one task

@@ -522,12 +522,12 @@ def summed(models: list[dict], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(rows: DataFrame, models: DataFrame, by: Sequence[str], key: str, vec: str, plan: Plan, out: str = "prediction") -> DataFrame:
-    """``by, key, <out>`` array<double>: class probabilities, or for regression one number; rows of groups without a model are left out."""
+def predict(rows: DataFrame, models: DataFrame, by: Sequence[str], key: str, vec: str, plan: Plan, out: str = "prediction", keep: Sequence[str] = ()) -> DataFrame:
+    """``by, key, keep, <out>`` array<double>: class probabilities, or for regression one number; rows of groups without a model are left out."""
     by = list(by)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + f", `{out}` array<double>"
-    names = [*by, key]
+    names = [*by, key, *keep]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{out}` array<double>"
 
     def one(t: pa.Table, m: pa.Table) -> pa.Table:
         x = t.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
@@ -535,7 +535,7 @@ def predict(rows: DataFrame, models: DataFrame, by: Sequence[str], key: str, vec
         t = t.slice(0, len(got))
         return pa.table({**{c: t.column(c) for c in names}, out: pa.array(list(got), pa.list_(pa.float64()))})
 
-    src = rows.select(*by, key, F.col(vec).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
+    src = rows.select(*names, F.col(vec).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
     return apply_models(src, models, by, key, one, schema)
 
 

@@ -1,9 +1,5 @@
-"""Grouped PCA, grouped K-means and the
-cluster-geometry comparisons built on them.
-
-Many small models are fitted in one Spark job per iteration: the group
-key (dataset, model, k, restart) is just another grouping column.  Only
-k x d centres or d x d moment matrices per group ever meet in one row.
+"""Elbows, choices of k and the cluster-geometry
+comparisons, on top of grouped K-means (``kmeans``) and PCA (``pca``).
 """
 
 from __future__ import annotations
@@ -14,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vantage.operators.kmeans import elbow_curve, kmeans
+from vantage.operators.pca import pca
+
+__all__ = ["assign_clusters", "audit_rows", "bin_inertia_curve", "choose_k", "cluster_count_summary", "cluster_similarity", "elbow_curve", "elbow_k", "elbows",
+           "kmeans", "pca"]
+
 
 def bin_inertia_curve(df: DataFrame, by: Sequence[str], x: str, y: str, kmax: int = 9) -> DataFrame:
     """Deterministic inertia curve: for k = 1..kmax, the within-bin sum of
@@ -57,174 +59,6 @@ def choose_k(df: DataFrame, by: Sequence[str], cols: Sequence[str], lo: int = 2,
     return g.select(*by, k.cast("int").alias("k"))
 
 
-# ---------------------------------------------------------------- I3 grouped K-means
-
-def _dist2(v, c):
-    sq = F.zip_with(v, c, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def kmeans(df: DataFrame, by: Sequence[str], id_col: str, vec: str, k, n_init: int = 10, max_iter: int = 300,
-           tol: float = 1e-4, seed: int = 42, kmax: int | None = None):
-    """Lloyd's K-means for every group at once.
-
-    ``k`` is an int or the name of a per-group column (then it must be in
-    ``by`` -- this is how an elbow curve fits k = 1..kmax in one job).
-    ``n_init`` restarts run side by side as an extra group key; each starts
-    from the k points with the smallest hash of (id, seed, restart) (a
-    deterministic random start; the reference's k-means++ seeding is
-    sequential per group).  Per iteration: the k centres of each
-    (group, restart) travel as one array row, every point picks its
-    nearest centre JVM-side, and ``Summarizer.mean`` by (group, restart,
-    cluster) gives the new centres -- one join and one aggregate.  The
-    centre table is checkpointed to the shared checkpoint folder every few
-    iterations.  A (group, restart) has converged when the squared
-    Frobenius norm of its centre shift is at most ``tol`` times the mean
-    feature variance of the group (scikit-learn's rule); iterations stop
-    when every run has converged.
-
-    Returns ``(assign, centers, cost)``: labels per row (renumbered by
-    first appearance in ``id`` order), centres per (group, cluster), and
-    the inertia of the best restart per group with its ``converged`` flag
-    (false if ``max_iter`` ended it).
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    from vantage.session import checkpoint_dir
-
-    by = list(by)
-    checkpoint_dir(df.sparkSession)
-    kcol = F.col(k) if isinstance(k, str) else F.lit(int(k))
-    # loop-invariant input: materialised once (recomputable from lineage if
-    # an executor is lost), not re-read from the source every iteration; the
-    # restarts are expanded on the fly so the cache holds each point once
-    pts = df.select(*by, F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v")).persist()
-    runs = pts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    gk = [*by, "_run"]
-    h = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed)), F.col("_run").cast("string")))
-    w = Window.partitionBy(*gk).orderBy(h, "_id")
-    # a literal bound first, so the start-point pick is a WindowGroupLimit
-    # (each map task keeps at most kmax rows per group before the shuffle)
-    bound = int(k) if not isinstance(k, str) else int(kmax or 10)
-    centers = (runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= bound).where(F.col("_rn") <= kcol)
-                   .select(*gk, (F.col("_rn") - 1).alias("_cid"), F.col("_v").alias("_c")))
-    centers = centers.checkpoint()
-    from pyspark.ml.functions import array_to_vector as _a2v
-    from pyspark.ml.functions import vector_to_array as _v2a
-    var = pts.groupBy(*by).agg(Summarizer.variance(_a2v("_v")).alias("_var")) if by else \
-        pts.groupBy().agg(Summarizer.variance(_a2v("_v")).alias("_var"))
-    var = var.select(*by, (F.aggregate(_v2a("_var"), F.lit(0.0), lambda a, x: a + x) / F.size(_v2a("_var")) * tol)
-                     .alias("_tol")).checkpoint()
-
-    def assign(cs):
-        packed = cs.groupBy(*gk).agg(F.collect_list(F.struct("_cid", "_c")).alias("_cs"))
-        j = runs.join(packed, gk)
-        best = F.array_min(F.transform("_cs", lambda c: F.struct(_dist2(F.col("_v"), c["_c"]).alias("d"),
-                                                                c["_cid"].alias("cid"))))
-        return j.select(*gk, "_id", "_v", best["cid"].alias("_cid"), best["d"].alias("_d"))
-
-    prev = None
-    for it in range(max_iter):
-        a = assign(centers)
-        new = (a.groupBy(*gk, "_cid").agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
-                .select(*gk, "_cid", vector_to_array("_m").alias("_c")))
-        # empty clusters keep their old centre
-        new = (centers.join(new.withColumnRenamed("_c", "_n"), [*gk, "_cid"], "left")
-                      .select(*gk, "_cid", F.coalesce("_n", "_c").alias("_c"), _dist2(F.col("_c"), F.coalesce("_n", "_c")).alias("_shift")))
-        # cut lineage in the shared checkpoint folder every few iterations;
-        # in between the (tiny) centre table is only persisted
-        new = new.checkpoint() if it % 4 == 3 else new.persist()
-        per_run = new.groupBy(*gk).agg(F.sum("_shift").alias("_s2"))
-        per_run = per_run.join(var, by) if by else _attach(per_run, var)
-        moved = per_run.agg(F.count(F.when(F.col("_s2") > F.col("_tol"), 1))).first()[0]
-        if prev is not None:
-            prev.unpersist()
-        prev = new if it % 4 != 3 else None
-        centers = new.drop("_shift")
-        if not moved:
-            break
-    ended = per_run.select(*gk, (F.col("_s2") <= F.col("_tol")).alias("converged")).checkpoint()
-    a = assign(centers)
-    cost = a.groupBy(*gk).agg(F.sum("_d").alias("inertia"))
-    wb = Window.partitionBy(*by).orderBy("inertia", "_run") if by else Window.orderBy("inertia", "_run")
-    best = cost.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") == 1).drop("_r")
-    a = a.join(best.select(*gk), gk, "left_semi")
-    # canonical labels: clusters numbered by their smallest id
-    first = a.groupBy(*by, "_cid").agg(F.min("_id").alias("_first"))
-    wl = Window.partitionBy(*by).orderBy("_first") if by else Window.orderBy("_first")
-    relabel = first.withColumn("cluster", F.row_number().over(wl) - 1).drop("_first")
-    assign_out = a.join(relabel, [*by, "_cid"]).select(*by, F.col("_id").alias(id_col), "cluster", F.col("_d").alias("dist2"))
-    cent = (centers.join(best.select(*gk), gk, "left_semi").join(relabel, [*by, "_cid"])
-                   .select(*by, "cluster", F.col("_c").alias("center")))
-    # the cached input is released; the returned plans start from the last
-    # centre table and recompute the (cheap) point scan when used
-    pts.unpersist()
-    return assign_out, cent, best.join(ended, gk).select(*by, "inertia", "converged")
-
-
-def elbow_curve(df: DataFrame, by: Sequence[str], id_col: str, vec: str, kmax: int = 9, n_init: int = 10,
-                seed: int = 42) -> DataFrame:
-    """I4: K-means inertia for k = 1..kmax, all k in the same job."""
-    ks = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(kmax))))
-    _, _, cost = kmeans(ks, [*by, "k"], id_col, vec, "k", n_init=n_init, seed=seed, kmax=kmax)
-    return cost
-
-
-# ---------------------------------------------------------------- I2 grouped PCA
-
-def pca(df: DataFrame, by: Sequence[str], id_col: str, vec: str, dim: int, k: int):
-    """Centre and project on the top ``k`` principal axes, per group.
-
-    One aggregate builds each group's d x d moment matrix (d(d+1)/2 sums);
-    the eigen-decomposition runs on those single rows with NumPy
-    (``mapInPandas``), so no raw row leaves the JVM; the projection is a
-    join of one component row per group and JVM-side dot products.  Signs
-    are fixed so that the largest-magnitude loading of each axis is
-    positive.  Returns ``(scores, components)``.
-    """
-    import numpy as np
-    import pandas as pd
-
-    by = list(by)
-    v = F.col(vec).cast("array<double>")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(v[i]).alias(f"s{i}") for i in range(dim)]
-    aggs += [F.sum(v[i] * v[j]).alias(f"q{i}_{j}") for i in range(dim) for j in range(i, dim)]
-    mom = df.groupBy(*by).agg(*aggs)
-    kk = min(k, dim)
-    schema = ", ".join([f"`{b}` {t}" for b, t in mom.select(*by).dtypes] +
-                       ["mean array<double>", "components array<array<double>>", "explained array<double>"])
-
-    def eig(it):
-        for pdf in it:
-            rows = []
-            for _, r in pdf.iterrows():
-                n = float(r["n"])
-                s = np.array([r[f"s{i}"] for i in range(dim)], dtype=float)
-                q = np.zeros((dim, dim))
-                for i in range(dim):
-                    for j in range(i, dim):
-                        q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-                mu = s / n
-                cov = (q - n * np.outer(mu, mu)) / max(n - 1.0, 1.0)
-                w, vecs = np.linalg.eigh(cov)
-                order = np.argsort(w)[::-1][:kk]
-                comps = vecs[:, order].T
-                for c in comps:
-                    if c[np.argmax(np.abs(c))] < 0:
-                        c *= -1.0
-                rows.append([*(r[b] for b in by), mu.tolist(), comps.tolist(), np.maximum(w[order], 0).tolist()])
-            yield pd.DataFrame(rows, columns=[*by, "mean", "components", "explained"])
-
-    comp = mom.mapInPandas(eig, schema)
-    j = df.select(*by, id_col, v.alias("_v")).join(comp, by)
-    centred = F.zip_with("_v", "mean", lambda a, b: a - b)
-    scores = F.transform("components", lambda c: F.aggregate(F.zip_with(centred, c, lambda a, b: a * b),
-                                                             F.lit(0.0), lambda acc, x: acc + x))
-    return j.select(*by, id_col, scores.alias("scores")), comp
-
-
 # ---------------------------------------------------------------- I5, I9, I10, I13, I15
 
 def _first_rows(df, key, id_col, cap):
@@ -233,13 +67,13 @@ def _first_rows(df, key, id_col, cap):
 
 
 def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str], k: int | DataFrame = 5,
-                       cap: int | None = None, kmax: int = 10, key: str = "dataset", id_col: str = "row_id", n_init: int = 10) -> DataFrame:
+                       cap: int | None = None, key: str = "dataset", id_col: str = "row_id", n_init: int = 10) -> DataFrame:
     """Per (dataset, model): K-means on the raw features and on the
     embeddings of all rows (with ``cap`` the first ones), then Spearman and cosine of
     the two centre-to-centre distance matrices.
 
     ``k`` is one number or a table ``(key, k)`` with a k of its own for each
-    dataset, ``kmax`` at most.
+    dataset.
 
     Deviation: K-means labels are arbitrary, so centres are paired by their
     first-appearance order (smallest row id) rather than by raw label.
@@ -252,8 +86,8 @@ def cluster_similarity(raw: DataFrame, emb: DataFrame, raw_cols: Sequence[str],
     ev = emb.join(first, [key, id_col], "left_semi")
     if isinstance(k, DataFrame):
         rv, ev = (x.join(k.select(key, F.col("k").alias("_k")), key) for x in (rv, ev))
-        _, rc, _ = kmeans(rv, [key, "_k"], id_col, "_vec", "_k", n_init=n_init, kmax=kmax)
-        _, ec, _ = kmeans(ev, [key, "model", "_k"], id_col, "embedding", "_k", n_init=n_init, kmax=kmax)
+        _, rc, _ = kmeans(rv, [key, "_k"], id_col, "_vec", "_k", n_init=n_init)
+        _, ec, _ = kmeans(ev, [key, "model", "_k"], id_col, "embedding", "_k", n_init=n_init)
     else:
         _, rc, _ = kmeans(rv, [key], id_col, "_vec", k, n_init=n_init)
         _, ec, _ = kmeans(ev, [key, "model"], id_col, "embedding", k, n_init=n_init)
@@ -271,16 +105,56 @@ def assign_clusters(samples: DataFrame, emb: DataFrame, models: Sequence[str], k
     return samples.join(wide.select(key, id_col, *[F.col(m).alias(f"cluster_{m}") for m in models]), [key, id_col], "left")
 
 
-def cluster_count_summary(emb: DataFrame, kmax: int = 9, key: str = "dataset", id_col: str = "row_id",
+def elbows(emb: DataFrame, by: Sequence[str], id_col: str, vec: str, kmax: int = 9, n_init: int = 10, max_components: int = 50, plane: int = 2) -> DataFrame:
+    """I4: ``by, k_reference, k_max_curvature, converged`` from the K-means inertia over k = 1..kmax.
+
+    Vectors are reduced to ``min(max_components, rows, width)`` principal
+    components, and their first ``plane`` (the place of a non-linear map) are
+    clustered.  k runs below the number of rows; fewer than three values of k
+    give 1.
+    """
+    by = list(by)
+    scores, _ = pca(emb, by, id_col, vec, k=max_components)
+    flat = scores.withColumn("scores", F.slice("scores", 1, plane))
+    n = flat.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    curve = elbow_curve(flat, by, id_col, "scores", kmax, n_init).join(n, by).where((F.col("k") < F.col("_n")) | (F.col("k") == 1))
+    a = elbow_k(curve, by, rule="reference").withColumnRenamed("elbow_k", "k_reference")
+    b = elbow_k(curve, by, rule="max_curvature").withColumnRenamed("elbow_k", "k_max_curvature")
+    return a.join(b, by).join(curve.groupBy(*by).agg(F.every("converged").alias("converged")), by)
+
+
+def cluster_count_summary(emb: DataFrame, kinds: DataFrame, original: int = 4, kmax: int = 9, key: str = "dataset", id_col: str = "row_id", vec: str = "embedding",
                           n_init: int = 10) -> DataFrame:
-    """Elbow k per (dataset, model), then mean / std of k per model."""
-    curve = elbow_curve(emb, [key, "model"], id_col, "embedding", kmax, n_init)
-    ek = elbow_k(curve, [key, "model"])
-    return ek.groupBy("model").agg(F.avg("elbow_k").alias("computed_clusters_mean"),
-                                   F.stddev_samp("elbow_k").alias("computed_clusters_std"),
-                                   F.count(F.lit(1)).alias("n"))
+    """Per (model, equation) the mean and deviation of the elbow k beside the number of clusters the data were made of.
+
+    ``kinds`` names each dataset's equation: ``(key, equation)``.  Datasets
+    with fewer than five rows do not count.
+    """
+    enough = emb.groupBy(key, "model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 5)
+    ks = elbows(emb.join(enough, [key, "model"], "left_semi"), [key, "model"], id_col, vec, kmax, n_init).join(kinds, key)
+    return ks.groupBy("model", "equation").agg(F.count(F.lit(1)).alias("n"), F.avg("k_reference").alias("computed_clusters_mean"),
+                                               F.stddev_samp("k_reference").alias("computed_clusters_std"), F.lit(float(original)).alias("original_clusters_mean"))
 
 
-def _attach(df, one_row):
-    from vantage.operators.relational import attach
-    return attach(df, one_row)
+def audit_rows(raw: DataFrame, emb: DataFrame, best: DataFrame, raw_cols: Sequence[str], k: int = 4, key: str = "dataset", id_col: str = "row_id", vec: str = "embedding",
+               n_init: int = 10) -> DataFrame:
+    """Both sides of each model's chosen dataset (``best(model, key)``), row by row: ``model, key, side, id, c1, c2, cluster``.
+
+    ``side`` is raw or embedded; ``c1, c2`` are the first two principal
+    components (0 where a side has fewer columns), ``cluster`` its K-means
+    label with ``k`` clusters.  Rows that one side lacks are left out.
+    """
+    held = raw.select(key, id_col, F.array(*[F.col(c).cast("double") for c in raw_cols]).alias("_v")).join(best, key)
+    embedded = emb.join(best, [key, "model"], "left_semi").select(key, "model", id_col, F.col(vec).cast("array<double>").alias("_v"))
+    both = [key, "model", id_col]
+    sides = held.join(embedded.select(*both), both, "left_semi").select(*both, "_v", F.lit("raw").alias("side")).unionByName(
+        embedded.join(held.select(*both), both, "left_semi").withColumn("side", F.lit("embedded")))
+    out = None
+    for side in ("raw", "embedded"):  # the sides differ in width
+        rows = sides.where(F.col("side") == side)
+        scores, _ = pca(rows, ["model", key], id_col, "_v", k=2)
+        labels, _, _ = kmeans(scores, ["model", key], id_col, "scores", k, n_init=n_init)
+        one = scores.join(labels, ["model", key, id_col]).select("model", key, F.lit(side).alias("side"), id_col, F.col("scores")[0].alias("c1"),
+                                                                 F.coalesce(F.get("scores", F.lit(1)), F.lit(0.0)).alias("c2"), "cluster")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -167,9 +167,9 @@ def auc_ovr(pred: DataFrame, by: Sequence[str], label: str, probs: str, classes:
     ``classes`` only that many of them count.  NULL when a class has no row
     (or all rows), with two classes the usual AUC."""
     p = F.col(probs) if classes is None else F.slice(probs, 1, F.col(classes).cast("int"))
-    ex = pred.select(*by, F.col(label).cast("int").alias("_y"), F.posexplode(p).alias("_c", "_p"))
-    ex = ex.withColumn("_pos", (F.col("_y") == F.col("_c")).cast("int"))
-    per = auc(ex, [*by, "_c"], "_pos", "_p")
+    ex = pred.select(*by, F.col(label).cast("int").alias("_y"), F.posexplode(p).alias("_class", "_p"))
+    ex = ex.withColumn("_pos", (F.col("_y") == F.col("_class")).cast("int"))
+    per = auc(ex, [*by, "_class"], "_pos", "_p")
     return per.groupBy(*by).agg(F.when(F.count(F.col("auc")) == F.count(F.lit(1)), F.avg("auc")).alias("auc"))
 
 

@@ -35,7 +35,7 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from vantage.plans import queries, queries_agg, queries_base, queries_ml, queries_stats  # noqa: F401
+    from vantage.plans import queries, queries_agg, queries_base, queries_ml, queries_models, queries_stats  # noqa: F401
 
     for name, o in list(_PENDING.items()):
         ORACLE[name] = o() if callable(o) else o

@@ -274,7 +274,7 @@ def i3_kmeans(spark, d):
 @register("i2_pca")
 def i2_pca(spark, d):
     """Grouped PCA to 2 components per (dataset, model)."""
-    scores, comp = CL.pca(V.emb_long(spark, d), ["dataset", "model"], "row_id", "embedding", 16, 2)
+    scores, comp = CL.pca(V.emb_long(spark, d), ["dataset", "model"], "row_id", "embedding", V.EMB_WIDTH, 2)
     s = scores.groupBy("dataset", "model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("scores")[0]).alias("pc1_mean"),
                                                F.var_samp(F.col("scores")[0]).alias("pc1_var"))
     return s.join(comp.select("dataset", "model", F.col("explained")[0].alias("explained_1")), ["dataset", "model"])
@@ -316,20 +316,24 @@ def audit_choice(spark, d, cap=None):
 @register("i13_audit_table")
 def i13_audit_table(spark, d, cap=None):
     """Best dataset per model by cosine (over all rows unless ``cap``
-    is given), with 2-D coordinates and 4-cluster labels of its raw and
-    embedded rows."""
-    best = audit_choice(spark, d, cap)
-    emb = V.emb_long(spark, d).join(best, ["dataset", "model"], "left_semi")
-    sc, _ = CL.pca(emb, ["dataset", "model"], "row_id", "embedding", 16, 2)
-    lab, _, _ = CL.kmeans(sc, ["dataset", "model"], "row_id", "scores", 4)
-    out = sc.join(lab, ["dataset", "model", "row_id"])
-    return out.groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("k"))
+    is given) with every row's 2-D coordinates and 4-cluster label, raw and
+    embedded side."""
+    best = R.materialize(audit_choice(spark, d, cap))
+    return CL.audit_rows(V.emb_raw(spark, d), V.emb_long(spark, d), best, ["x1", "x2", "x3"])
+
+
+@register("i4_elbow_kmeans")
+def i4_elbow_kmeans(spark, d):
+    """I4: elbow of the K-means inertia (k = 1..9, 10 restarts) per (dataset, model), on the plane of the first two components."""
+    return CL.elbows(V.emb_long(spark, d), ["dataset", "model"], "row_id", "embedding")
 
 
 @register("i15_cluster_count_summary")
 def i15_cluster_count_summary(spark, d):
-    """Elbow k (k = 1..9) per (dataset, model), summarised per model."""
-    return CL.cluster_count_summary(V.emb_long(spark, d), kmax=9)
+    """Elbow k (k = 1..9) of each dataset's reduced embeddings, summarised per (model, equation) beside the original 4 clusters."""
+    emb = V.emb_long(spark, d)
+    kinds = emb.select("dataset").distinct().select("dataset", V.equation_of(F.regexp_extract("dataset", r"(\d+)$", 1).cast("bigint")).alias("equation"))
+    return CL.cluster_count_summary(emb, kinds)
 
 
 @register("i1_embed_texts")
@@ -529,9 +533,9 @@ def _k8_sql():
        SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY r2 DESC, ord) AS rn FROM met WHERE r2 IS NOT NULL) t WHERE rn = 1""")
 
 
-@register("k8_best_regressor", _k8_sql)
-def k8_best_regressor(spark, d):
-    """K8: fit a family of models, keep the best by test R2 (first wins ties)."""
+@register("k8_best_linear_design", _k8_sql)
+def k8_best_linear_design(spark, d):
+    """K8 over linear designs: three designs of one linear model, the best by test R2 (first wins ties); ``k8_best_of_families`` has the model families."""
     m = _k8_frame(spark, d)
     order = F.create_map(*[x for i, n in enumerate(LINEAR_FAMILY) for x in (F.lit(n), F.lit(i))])
     m = m.withColumn("_ord", order[F.col("model")])
@@ -576,9 +580,9 @@ def _k9_sql():
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY auc DESC, ord) AS rn FROM ({a}) x WHERE auc IS NOT NULL) t WHERE rn = 1"""
 
 
-@register("k9_best_classifier", _k9_sql)
-def k9_best_classifier(spark, d):
-    """K9: per source, the best of a family of scorers by AUC (first wins ties)."""
+@register("k9_best_scorer", _k9_sql)
+def k9_best_scorer(spark, d):
+    """K9 over ready scores: per source, the better of two by AUC (first wins ties); ``k9_classifier_chain`` fits classifiers."""
     docs = V.docs(spark, d)
     a = docs.select("source", "quality", F.lit("LenScore").alias("model"), F.lit(0).alias("ord"),
                     F.log1p(F.col("n_chars").cast("double")).alias("sc"))
@@ -659,131 +663,6 @@ def k13_assisted_regression(spark, d):
     return coef.select("dataset", eq.alias("equation")).join(K.regression_metrics(pred, ["dataset"]), "dataset")
 
 
-@register("k3_random_forest")
-def k3_random_forest(spark, d):
-    """K3: random-forest regressor (100 trees) on the training rows; test metrics per dataset."""
-    return _pooled_regression(spark, d, "rf")
-
-
-@register("k4_gradient_boost")
-def k4_gradient_boost(spark, d):
-    """K4: gradient-boosted regressor (100 rounds, depth 3); test metrics per dataset."""
-    return _pooled_regression(spark, d, "gbt")
-
-
-def _pooled_regression(spark, d, kind):
-    s = R.design(V.samples(spark, d))
-    s = J.one_hot(s, "equation", list(V.EQUATIONS), prefix="eq")
-    feats = [*R.ASSISTED, *[f"eq_{e}" for e in V.EQUATIONS]]
-    model = K.fit_pooled(s.where(~F.col("is_test")), feats, "x3", kind)
-    pred = model.transform(s.where(F.col("is_test"))).select("dataset", F.col("x3").alias("y"), F.col("prediction").alias("yhat"))
-    return K.regression_metrics(pred, ["dataset"], "y", "yhat")
-
-
-def _docs_features(spark, d):
-    docs = V.docs(spark, d).select("doc_id", "source", "lang", "quality", "n_chars", "text")
-    docs = J.one_hot(docs, "lang", ["de", "en", "es", "fr"])
-    docs = docs.withColumn("len_log", F.log1p(F.col("n_chars").cast("double"))).withColumn(
-        "lines", F.size(F.split("text", "\n")).cast("double"))
-    docs = J.split(docs, "doc_id")
-    return docs, ["len_log", "lines", "lang_de", "lang_en", "lang_es", "lang_fr"]
-
-
-def _pooled_classifier(spark, d, kind):
-    docs, feats = _docs_features(spark, d)
-    model = K.fit_pooled(docs.where(~F.col("is_test")), feats, "quality", kind, task="classification")
-    from pyspark.ml.functions import vector_to_array
-    pred = model.transform(docs.where(F.col("is_test")))
-    if "probability" in pred.columns:
-        pred = pred.withColumn("score", vector_to_array("probability")[1])
-    else:  # one-vs-rest: the raw score of the positive class
-        pred = pred.withColumn("score", vector_to_array("rawPrediction")[1])
-    a = K.auc(pred, ["lang"], "quality", "score")
-    m = pred.groupBy("lang").agg(F.sqrt(F.avg(F.pow(F.col("quality") - F.col("prediction"), 2))).alias("rmse"),
-                                 F.avg(F.abs(F.col("quality") - F.col("prediction"))).alias("mae"))
-    return a.join(m, "lang")
-
-
-@register("k5_logistic")
-def k5_logistic(spark, d):
-    """K5: logistic regression (500 iterations, L2 = 1/n) on document features; AUC per language."""
-    return _pooled_classifier(spark, d, "logreg")
-
-
-@register("k6_random_forest_classifier")
-def k6_random_forest_classifier(spark, d):
-    """K6: random-forest classifier (100 trees); AUC per language."""
-    return _pooled_classifier(spark, d, "rf")
-
-
-@register("k7_gradient_boost_classifier")
-def k7_gradient_boost_classifier(spark, d):
-    """K7: gradient-boosted classifier through one-vs-rest; AUC per language."""
-    return _pooled_classifier(spark, d, "gbt")
-
-
-# The model families compared by K8 and K9, in the order tried (the first wins ties).
-REGRESSORS = ["linear", "rf", "gbt"]
-CLASSIFIERS = ["logreg", "rf", "gbt_binary"]
-
-
-def _order(names):
-    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-
-
-@register("k8_best_of_families")
-def k8_best_of_families(spark, d):
-    """K8: grouped linear fit, pooled random forest and pooled boosting on the
-    training rows; per dataset the family with the best test R2."""
-    s = J.one_hot(R.design(V.samples(spark, d)), "equation", list(V.EQUATIONS), prefix="eq")
-    s = R.materialize(s.select("dataset", "x3", "is_test", *R.ASSISTED, *[f"eq_{e}" for e in V.EQUATIONS]))
-    feats = [*R.ASSISTED, *[f"eq_{e}" for e in V.EQUATIONS]]
-    coef = K.grouped_ols(s, ["dataset"], "x3", R.ASSISTED, where=~F.col("is_test")).drop("n")
-    pred = s.where("is_test").join(coef, "dataset").withColumn("yhat_linear", K.linear_prediction("b_", R.ASSISTED))
-    for kind in REGRESSORS[1:]:
-        model = K.fit_pooled(s.where("not is_test"), feats, "x3", kind)
-        pred = model.transform(pred).drop("features").withColumnRenamed("prediction", f"yhat_{kind}")
-    m = R.regression_metrics_multi(pred, ["dataset"], "x3", {n: f"yhat_{n}" for n in REGRESSORS})
-    best = K.best_by(m.withColumn("_ord", _order(REGRESSORS)[F.col("model")]), ["dataset"], "r2", "_ord")
-    return best.select("dataset", F.col("model").alias("best_model"), "n", "r2", "rmse", "mae")
-
-
-def classifier_chain(rows, by, id_col, label, numeric, categorical):
-    """J7 -> J5 -> J8 -> K5-K7 -> K11: stratified split, imputation and scaling
-    fitted on training rows, SMOTE of the training rows, three classifiers;
-    the test AUC of each per group: ``by, model, auc``.  ``label`` is 0 / 1."""
-    from pyspark.ml.functions import vector_to_array
-    s = J.stratified_split(rows, by, label, id_col)
-    s = J.impute(s, by, numeric, "median", fit_on=~F.col("is_test"))
-    stats = s.where("not is_test").groupBy(*by).agg(*[F.avg(c).alias(f"_mu_{c}") for c in numeric],
-                                                    *[F.stddev_pop(c).alias(f"_sd_{c}") for c in numeric])
-    scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")), F.lit(0.0)) for c in numeric]
-    hot = [J.indicator(c, lv) for c, levels in categorical.items() for lv in levels]
-    s = R.materialize(s.join(stats, list(by)).select(*by, F.col(id_col).cast("string").alias(id_col), label, "is_test",
-                                                     F.array(*scaled, *hot).alias("vec")))
-    names = [f"f{i}" for i in range(len(scaled) + len(hot))]
-    flat = [F.col("vec")[i].alias(n) for i, n in enumerate(names)]
-    train = R.materialize(J.smote(s.where("not is_test"), by, id_col, "vec", label).select(label, *flat))
-    test = s.where("is_test").select(*by, label, *flat)
-    out = None
-    for kind in CLASSIFIERS:
-        pred = K.fit_pooled(train, names, label, kind, task="classification").transform(test)
-        a = K.auc(pred.withColumn("score", vector_to_array("probability")[1]), by, label, "score").select(*by, F.lit(kind).alias("model"), "auc")
-        out = a if out is None else out.unionByName(a)
-    return out
-
-
-@register("k9_classifier_chain")
-def k9_classifier_chain(spark, d):
-    """K9: the whole chain (split, preparation, SMOTE, three classifiers) on the
-    labelled documents; per language the classifier with the best test AUC."""
-    docs = V.docs(spark, d).select("doc_id", "lang", "source", "quality", F.log1p(F.col("n_chars").cast("double")).alias("len_log"),
-                                   F.size(F.split("text", "\n")).cast("double").alias("lines"))
-    a = classifier_chain(docs, ["lang"], "doc_id", "quality", ["len_log", "lines"], {})
-    best = K.best_by(a.withColumn("_ord", _order(CLASSIFIERS)[F.col("model")]), ["lang"], "auc", "_ord")
-    return best.select("lang", F.col("model").alias("best_model"), "auc")
-
-
 @register("k14_inverse_fit")
 def k14_inverse_fit(spark, d):
     """Fit SVR = a / (categories + b) by Gauss-Newton over all datasets."""
@@ -800,19 +679,3 @@ def m6_complexity_frontier(spark, d):
     grid = RL.attach(ext, p).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99))))
     x = F.col("min") + (F.col("max") - F.col("min")) * F.col("i") / 99.0
     return grid.select("i", x.alias("x"), (F.col("a") / (x + F.col("b"))).alias("y_fit"))
-
-
-@register("k15_clinical_pipeline")
-def k15_clinical_pipeline(spark, d):
-    """K15, clustering half: labelled rows -> sentence -> embedding -> 2
-    clusters -> silhouette (documents as the table)."""
-    from vantage.operators.text import embed_texts
-    docs = V.docs(spark, d).withColumn("outcome", B.binarize("quality", 0, "good", "poor"))
-    docs = docs.withColumn("sentence", B.row_sentence(["quality", "toxic"], skip=("outcome",)))
-    docs = docs.withColumn("sentence", F.concat_ws(" ", "sentence", "lang", "source"))
-    e = embed_texts(docs.withColumn("one", F.lit("all")), "sentence", dim=64, key="doc_id")
-    a, _, _ = CL.kmeans(e, ["one"], "doc_id", "embedding", 2)
-    lab = a.join(e.select("one", "doc_id", "embedding"), ["one", "doc_id"])
-    # whole table: squared-Euclidean silhouette from per-cluster sums
-    sil = VX.silhouette_sq(lab, ["one"], "embedding", "cluster")
-    return sil.drop("one")

@@ -340,10 +340,7 @@ def _m8_sql():
 @register("m8_best_cluster", _m8_sql)
 def m8_best_cluster(spark, d):
     """M8: best cluster column per dataset, then AUC mean / 95% CI per label."""
-    c = R.classification_results(spark, d).withColumn("auc", B.to_numeric(F.col("auc")))
-    best = RL.best_row(RL.drop_missing(c, ["auc"]), ["dataset"], "auc", ["cluster"])
-    best = best.withColumn("label", B.map_labels("cluster", R.CLUSTER_LABELS))
-    return ST.summarize_ci(best, ["label"], "auc")
+    return R.best_cluster(R.classification_results(spark, d), R.CLUSTER_LABELS)
 
 
 def _m9_sql():
@@ -367,13 +364,7 @@ def _m9_sql():
 @register("m9_auc_significance", _m9_sql)
 def m9_auc_significance(spark, d):
     """M9: AUC mean / SEM by (label, best model) with a label-vs-rest Welch flag."""
-    c = R.classification_results(spark, d).withColumn("label", B.map_labels("cluster", R.CLUSTER_LABELS))
-    c = RL.drop_missing(c.withColumn("auc", B.to_numeric(F.col("auc"))), ["auc"])
-    g = ST.summarize(c, ["label", "best_model"], ["auc"], ["count", "mean", "sem"])
-    sig = ST.one_vs_rest_ttest(c, [], "label", "auc").select("label", "p_value", "significant")
-    return g.join(sig, "label").select("label", "best_model", F.col("auc_count").alias("n"),
-                                       F.col("auc_mean").alias("mean"), F.col("auc_sem").alias("sem"),
-                                       "p_value", "significant")
+    return R.auc_significance(R.classification_results(spark, d), R.CLUSTER_LABELS)
 
 
 @register("m10_assisted_auc", lambda: base("scores").sql(f"""
@@ -382,12 +373,7 @@ SELECT a.model, count(*) AS n, {r6('avg(a.a)')} AS mean_assisted, {r6('avg(a.a -
        {r6('quantile_cont(a.a, 0.75)')} AS q3 FROM ({AUC_SQL}) a GROUP BY a.model"""))
 def m10_assisted_auc(spark, d):
     """Assisted AUC by algorithm: mean, mean gain over unassisted, quartiles."""
-    asd, un = R.auc_results(spark, d)
-    j = RL.merge_results(asd, un, ["dataset", "model"], ("_assisted", "_unassisted"))
-    g = j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("auc_assisted").alias("mean_assisted"),
-                               F.avg(F.col("auc_assisted") - F.col("auc_unassisted")).alias("mean_delta"))
-    box = RL.box_stats(asd, ["model"], "auc").select("model", "q1", "median", "q3")
-    return g.join(box, "model")
+    return R.assisted_auc(*R.auc_results(spark, d))
 
 
 def _m11_sql():
@@ -403,13 +389,7 @@ def _m11_sql():
 def m11_paired_auc(spark, d):
     """Best AUC per dataset for both methods, AUC >= 0.6 on both, paired
     comparison for all datasets and for those where assisted is better."""
-    asd, un = R.auc_results(spark, d)
-    j = RL.best_score(un, ["dataset"], "auc", "auc_unassisted").join(RL.best_score(asd, ["dataset"], "auc", "auc_assisted"), "dataset")
-    j = RL.quality_filter(RL.quality_filter(j, "auc_assisted", 0.6, False), "auc_unassisted", 0.6, False)
-    j = j.withColumn("llm_better", B.better_flag("auc_unassisted", "auc_assisted"))
-    sub = j.withColumn("subset", F.explode(F.when(F.col("llm_better"), F.array(F.lit("all"), F.lit("better_only")))
-                                           .otherwise(F.array(F.lit("all")))))
-    return R.paired_summary(sub, ["subset"], "auc_unassisted", "auc_assisted", names=("unassisted", "assisted"))
+    return R.paired_auc(*R.auc_results(spark, d))
 
 
 def _m12_sql():

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.functions import dist
+from vantage.functions import expr as B
 from vantage.operators import features as J
 from vantage.operators import models as K
+from vantage.operators import relational as RL
+from vantage.operators import stats as ST
 from vantage.sources import testdata as V
 
 UNASSISTED = ["x1", "cat1_B"]
@@ -170,6 +173,44 @@ def auc_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return (g.select("dataset", "model", F.col("a").alias("auc")), g.select("dataset", "model", F.col("u").alias("auc")))
 
 
+def best_cluster(results: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """M8 of a table ``dataset, cluster, auc``: the best cluster column per dataset, then AUC mean / 95% CI per label."""
+    c = results.withColumn("auc", B.to_numeric(F.col("auc")))
+    best = RL.best_row(RL.drop_missing(c, ["auc"]), ["dataset"], "auc", ["cluster"])
+    return ST.summarize_ci(best.withColumn("label", B.map_labels("cluster", labels)), ["label"], "auc")
+
+
+def auc_significance(results: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """M9 of a table ``dataset, cluster, best_model, auc``: AUC mean / SEM by (label, best model) with a label-vs-rest Welch flag."""
+    c = results.withColumn("label", B.map_labels("cluster", labels))
+    c = RL.drop_missing(c.withColumn("auc", B.to_numeric(F.col("auc"))), ["auc"])
+    g = ST.summarize(c, ["label", "best_model"], ["auc"], ["count", "mean", "sem"])
+    sig = ST.one_vs_rest_ttest(c, [], "label", "auc").select("label", "p_value", "significant")
+    return g.join(sig, "label").select("label", "best_model", F.col("auc_count").alias("n"),
+                                       F.col("auc_mean").alias("mean"), F.col("auc_sem").alias("sem"),
+                                       "p_value", "significant")
+
+
+def assisted_auc(asd: DataFrame, un: DataFrame) -> DataFrame:
+    """M10 of two tables ``dataset, model, auc``: assisted AUC by algorithm: mean, mean gain over unassisted, quartiles."""
+    j = RL.merge_results(asd, un, ["dataset", "model"], ("_assisted", "_unassisted"))
+    g = j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("auc_assisted").alias("mean_assisted"),
+                               F.avg(F.col("auc_assisted") - F.col("auc_unassisted")).alias("mean_delta"))
+    box = RL.box_stats(asd, ["model"], "auc").select("model", "q1", "median", "q3")
+    return g.join(box, "model")
+
+
+def paired_auc(asd: DataFrame, un: DataFrame) -> DataFrame:
+    """M11 of two tables ``dataset, model, auc``: the best AUC per dataset on both sides, both at least 0.6, compared in pairs for all
+    datasets and for those where assisted is better."""
+    j = RL.best_score(un, ["dataset"], "auc", "auc_unassisted").join(RL.best_score(asd, ["dataset"], "auc", "auc_assisted"), "dataset")
+    j = RL.quality_filter(RL.quality_filter(j, "auc_assisted", 0.6, False), "auc_unassisted", 0.6, False)
+    j = j.withColumn("llm_better", B.better_flag("auc_unassisted", "auc_assisted"))
+    sub = j.withColumn("subset", F.explode(F.when(F.col("llm_better"), F.array(F.lit("all"), F.lit("better_only")))
+                                           .otherwise(F.array(F.lit("all")))))
+    return paired_summary(sub, ["subset"], "auc_unassisted", "auc_assisted", names=("unassisted", "assisted"))
+
+
 def wide(pairs: DataFrame) -> DataFrame:
     """Long pairs -> wide (prefer ``regression_pairs_wide``, which needs no join)."""
     return side(pairs, "unassisted", "unassisted").join(side(pairs, "assisted", "assisted"), "dataset")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -196,19 +197,50 @@ def test_base_spans_equal_brute_force(spark):
     assert secrets.secret_scan(df.where("false")).count() == 0
 
 
-def test_guess_cost_is_the_cheapest_segmentation():
-    g = secrets.GuessCost()
+def segment_costs(g, v):
+    """Every segment of ``v`` by the rules alone: (start, end) -> least cost, found by looking at each substring."""
+    rows = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
+    place = {c: (r, i) for r, row in enumerate(rows) for i, c in enumerate(row)}
+    leet = dict(zip("013457@$!", "oleastasi"))
+    near = lambda a, b: a in place and b in place and (place[b][0] - place[a][0], place[b][1] - place[a][1]) in ((0, 1), (0, -1), (1, -1), (1, 0), (-1, 0), (-1, 1))
+    out, log, low = {}, math.log10, v.lower()
+    for i in range(len(v)):
+        for j in range(i + 1, len(v) + 1):
+            part, found = v[i:j], []
+            small = part.lower()
+            if j - i == 1:
+                found.append(g.brute(part))
+            for w, extra in ((small, 0.0), ("".join(leet.get(c, c) for c in small), log(4))):
+                if len(low) == len(v) and len(part) > 2 and w in secrets.WORDS and (not extra or low.isascii()):
+                    found.append(log(secrets.WORDS.index(w) + 2) + extra + (0 if part == small else log(2) if part.istitle() else log(4)))
+            if secrets.DATE.fullmatch(part) and any(m.span() == (i, j) for m in secrets.DATE.finditer(v)):
+                found.append(log(119) if len(part) == 4 else log(366 * 119) + (0 if part.isdigit() else log(4)))
+            for size in (1, 2, 3, 4):
+                k = len(part) // size
+                if k * size == len(part) and part[:size] * k == part and k >= (3 if size == 1 else 2) and (size == 1 or len(set(part[:size])) > 1):
+                    found.append(sum(map(g.brute, part[:size])) + log(k))
+            if 4 <= len(part) <= 24 and len(low) == len(v) and all(near(a, b) for a, b in zip(small, small[1:])):
+                ways = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) for a, b in zip(small, small[1:])]
+                found.append(log(47) + log(len(part)) + 0.3 * (1 + sum(a != b for a, b in zip(ways, ways[1:]))))
+            if found:
+                out[i, j] = min(found)
+    return out
 
-    def brute(v, arcs, i=0):
-        if i == len(v):
-            return 0.0
-        steps = [(i + 1, g.brute(v[i]))] + [(j, c) for j, c, _ in arcs.get(i, ())]
-        return min(c + brute(v, arcs, j) for j, c in steps)
 
-    for v in ("password1987", "P4ssw0rd!", "qwertyuiop", "aaaaaaab", "abcabcabc", "20240131x", "Xk9$vQ2#mL", "dragon-dragon", "İx", "zxcvbn12/03/1999"):
+def test_guess_cost_is_the_cheapest_segmentation():
+    g = secrets.GuessCost()
+    r = random.Random(12)
+    pieces = ["password", "Dragon", "qwert", "asdf", "zxcvbn", "aaaa", "abab", "xyzxyz", "1987", "20240131", "p4ss", "k9", "$", "love", "MONKEY", "poiu"]
+    mixed = ["".join(r.choice(pieces) for _ in range(3))[:18] for _ in range(60)]
+    for v in ["password1987", "P4ssw0rd!", "qwertyuiop", "qwertyuiopassword", "asdfghjklove", "aaaaaaab", "abcabcabc", "20240131x", "Xk9$vQ2#mL", "dragon-dragon", "İx",
+              "zxcvbn12/03/1999", "a" * 20, "qazwsx", *mixed]:
+        costs, best = segment_costs(g, v), [0.0] + [float("inf")] * len(v)
+        for j in range(1, len(v) + 1):
+            best[j] = min(best[i] + costs[i, j] for i in range(j) if (i, j) in costs)
         cost, parts = g.segments(v)
-        assert cost == pytest.approx(brute(v, g.arcs(v)))
+        assert cost == pytest.approx(best[-1]), v
         assert parts[0][0] == 0 and parts[-1][1] == len(v) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert g.segments("qwertyuiopassword")[1] == [(0, 9, "walk"), (9, 17, "word")]
     assert g.segments("password1987")[0] < g.segments("Xk9$vQ2#mLp")[0]
     assert len(g.segments("k" * 100_000)[1]) == 1
 

@@ -75,6 +75,22 @@ def neighbours() -> dict[str, frozenset[str]]:
 
 
 NEAR = neighbours()
+_PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+#: Counts of a repeat, and keys of a walk, that are segments of their own from every start; of a repeat also as many as there are.
+SPELLED = 24
+
+
+def key_step(a: str, b: str) -> tuple[int, int] | None:
+    """Direction from key ``a`` to its neighbour ``b`` (rows, places), or nothing if they are not neighbours."""
+    if b not in NEAR.get(a, ()):
+        return None
+    return _PLACE[b][0] - _PLACE[a][0], _PLACE[b][1] - _PLACE[a][1]
+
+
+def counts(least: int, most: int) -> list[int]:
+    return [*range(least, min(most, SPELLED) + 1), *([most] if most > SPELLED else [])]
+
+
 DATE = re.compile(r"(?a)(?:(?:19|20)\d\d)([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 
@@ -116,35 +132,25 @@ class GuessCost:
         for m in DATE.finditer(v):
             year = m.end() - m.start() == 4
             add(m.start(), m.end(), log10(119 if year else _MONTHDAYS) + (0 if year or v[m.start():m.end()].isdigit() else log10(len(_SEP))), "date")
-        i = 0
-        while i < n:  # runs of one character: the character and the length
-            j = i + 1
-            while j < n and v[j] == v[i]:
-                j += 1
-            if j - i >= 3:
-                add(i, j, self.brute(v[i]) + log10(j - i), "repeat")
-            i = j
-        for size in (2, 3, 4):  # repeated blocks: the block and the count
-            i = 0
-            while i + 2 * size <= n:
-                j, block = i + size, v[i:i + size]
-                while len(set(block)) > 1 and v[j:j + size] == block:
-                    j += size
-                if j - i >= 2 * size:
-                    add(i, j, sum(map(self.brute, v[i:i + size])) + log10((j - i) // size), "repeat")
-                    i = j
-                else:
-                    i += 1
-        i = 0
-        while i < n - 2:  # keyboard walks: the start key, then few ways a step
-            j, turns, last = i, 0, None
-            while j + 1 < len(low) == n and low[j + 1] in NEAR.get(low[j], ()):
-                step = ord(low[j + 1]) - ord(low[j])
-                turns += step != last
-                last, j = step, j + 1
-            if j - i >= 3:
-                add(i, j + 1, log10(47) + log10(j - i + 1) + 0.3 * turns, "walk")
-            i = max(i + 1, j)
+        for size in (1, 2, 3, 4):  # repeated blocks from every start: the block and the count
+            run = 0  # characters from i on that equal those a block further
+            for i in range(n - size - 1, -1, -1):
+                run = run + 1 if v[i] == v[i + size] else 0
+                most, block = run // size + 1, v[i:i + size]
+                if most < (3 if size == 1 else 2) or (size > 1 and len(set(block)) == 1):
+                    continue
+                price = sum(map(self.brute, block))
+                for k in counts(3 if size == 1 else 2, most):
+                    add(i, i + k * size, price + log10(k), "repeat")
+        if len(low) == n:  # keyboard walks from every start: the start key, then few ways a step
+            steps = [key_step(a, b) for a, b in zip(low, low[1:])]
+            for i in range(n - 3):
+                turns, j = 0, i
+                while j < n - 1 and steps[j] and j + 2 - i <= SPELLED:
+                    turns += j == i or steps[j] != steps[j - 1]
+                    j += 1
+                    if j - i >= 3:
+                        add(i, j + 1, log10(47) + log10(j - i + 1) + 0.3 * turns, "walk")
         return out
 
     def segments(self, v: str) -> tuple[float, list[tuple[int, int, str]]]:

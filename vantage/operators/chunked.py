@@ -28,14 +28,21 @@ def dealt(df: DataFrame, by: Sequence[str], key: str, chunk_rows: int = CHUNK_RO
     return df.join(n, list(by)).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` for work that is heavy beside its bytes: into as many partitions as shuffles have, four a core at least,
+    which adaptive execution leaves as they are."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def apply_models(rows: DataFrame, models: DataFrame, by: Sequence[str], key: str, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
                  chunk_rows: int = 50_000) -> DataFrame:
     """``fn(rows of a part, models of its group)`` for all parts of all groups: no group meets in one task, each part gets a copy of its group's models."""
     ship_package(rows.sparkSession)
     parts = dealt(rows, by, key, chunk_rows)
-    spread = models.join(parts.select(*by, "_parts").distinct(), list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    copies = models.join(parts.select(*by, "_parts").distinct(), list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     keys = [*by, "_part"]
-    out = parts.drop("_parts").groupBy(*keys).cogroup(spread.drop("_parts").groupBy(*keys))
+    out = spread(parts.drop("_parts"), keys).groupBy(*keys).cogroup(spread(copies.drop("_parts"), keys).groupBy(*keys))
 
     def one(a: pa.Table, b: pa.Table) -> pa.Table:
         return fn(a, b)

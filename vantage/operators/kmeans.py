@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.operators.chunked import apply_models, each_row, packed, write_once
+from vantage.operators.chunked import apply_models, each_row, packed, spread, write_once
 from vantage.operators.trees import arrow_schema, mixed
 from vantage.session import ship_package
 
@@ -142,7 +142,7 @@ def fit_kmeans(df: DataFrame, by: Sequence[str], key: str, vec: str, ks: Sequenc
 
     small = base.where(F.col("_n") <= group_rows)
     rows = src.join(small.select(*by), by, "left_semi").select(*by, "_x", F.xxhash64("_key").alias("_h"))
-    local = rows.groupBy(*by).cogroup(small.groupBy(*by)).applyInArrow(whole, schema)
+    local = spread(rows, by).groupBy(*by).cogroup(spread(small, by).groupBy(*by)).applyInArrow(whole, schema)
     large = base.where(F.col("_n") > group_rows)
     if large.isEmpty():
         return local

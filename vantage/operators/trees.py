@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.operators.chunked import apply_models, each_row, packed, write_once
+from vantage.operators.chunked import apply_models, each_row, packed, spread, write_once
 from vantage.session import ship_package
 
 BINS, GROUP_ROWS, BLOCK_TREES = 256, 50_000, 25
@@ -416,7 +416,7 @@ def fit_trees(train: DataFrame, by: Sequence[str], key: str, vec: str, y: str, p
 
     small = base.where(F.col("_n") <= group_rows)
     rows = src.join(small.select(*by), by, "left_semi").select(*by, "_x", "_y", F.xxhash64("_key").alias("_h"))
-    local = rows.groupBy(*by).cogroup(small.groupBy(*by)).applyInArrow(whole, f"{names}, {MODEL}")
+    local = spread(rows, by).groupBy(*by).cogroup(spread(small, by).groupBy(*by)).applyInArrow(whole, f"{names}, {MODEL}")
     large = base.where(F.col("_n") > group_rows)
     if large.isEmpty():
         return local

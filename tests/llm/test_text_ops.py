@@ -107,6 +107,20 @@ def test_toxicity_learns_and_locates(spark):
     assert 0 <= none.score("zork")[0] <= 1
 
 
+def test_one_word_rule(spark):
+    texts = ["café cafés E\u0301te\u0301", "a1b2 x² ½half Ⅷth ٣٤ abc_def", "naïve 你好，世界 हिन्दी ไทย", "it's a co-op", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(toxicity._SPARK_WORD), F.lit(0)).alias("w")).collect()
+    assert [r.w for r in got] == [toxicity.WORD.findall(t) for t in texts]
+
+
+def test_training_does_not_depend_on_row_order(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t} " + "word " * (t % 4)) for c in range(30) for t in range(1 + c % 7)] + [(3, 1, "user", "again"), (3, 1, "user", None)]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    one = chat.train(spark.createDataFrame(rows, schema), max_turns=37)
+    two = chat.train(spark.createDataFrame(random.Random(3).sample(rows, len(rows)), schema).repartition(5), max_turns=37)
+    assert str(one) == str(two)
+
+
 def test_training_sample_holds_different_texts(spark):
     texts = [f"text {i}" for i in range(40)]
     first = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.xxhash64("t")).first().t  # the copies enter the sample first

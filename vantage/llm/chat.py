@@ -244,8 +244,10 @@ def transcripts(conv: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
 
 
 def train(conv: DataFrame, max_turns: int = MAX_TRAIN_TURNS, id_col: str = "conv_id", **columns) -> Model:
-    """Fit on the transcripts of a bounded sample of labelled turns."""
-    sample = conv.where(col(id_col).isNotNull()).orderBy(F.xxhash64(col(id_col)), col(id_col)).limit(max_turns)
+    """Fit on the transcripts of a bounded sample of labelled turns: the first by conversation hash, turn, role and text, so that the
+    order of the rows does not matter."""
+    rest = [col(columns.get(f"{c}_col", c)) for c in ("turn", "role", "text")]
+    sample = conv.where(col(id_col).isNotNull()).orderBy(F.xxhash64(col(id_col)), col(id_col), *rest).limit(max_turns)
     lines = transcripts(sample, id_col, **columns).where("ord is not null")
     lines = materialise(lines.withColumn("sym", symbol(F.col("line"))).select("conv", "ord", "sub", "r", "sym"), "chat-train")
     state = F.col("r") * 2 + F.when(F.col("sub") == 0, 0).otherwise(1)

@@ -205,7 +205,9 @@ def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: in
     parameter table (one row per group) is checkpointed to the session's
     shared folder every few iterations, where the fit also ends once no
     group moves by more than 1e-10 of its parameters.  The input is written
-    there once and not read again.
+    there once and not read again.  Output: ``by, a, b, sse, converged``; the
+    flag is false if the iterations ran out or the parameters ran away (data
+    without an optimum).
     """
     from vantage.session import checkpoint_dir
 
@@ -245,7 +247,8 @@ def inverse_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), iters: in
             st = st.checkpoint()
             if st.where("step > 1e-10").isEmpty():
                 break
-    return st.select(*by, F.col("best_a").alias("a"), F.col("best_b").alias("b"), F.col("best_sse").alias("sse"))
+    done = F.coalesce((F.col("step") <= 1e-10) & (F.abs("best_a") < 1e12) & (F.abs("best_b") < 1e12), F.lit(False))
+    return st.select(*by, F.col("best_a").alias("a"), F.col("best_b").alias("b"), F.col("best_sse").alias("sse"), done.alias("converged"))
 
 
 def fit_pooled(train: DataFrame, features: Sequence[str], label: str, kind: str, task: str = "regression",

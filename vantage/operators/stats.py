@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -308,13 +309,47 @@ def wilcoxon(df: DataFrame, by: Sequence[str], a: str, b: str, exact_max_n: int
     return g.select(*by, "n", "statistic", p.alias("p_value"))
 
 
-def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str) -> DataFrame:
+#: The exact law of U is used (``method="auto"``) up to this size of the smaller group and this many possible values.
+EXACT_SMALLER, EXACT_VALUES = 8, 20_000
+
+
+def u_law_tail(n1: int, n2: int, u: float) -> float:
+    """P(U >= u) of the Mann-Whitney statistic without ties.
+
+    The number of ways to reach U = k is the k-th coefficient of the Gaussian
+    binomial (n1 + n2 over n1), built up by its recurrence: for i = 1 .. n1,
+    times (1 - q^(n2 + i)), divided by (1 - q^i).
+    """
+    import math
+
+    import numpy as np
+
+    small, large = min(n1, n2), max(n1, n2)
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1.0
+    for i in range(1, small + 1):
+        if large + i <= n1 * n2:
+            ways[large + i:] -= ways[:-(large + i)].copy()
+        for r in range(i):  # running sums in steps of i
+            ways[r::i] = np.cumsum(ways[r::i])
+    at = math.ceil(u - 1e-9)
+    upper = ways[at:].sum() if at <= n1 * n2 else 0.0
+    return float(upper / math.comb(n1 + n2, n1))
+
+
+def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str, method: str = "asymptotic") -> DataFrame:
     """Mann-Whitney U of ``value`` for flag true (x) against false (y).
 
     U = R_x - n_x(n_x+1)/2; two-sided normal law with tie and continuity
     correction (SciPy's asymptotic method).  Rows are counted per distinct
-    value first; only those counts are ranked, chunk by chunk.
+    value first; only those counts are ranked, chunk by chunk.  With
+    ``method="exact"`` the law is that of all orders of distinct values (ties
+    are not allowed for), with ``"auto"`` so for groups without ties of which
+    the smaller has at most eight rows, else the normal law; both add a column
+    ``method`` that says which law a row's ``p_value`` is from.
     """
+    if method not in ("asymptotic", "exact", "auto"):
+        raise ValueError(method)
     by = list(by)
     f = F.col(flag)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
@@ -331,9 +366,27 @@ def mannwhitney(df: DataFrame, by: Sequence[str], value: str, flag: str) -> Data
     sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.try_divide(F.col("_tie"), nn * (nn - 1))))
     z = F.try_divide(big - n1 * n2 / 2.0 - 0.5, sigma)
     ok = (F.col("n_true") > 0) & (F.col("n_false") > 0) & (sigma > 0)
-    g = g.select(*by, "n_true", "n_false", u1.alias("u_stat"), F.when(ok, z).alias("_z"))
-    return g.select(*by, "n_true", "n_false", "u_stat",
-                    F.when(F.col("_z").isNotNull(), F.least(F.lit(1.0), dist.col_norm_sf2("_z"))).alias("p_value"))
+    g = g.select(*by, "n_true", "n_false", u1.alias("u_stat"), F.when(ok, z).alias("_z"), (F.col("_tie") == 0).alias("_whole"))
+    normal = F.when(F.col("_z").isNotNull(), F.least(F.lit(1.0), dist.col_norm_sf2("_z")))
+    if method == "asymptotic":
+        return g.select(*by, "n_true", "n_false", "u_stat", normal.alias("p_value"))
+    from vantage.session import ship_package
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def exact(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:  # one row a group
+        return pd.Series([min(1.0, 2 * u_law_tail(int(a), int(b), max(c, a * b - c))) if a > 0 and b > 0 else None for a, b, c in zip(n1, n2, u)], dtype="float64")
+
+    both = (F.col("n_true") > 0) & (F.col("n_false") > 0)
+    small = F.col("_whole") & (F.least("n_true", "n_false") <= EXACT_SMALLER) & (F.col("n_true") * F.col("n_false") <= EXACT_VALUES)
+    use = both if method == "exact" else both & small
+    g = g.withColumn("method", F.when(use, "exact").otherwise("asymptotic"))
+    by_law = lambda m: g.where(F.col("method") == m)
+    a = by_law("exact").withColumn("p_value", exact("n_true", "n_false", "u_stat"))
+    b = by_law("asymptotic").withColumn("p_value", normal)
+    cols = [*by, "n_true", "n_false", "u_stat", "p_value", "method"]
+    return a.select(*cols).unionByName(b.select(*cols))
 
 
 def breusch_pagan(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -394,18 +447,22 @@ def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str,
                            lambda acc, c: acc + F.when(u > c, 1.0).otherwise(0.0))
 
     ws = F.transform(F.sequence(F.lit(1), F.lit(reps)), weight)
-    parts = F.flatten(F.transform(ws, lambda w: F.array(w, w * xs, w * ys, w * xs * xs, w * xs * ys)))
-    src = df.where(xs.isNotNull() & ys.isNotNull())
-    g = src.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector(parts))).alias("_s"),
-                             F.min(xs).alias("lo"), F.max(xs).alias("hi"))
-    g = g.select(*by, "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)),
+    # sums around the group's means, so that numbers far from zero lose nothing
+    src = df.where(xs.isNotNull() & ys.isNotNull()).select(*by, F.col(key), xs.alias("_x"), ys.alias("_y"))
+    mid = src.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    src = src.join(mid, by) if by else _attach(src, mid)
+    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
+    parts = F.flatten(F.transform(ws, lambda w: F.array(w, w * dx, w * dy, w * dx * dx, w * dx * dy)))
+    g = src.groupBy(*by, "_mx", "_my").agg(vector_to_array(Summarizer.sum(array_to_vector(parts))).alias("_s"),
+                                           F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    g = g.select(*by, "lo", "hi", "_mx", "_my", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)),
                                                             lambda i: F.slice("_s", i * 5 + 1, 5))).alias("_rep", "_v"))
     sw, sx, sy, sxx, sxy = [F.col("_v")[i] for i in range(5)]
     slope = F.try_divide(sxy - sx * sy / sw, sxx - sx * sx / sw)
     g = g.withColumn("slope", slope).withColumn("icpt", (sy - F.col("slope") * sx) / sw)
     g = g.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     g = g.withColumn("gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / float(grid - 1))
-    g = g.withColumn("gy", F.col("icpt") + F.col("slope") * F.col("gx"))
+    g = g.withColumn("gy", F.col("_my") + F.col("icpt") + F.col("slope") * (F.col("gx") - F.col("_mx")))
     a = (1.0 - level) / 2.0
     return g.groupBy(*by, "gi", "gx").agg(F.percentile("gy", a).alias("band_low"),
                                           F.percentile("gy", 1.0 - a).alias("band_high"))

@@ -57,14 +57,13 @@ def weighted_avg_rank(df: DataFrame, by: Sequence[str], value: str, weight: str,
 
 
 def weighted_pearson(df: DataFrame, by: Sequence[str], x: str, y: str, w: str, out: str = "r") -> DataFrame:
-    wx, wy, ww = F.col(x), F.col(y), F.col(w)
-    g = df.groupBy(*by).agg(F.sum(ww).alias("_w"), F.sum(ww * wx).alias("_sx"), F.sum(ww * wy).alias("_sy"),
-                            F.sum(ww * wx * wx).alias("_sxx"), F.sum(ww * wy * wy).alias("_syy"),
-                            F.sum(ww * wx * wy).alias("_sxy"))
-    cxy = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_w")
-    cxx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("_w")
-    cyy = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("_w")
-    r = F.when((cxx > 0) & (cyy > 0), cxy / F.sqrt(cxx * cyy))
+    """Pearson correlation with row weights, from sums around the group's weighted means; null for a constant side."""
+    by = list(by)
+    ww = F.col(w)
+    mid = df.groupBy(*by).agg((F.sum(ww * F.col(x)) / F.sum(ww)).alias("_mx"), (F.sum(ww * F.col(y)) / F.sum(ww)).alias("_my"))
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    g = df.join(mid, by).groupBy(*by).agg(F.sum(ww * dx * dx).alias("_sxx"), F.sum(ww * dy * dy).alias("_syy"), F.sum(ww * dx * dy).alias("_sxy"))
+    r = F.when((F.col("_sxx") > 0) & (F.col("_syy") > 0), F.col("_sxy") / F.sqrt(F.col("_sxx") * F.col("_syy")))
     return g.select(*by, r.alias(out))
 
 

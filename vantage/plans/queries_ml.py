@@ -678,4 +678,4 @@ def m6_complexity_frontier(spark, d):
     ext = RL.extent(meta, "num_categorical_vars")
     grid = RL.attach(ext, p).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99))))
     x = F.col("min") + (F.col("max") - F.col("min")) * F.col("i") / 99.0
-    return grid.select("i", x.alias("x"), (F.col("a") / (x + F.col("b"))).alias("y_fit"))
+    return grid.select("i", x.alias("x"), (F.col("a") / (x + F.col("b"))).alias("y_fit"), "converged")

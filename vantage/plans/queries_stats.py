@@ -209,6 +209,14 @@ def l10_regression_line(spark, d):
     return ST.regression_line(j, [], "subject_variable_ratio", "r2")
 
 
+@register("l10_regression_band")
+def l10_regression_band(spark, d):
+    """L10 (band): 95% bootstrap band of the line of R2 on SVR, 200 replicates on a grid of 100 points."""
+    j = R.regression_pairs(spark, d).where((F.col("model") == "unassisted") & (F.col("r2") > 0.2))
+    j = R.materialize(j.join(V.dataset_meta(spark, d), "dataset"))
+    return ST.regression_band(j, [], "subject_variable_ratio", "r2", "dataset")
+
+
 # ---------------------------------------------------------------- M
 
 @register("m1_similarity_report", lambda: base("scores").sql(f"""

@@ -58,17 +58,30 @@ def parse_embedding_name(col: Column) -> list[Column]:
             F.regexp_extract(col, r"^embeddings_[^_]+_(.+)$", 1).alias("dataset")]
 
 
-def scan_embeddings(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
-    """A3: embeddings stored as Parquet ``dataset, model, row_id, embedding``;
-    nested (ARRAY<ARRAY<FLOAT>>) rows are flattened, values cast to DOUBLE."""
+def scan_embeddings(spark: SparkSession, path: str, nested: bool = False, fmt: str = "parquet", rows_per_partition: int = 100_000) -> DataFrame:
+    """A3: embeddings ``dataset, model, row_id, embedding`` as doubles.
+
+    From Parquet with these columns (``nested``: ARRAY<ARRAY<FLOAT>> rows are
+    flattened), or with ``fmt="npy"`` from array files named
+    ``embeddings_{model}_{dataset}.npy``, split by rows.
+    """
+    if fmt == "npy":
+        from vantage.sources import npy
+
+        npy.register(spark)
+        df = spark.read.format("npy").option("rowsPerPartition", rows_per_partition).load(path)
+        model, dataset = parse_embedding_name(F.regexp_replace("file", r"\.npy$", ""))
+        return df.select(dataset, model, "row_id", "embedding")
     df = spark.read.parquet(path)
     e = F.flatten("embedding") if nested else F.col("embedding")
     return df.withColumn("embedding", e.cast("array<double>"))
 
 
 def scan_clinical(spark: SparkSession, path: str) -> DataFrame:
-    """A5: the 14-column clinical table ('?' and 'NA' read as missing)."""
-    return (spark.read.option("header", True).option("nullValue", "?").schema(CLINICAL_SCHEMA).csv(path))
+    """A5: the 14-column clinical table ('?', 'NA' and blanks read as missing, numbers as their column's type)."""
+    text = spark.read.option("header", True).csv(path, schema=", ".join(f"`{f.name}` string" for f in CLINICAL_SCHEMA))
+    # whole numbers may be written 1.0; what is no number is missing too
+    return text.select(*[F.when(~F.trim(f.name).isin("?", "NA", ""), F.trim(f.name)).try_cast("double").try_cast(f.dataType).alias(f.name) for f in CLINICAL_SCHEMA])
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),

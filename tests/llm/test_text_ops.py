@@ -171,6 +171,45 @@ def test_band_guarantee():
         assert 1 - (1 - (kept / (w + n - kept)) ** licenses.ROWS) ** b >= licenses.GUARANTEE or kept == n == w
 
 
+def widest(words, own, k=3):
+    """Largest share of the shingles ``own`` within any stretch of twice their number: every stretch looked at."""
+    grams = [" ".join(words[i:i + k]) for i in range(len(words) - k + 1)]
+    return max((len(own & set(grams[a:a + 2 * len(own)])) / len(own) for a in range(len(grams))), default=0.0)
+
+
+def test_inserted_words_are_found():
+    """Notices with a block of words put in, and with single words put in all over: found whenever 0.8 of the shingles are left within twice the length."""
+    r = random.Random(5)
+    index, caught, there = licenses.Index(), 0, 0
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4):
+        for _ in range(60):
+            name = r.choice([n for n, t in licenses.TEMPLATES.items() if len(t.split()) > 11])
+            words = licenses.TEMPLATES[name].split()
+            extra = int(share * len(words))
+            if r.random() < 0.7:
+                at = r.randrange(1, len(words))
+                words[at:at] = [f"w{r.randrange(99)}" for _ in range(extra)]
+            else:
+                for _ in range(max(1, extra // 6) if extra else 0):
+                    words.insert(r.randrange(len(words)), "extra")
+            text = " ".join([*(f"f{r.randrange(50)}" for _ in range(r.randrange(80))), *words, *(f"f{r.randrange(50)}" for _ in range(r.randrange(80)))])
+            own = {x.decode() for x in index.shingles[name]}
+            if widest([w.decode() for w in licenses.words_of(text)], own) >= 0.8:
+                there += 1
+                caught += any(m[0] == name for m in index.matches(text))
+    assert there > 200 and caught / there >= 0.98
+    line = licenses.TEMPLATES["BSD"].replace("modification,", "modification, " + "more words that someone put in here,")
+    assert [m[0] for m in index.matches(line)] == ["BSD"]
+
+
+def test_touching_copies_count_one_by_one():
+    index = licenses.Index()
+    for name in ("GPL-3.0", "BSD", "MIT", "ISC"):
+        n = len(licenses.words_of(licenses.TEMPLATES[name]))
+        got = [m for m in index.matches(" ".join([licenses.TEMPLATES[name]] * 5)) if m[0] == name]
+        assert [(m[1], m[2], m[3]) for m in got] == [(k * n, (k + 1) * n, 1.0) for k in range(5)]
+
+
 def test_licenses_of_documents(spark, sf_small):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.license_scan(docs).collect()}

@@ -1,11 +1,14 @@
 """License scans: MinHash bands over overlapping text windows, verified by shingle containment.
 
 Templates and texts become words (lower case, ASCII punctuation as gaps) and
-word shingles.  For every template length the text is cut into overlapping
-windows, so spaced that each occurrence of that length lies whole in some
-window.  A window's MinHash signature is cut into bands; a band equal to a
-template's retrieves the template, and the exact share of the template's
-shingles in the window decides.
+word shingles.  For every template length T the text is cut into overlapping
+windows, so spaced that each occurrence spread over up to 2T shingles (words
+put in between) lies whole in some window.  A window's MinHash signature is
+cut into bands; a band equal to a template's retrieves the template for that
+part of the text, and there the exact share of the template's shingles within
+2T decides: matches are taken from left to right, each from its last possible
+start to its last new shingle, and none overlaps another, so touching copies
+count one by one.
 
 Bands: an occurrence that keeps the share c of a template's T shingles lies
 in a window of W shingles with similarity j >= cT / (W + (1 - c)T).
@@ -60,9 +63,14 @@ def stride_of(shingles: int) -> int:
     return max(1, shingles // 4)
 
 
+def window_of(shingles: int) -> int:
+    """Shingles of a window: twice the template's, and room for the step."""
+    return 2 * shingles + stride_of(shingles) - 1
+
+
 def bands_for(shingles: int, containment: float = CONTAINMENT, rows: int = ROWS, guarantee: float = GUARANTEE) -> int:
     """Bands that retrieve a window with the least similarity allowed with probability ``guarantee``."""
-    window = shingles + stride_of(shingles) - 1
+    window = window_of(shingles)
     kept = max(1, ceil(containment * shingles))
     j = kept / (window + shingles - kept)
     return 1 if j >= 1 else max(1, ceil(log(1 - guarantee) / log(1 - j ** rows)))
@@ -110,7 +118,7 @@ class Index:
         return [(b, *sig[b * self.rows:(b + 1) * self.rows]) for b in range(self.bands[t])]
 
     def matches(self, text: str) -> list[tuple[str, int, int, float]]:
-        """``(template, first word, end word, containment)`` of each match: the best window of every run of overlapping ones."""
+        """``(template, first word, end word, containment)`` of each match."""
         words = words_of(text)
         n = len(words) - self.k + 1
         if n <= 0:
@@ -124,39 +132,62 @@ class Index:
         hits = at[np.isin(code[at], self.known)] if len(at) else at
         if not len(hits):
             return []
-        found: dict[str, list[tuple[float, int, int]]] = {}
+        regions: dict[str, list[list[int]]] = {}  # of the windows that retrieve a template, overlapping ones joined
         for t in self.sizes:
-            step = stride_of(t)
-            size = t + step - 1
+            step, size = stride_of(t), window_of(t)
             starts = np.unique(np.concatenate([(hits // step - d) * step for d in range(-(-size // step) + 1)]))
-            for a in starts[(starts >= 0) & (starts < n)].tolist():
-                b = min(n, a + size)
-                grams = [b" ".join(words[i:i + self.k]) for i in range(a, b)]
-                bands = self._bands(np.array([self._hash(x) for x in grams], np.uint64), t)
-                have = set(grams)
-                for name in sorted({x for band in bands for x in self.table.get((t, *band), ())}):
-                    own = self.shingles[name]
-                    share = len(own & have) / len(own)
-                    if share >= self.containment:
-                        inside = [i for i, x in enumerate(grams, a) if x in own]
-                        found.setdefault(name, []).append((share, inside[0], inside[-1] + self.k))
+            # a window with too few of any template's shingles cannot hold a match
+            inside = np.searchsorted(hits, starts + size) - np.searchsorted(hits, starts)
+            for a in starts[(starts > -size) & (starts < n) & (inside >= self.need(t))].tolist():
+                a, b = max(a, 0), min(n, a + size)
+                bands = self._bands(np.array([self._hash(b" ".join(words[i:i + self.k])) for i in range(a, b)], np.uint64), t)
+                for name in {x for band in bands for x in self.table.get((t, *band), ())}:
+                    held = regions.setdefault(name, [])
+                    if held and a <= held[-1][1]:
+                        held[-1][1] = max(held[-1][1], b)
+                    else:
+                        held.append([a, b])
         out = []
-        for name, spots in found.items():
-            spots.sort(key=lambda x: (x[1], x[2]))
-            run, end = [], -1
-            for s in spots:
-                if run and s[1] >= end:
-                    out.append(self._best(name, run))
-                    run = []
-                run.append(s)
-                end = max(end, s[2])
-            out.append(self._best(name, run))
+        for name, held in regions.items():
+            own = self.shingles[name]
+            for a, b in held:
+                spots = [(i, x) for i in hits[np.searchsorted(hits, a):np.searchsorted(hits, b)].tolist() if (x := b" ".join(words[i:i + self.k])) in own]
+                out += [(name, first, last + self.k, share) for first, last, share in self.spans(spots, len(own))]
         return sorted(out, key=lambda m: (m[1], m[0], m[2]))
 
-    @staticmethod
-    def _best(name: str, run: list[tuple[float, int, int]]) -> tuple[str, int, int, float]:
-        share, a, b = max(run, key=lambda x: (x[0], -(x[2] - x[1]), -x[1]))
-        return name, a, b, share
+    def need(self, shingles: int) -> int:
+        return max(1, ceil(self.containment * shingles - 1e-9))
+
+    def spans(self, spots: list[tuple[int, bytes]], shingles: int) -> list[tuple[int, int, float]]:
+        """Disjoint ``(first, last, share)`` of the places ``spots`` of a template's shingles, each within twice its length."""
+        need, out, left, k = self.need(shingles), [], 0, 0
+        seen: dict[bytes, int] = {}
+
+        def drop() -> None:
+            x = spots[left][1]
+            seen[x] -= 1
+            if not seen[x]:
+                del seen[x]
+
+        while k < len(spots):
+            at, x = spots[k]
+            seen[x] = seen.get(x, 0) + 1
+            while at - spots[left][0] >= 2 * shingles:
+                drop()
+                left += 1
+            k += 1
+            if len(seen) < need:
+                continue
+            while seen[spots[left][1]] > 1 or len(seen) > need:  # the last start that still holds enough
+                drop()
+                left += 1
+            while k < len(spots) and spots[k][0] - spots[left][0] < 2 * shingles and spots[k][1] not in seen:
+                seen[spots[k][1]] = 1
+                k += 1
+            out.append((spots[left][0], spots[k - 1][0], len(seen) / shingles))
+            seen.clear()
+            left = k
+        return out
 
 
 def found(text: Column, templates: dict[str, str] | None = None, k: int = SHINGLE, containment: float = CONTAINMENT) -> Column:

@@ -10,7 +10,7 @@ from vantage.operators import cluster as CL
 from vantage.operators import features as J
 from vantage.operators import models as K
 from vantage.operators import stats as ST
-from vantage.plans.queries_ml import CLASSIFIERS, classifier_chain
+from vantage.operators.families import CLASSIFIERS, classifier_chain
 
 
 def ranks(values):

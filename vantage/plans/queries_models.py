@@ -6,6 +6,8 @@ Fits have no DuckDB twin; ``tests/test_trees.py``, ``test_logistic.py`` and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vantage.functions import expr as B
@@ -15,11 +17,11 @@ from vantage.operators import logistic as L
 from vantage.operators import models as K
 from vantage.operators import trees as T
 from vantage.operators import vectors as VX
-from vantage.operators.chunked import write_once
 from vantage.operators.pca import pca
 from vantage.plans import duck as D
 from vantage.plans import reports as R
 from vantage.plans.catalog import register
+from vantage.session import checkpoint_dir
 from vantage.sources import testdata as V
 
 r6 = D.r6
@@ -80,7 +82,7 @@ NUMERIC, CATEGORICAL = ["len_log", *MARKS], {"size": ["long", "middle", "short"]
 
 def _one_classifier(spark, d, name):
     docs = _documents(spark, d)
-    pred = FM.classifier_predictions(docs, ["source"], "doc_id", "lang", NUMERIC, CATEGORICAL).where(F.col("model") == name)
+    pred = FM.classifier_predictions(docs, ["source"], "doc_id", "lang", NUMERIC, CATEGORICAL, families=[name])
     return FM.classifier_scores(pred, ["source"]).select("source", "n", "auc", "rmse", "mae")
 
 
@@ -141,7 +143,20 @@ def k11_auc_ovr(spark, d):
 
 # ---------------------------------------------------------------- M8-M11 on classifiers that were fitted
 
+_WRITTEN: dict[tuple, str] = {}
+
+
 def cluster_classification(spark, d, assisted=False):
+    """The table that M8 to M11 read, written once per session and input: ``chain_scores``."""
+    key = (spark.sparkContext.applicationId, d, assisted)
+    if key not in _WRITTEN:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/cluster-classification-{uuid.uuid4().hex}"
+        chain_scores(spark, d, assisted).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def chain_scores(spark, d, assisted=False):
     """Scores of the chain for each (dataset, cluster column): the label is the model's K-means cluster (k = 3) of a row, the
     features are its raw columns and, ``assisted``, the first two components of the other models' embeddings."""
     emb, raw = V.emb_long(spark, d), V.emb_raw(spark, d)
@@ -155,7 +170,7 @@ def cluster_classification(spark, d, assisted=False):
         rows = rows.join(wide, ["dataset", "row_id"]).select("dataset", "model", "row_id", "cluster", *numeric, *others)
         numeric += [f"{m}_{i}" for m in V.EMB_MODELS for i in (0, 1)]
     rows = rows.select("dataset", F.concat(F.lit("cluster_"), F.col("model")).alias("cluster_column"), "row_id", "cluster", *numeric)
-    return write_once(FM.classifier_chain(rows, ["dataset", "cluster_column"], "row_id", "cluster", numeric, {}), "cluster-classification")
+    return FM.classifier_chain(rows, ["dataset", "cluster_column"], "row_id", "cluster", numeric, {})
 
 
 COLUMN_LABELS = {f"cluster_{m}": f"Model {m[1:]}" for m in V.EMB_MODELS}

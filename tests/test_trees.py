@@ -173,3 +173,63 @@ def test_no_rows(spark):
     plan = T.Plan("rf", trees=2)
     models = T.fit_trees(empty, ["g"], "id", "vec", "y", plan)
     assert models.count() == 0 and T.predict(empty, models, ["g"], "id", "vec", plan).count() == 0
+
+
+@pytest.mark.parametrize("kind,classes", [("rf", 0), ("gbt", 0), ("rf", 3), ("gbt", 3)])
+def test_a_batch_of_groups_grows_as_each_alone(kind, classes):
+    plan = T.Plan(kind, classes, trees=5, depth=4)
+    groups = [data(n, seed=n) for n in (60, 1, 7, 130)]
+    cuts = [[T.thresholds(x[:, f]) for f in range(4)] for x, _, _ in groups]
+    ys = [target(y, classes) for _, y, _ in groups]
+    inits = [T.start(plan, len(y), y.sum(), ((y - y.mean()) ** 2).sum(), np.bincount(y.astype(int), minlength=classes).astype(float) if classes else np.zeros(0)) for y in ys]
+    bins, of = np.concatenate([T.binned(x, c) for (x, _, _), c in zip(groups, cuts)]), np.repeat(np.arange(4), [60, 1, 7, 130])
+    slots = T.slots_of([max(c, key=len) for c in zip(*cuts)])
+    both = T.grown_batch(plan, bins, np.concatenate(ys), np.concatenate([h for _, _, h in groups]), of, slots, inits)
+    for k, (x, _, h) in enumerate(groups):
+        alone = [T.as_arrays(g.model(cuts[k]), plan.outputs) for g in T.grown(plan, x, ys[k], h, cuts[k], inits[k])]
+        mine = [T.as_arrays(g.model(cuts[k], k), plan.outputs) for g in both]
+        assert sum(len(m["roots"]) for m in mine) == sum(len(m["roots"]) for m in alone)
+        assert np.allclose(T.summed(mine, x), T.summed(alone, x), atol=1e-9)
+
+
+def test_a_level_holds_cells_of_rows_only():
+    """Deep levels cost what their rows do, not nodes times bins."""
+    x, y, h = data(400)
+    plan = T.Plan("rf", trees=3, depth=8)
+    cuts = [T.thresholds(x[:, f]) for f in range(4)]
+    bins, slots = T.binned(x, cuts), T.slots_of(cuts)
+    g = T.Grower(plan, 0, 3)
+    g.begin([T.start(plan, len(y), y.sum(), ((y - y.mean()) ** 2).sum(), np.zeros(0))])
+    node, row, stats = g.live(bins, y, h)
+    while g.node["open"].any():
+        cell, sums = g.cells(bins, slots, (node, row, stats))
+        assert (np.diff(cell) > 0).all() and len(cell) <= 4 * len(row) and (sums[0] > 0).all()
+        assert np.isclose(sums[0].sum(), 4 * stats[0].sum()) and np.isclose(sums[1].sum(), 4 * stats[1].sum())
+        g.level(cell, sums, slots)
+        node = g.step(bins, node, row)
+        keep = np.flatnonzero(g.node["open"][node])
+        node, row, stats = node[keep], row[keep], [v[keep] for v in stats]
+
+
+@pytest.mark.parametrize("kind,classes", [("rf", 0), ("gbt", 0), ("rf", 3), ("gbt", 3)])
+def test_attributions_from_tables_equal_those_by_leaves(kind, classes):
+    x, y, h = data(90)
+    plan = T.Plan(kind, classes, trees=6, depth=5)
+    models = one_group(plan, x, target(y, classes), h)
+    want = sum(T.tree_attribution(m, x, root) for m in models for root in m["roots"])
+    got = T.grid_attributions(T.joined(models)[0], x)
+    assert got is not None and np.allclose(got, want, atol=1e-9)
+    assert np.allclose(T.attributions(models, x), want, atol=1e-9)
+
+
+def test_known_sums_stand_for_earlier_rounds():
+    x, y, h = data(80)
+    plan = T.Plan("gbt", 3, trees=7, depth=2)
+    t = target(y, 3)
+    cuts = [T.thresholds(x[:, f]) for f in range(4)]
+    g = T.grown(plan, x, t, h, cuts, T.start(plan, 80, 0, 0, np.bincount(t.astype(int)).astype(float)))[0]
+    bins = T.binned(x, cuts)
+    g.rounds = 4
+    half = g.raw(bins)
+    g.rounds = 8
+    assert np.array_equal(g.raw(bins, half, 3), g.raw(bins)) and not np.allclose(half, g.raw(bins))

@@ -473,20 +473,26 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     """Exact quantiles with linear interpolation (``percentile`` / pandas /
     NumPy default) without holding a group's values in one buffer.
 
-    Values are cut into chunks at approximate quantile boundaries (one
-    partial aggregate), chunk counts give each chunk's offset in the sorted
-    order, and in the chunks that hold a wanted order statistic the distinct
-    values are counted and cumulated (no row-level sort, ties collapse to
-    one row).  Output: ``by, n, <names>``.
+    Rows are counted by distinct value first.  Only a group with more than
+    ``chunk_rows`` of these is cut into chunks, at approximate quantile
+    boundaries; chunk counts give each chunk's offset in the sorted order,
+    and in the chunks that hold a wanted order statistic the values' counts
+    are cumulated (no row-level sort).  Output: ``by, n, <names>``.
     """
     part = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = F.col(col).cast("double")
     valid = df.select(*part, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    bounds = _chunk_bounds(valid, part, F.col("_v"), buckets)
-    r = valid.join(bounds, part) if part else _attach(valid, bounds)
-    r = r.withColumn("_pid", _chunk_of(F.col("_v"), buckets, chunk_rows)).drop("_b", "_q_lo", "_q_hi").withColumnRenamed("_q_n", "_n")
-    counts = r.groupBy(*part, "_pid", "_n").agg(F.count(F.lit(1)).alias("_c"))
+    held = valid.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_t"))
+    sizes = held.groupBy(*part).agg(F.sum("_t").alias("_n"), F.count(F.lit(1)).alias("_values"))
+    if part:
+        many = held.join(sizes.where(F.col("_values") > chunk_rows).select(*part), part, "left_semi")
+        r = held.join(sizes, part).join(_chunk_bounds(many, part, F.col("_v"), buckets), part, "left")
+    else:
+        r = _attach(_attach(held, sizes), _chunk_bounds(held, part, F.col("_v"), buckets))
+    pid = F.when(F.col("_values") > chunk_rows, _chunk_of(F.col("_v"), buckets, chunk_rows)).otherwise(F.lit(0))
+    r = r.withColumn("_pid", pid).drop("_b", "_q_lo", "_q_hi", "_q_n", "_values")
+    counts = r.groupBy(*part, "_pid", "_n").agg(F.sum("_t").alias("_c"))
     wo = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0)))
@@ -499,8 +505,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     need = want.select(*part, "_pid").distinct()
     # order statistics from counts of distinct values (no row-level sort):
     # value v covers positions [off + cum - t, off + cum) of the sorted group
-    vals = (r.join(need, [*part, "_pid"], "left_semi").groupBy(*part, "_pid", "_v")
-             .agg(F.count(F.lit(1)).alias("_t")))
+    vals = r.join(need, [*part, "_pid"], "left_semi").select(*part, "_pid", "_v", "_t")
     wc = Window.partitionBy(*part, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vals = vals.withColumn("_cum", F.sum("_t").over(wc))
     hit = want.join(vals, [*part, "_pid"]).where(

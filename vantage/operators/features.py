@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 
 from vantage.operators.neighbors import knn_within
 
+#: Rows of a stratum whose hashes fall into one part of their range, about.
+PART_ROWS = 1024
+
 
 def split_flag(key: Column, test_share: float = 0.3, seed: int = 42) -> Column:
     """Deterministic train/test assignment from the row key.
@@ -37,19 +40,30 @@ def stratified_split(df: DataFrame, by: Sequence[str], label: str, key: str,
     """Per (by, label) stratum, the ``ceil(test_share * n)`` rows with the
     smallest hash go to test; strata of one row stay in training.
 
-    The position of a row in its stratum is the exact distributed rank of a
-    52-bit hash (``stats.avg_rank(distributed=True)``), so a stratum holding
-    a third of the data is never sorted in one task.
+    Which rows these are follows from one hash value per stratum, the largest
+    whose average rank is within the share: hashes are uniform, so the counts
+    of equal-width parts of their range say in which part it lies, and only
+    that part's values are ranked.  No row is sorted, and a stratum holding a
+    third of the data is never in one task.
     """
-    from vantage.operators.stats import avg_rank
-
     strata = [*by, label]
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
-    ranked = avg_rank(df.withColumn("_h", h.cast("double")), strata, "_h", "_rn", distributed=True)
+    hashed = df.withColumn("_h", h.cast("double"))
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(sizes, strata)
-                  .withColumn(out, (F.col("_n") >= 2) & (F.col("_rn") <= F.ceil(F.col("_n") * test_share)))
-                  .drop("_rn", "_n", "_h"))
+    part = F.floor(F.col("_h") / 2.0 ** 52 * F.ceil(F.col("_n") / PART_ROWS)).cast("bigint")
+    last = F.ceil(F.col("_n") * test_share)
+    r = hashed.select(*strata, "_h").join(sizes, strata).withColumn("_part", part)
+    below = Window.partitionBy(*strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = r.groupBy(*strata, "_n", "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_off", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+    edge = parts.where((F.col("_off") < last) & (last <= F.col("_off") + F.col("_c"))).select(*strata, "_part", "_off")
+    ties = r.join(edge, [*strata, "_part"]).groupBy(*strata, "_n", "_part", "_off", "_h").agg(F.count(F.lit(1)).alias("_tv"))
+    upto = Window.partitionBy(*strata, "_part").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("_off") + F.sum("_tv").over(upto) - (F.col("_tv") - 1) / 2.0
+    bound = ties.withColumn("_rn", rank).groupBy(*strata, F.col("_part").alias("_edge")).agg(F.max(F.when(F.col("_rn") <= last, F.col("_h"))).alias("_max"))
+    within = F.coalesce((part < F.col("_edge")) | (F.col("_h") <= F.col("_max")), part < F.col("_edge"), F.lit(False))
+    return (hashed.join(sizes.join(bound, strata, "left"), strata)
+                  .withColumn(out, (F.col("_n") >= 2) & within)
+                  .drop("_n", "_h", "_edge", "_max"))
 
 
 def impute(df: DataFrame, by: Sequence[str], cols: Sequence[str], strategy: str = "mean",

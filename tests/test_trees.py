@@ -5,6 +5,7 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vantage.operators import trees as T
 
@@ -233,3 +234,44 @@ def test_known_sums_stand_for_earlier_rounds():
     half = g.raw(bins)
     g.rounds = 8
     assert np.array_equal(g.raw(bins, half, 3), g.raw(bins)) and not np.allclose(half, g.raw(bins))
+
+
+def test_boosting_grows_larger_groups_in_one_task_within_bounds(spark, monkeypatch):
+    """A group beyond GROUP_ROWS is boosted in one task while rows and rows times features times outputs keep to their bounds; a forest is not."""
+    rows = lambda plan, features: spark.range(1).select(T.rows_in_one_task(plan, F.lit(features)).alias("n")).first()["n"]
+    assert rows(T.Plan("rf", 4), 8) == T.GROUP_ROWS
+    assert rows(T.Plan("gbt", 4), 8) == 400_000 and rows(T.Plan("gbt", 4), 16) == 250_000
+    assert rows(T.Plan("gbt", 4), 10_000) == T.GROUP_ROWS and rows(T.Plan("gbt", 2), 0) == 400_000
+    x, y, _ = data(120)
+    df = spark.createDataFrame([("g", k, x[k].tolist(), float(y[k])) for k in range(120)], "g string, id bigint, vec array<double>, y double")
+    chunked = []
+    fit = T.fit_chunked
+    monkeypatch.setattr(T, "fit_chunked", lambda *a: chunked.append(a[3].kind) or fit(*a))
+    monkeypatch.setattr(T, "GROUP_ROWS", 50)
+    for kind in ("gbt", "rf"):
+        T.fit_trees(df, ["g"], "id", "vec", "y", T.Plan(kind, trees=2, depth=2)).count()
+    assert chunked == ["rf"]
+    monkeypatch.setattr(T, "BOOST_NUMBERS", 119 * 4)
+    T.fit_trees(df, ["g"], "id", "vec", "y", T.Plan("gbt", trees=2, depth=2)).count()
+    assert chunked == ["rf", "gbt"]
+
+
+def test_histogram_counted_and_sorted_agree():
+    """The two ways to fill the cells of a level give the same cells and sums."""
+    x, y, h = data(60)
+    cuts = [T.thresholds(x[:, f]) for f in range(4)]
+    bins, slots = T.binned(x, cuts), T.slots_of(cuts)
+    for plan in (T.Plan("rf", trees=5), T.Plan("gbt", 3, trees=5)):
+        g = T.Grower(plan, 0, 5)
+        g.begin([T.start(plan, 60, y.sum(), 60.0, np.full(plan.classes, 20.0))])
+        live = g.live(bins, target(y, plan.classes), h)
+        cell, sums = g.cells(bins, slots, live)
+        few = [v[:3] for v in (live[0], live[1])]
+        want = {}
+        for i, (node, row) in enumerate(zip(live[0], live[1])):
+            for f in range(4):
+                key = list(g.opened()).index(node) * int(slots[-1]) + int(slots[f] + bins[row, f])
+                want[key] = want.get(key, 0) + np.array([v[i] for v in live[2]])
+        assert cell.tolist() == sorted(want) and np.allclose(np.stack(sums, 1), [want[k] for k in sorted(want)])
+        some, part = g.cells(bins, slots, (few[0], few[1], [v[:3] for v in live[2]]))  # mostly empty: sorted rows
+        assert set(some) <= set(cell) and len(some) <= 12 and np.isclose(part[0].sum(), 4 * live[2][0][:3].sum())

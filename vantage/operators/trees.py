@@ -8,7 +8,9 @@ histogram at a time; how they come about is the only difference between the two
 ways to grow:
 
 * a group of up to ``group_rows`` rows is grown in one task, all levels, small
-  groups a batch at a time;
+  groups a batch at a time; boosting, of hundreds of short levels one after the
+  other, does so for groups of up to ``BOOST_ROWS`` rows and ``BOOST_NUMBERS``
+  bins (rows times features times outputs), which bounds a task's memory and time;
 * a larger group stays in chunks: per level, each chunk routes its rows
   through the trees so far and returns its non-empty histogram cells, one
   grouped sum adds them up for all groups and trees, and one small task per
@@ -29,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.operators.chunked import apply_models, each_row, packed, spread, write_once
@@ -38,6 +40,8 @@ from vantage.session import ship_package
 BINS, GROUP_ROWS, BLOCK_TREES = 256, 50_000, 25
 #: (tree, row) pairs that are grown at once in a task, about; groups are batched and blocks of trees cut to it.
 LIVE_PAIRS = 100_000
+#: Rows and (row, feature, output) triples of a group that is boosted in one task, at most.
+BOOST_ROWS, BOOST_NUMBERS = 400_000, 16_000_000
 #: Rounds after which boosting over chunks writes down the sums of the trees so far.
 RENEW_ROUNDS = 10
 #: Rows of the small groups that are sent to one call together, about.
@@ -90,7 +94,8 @@ def thresholds(values: Sequence[float]) -> np.ndarray:
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1).astype(np.int64) if x.size else np.zeros(x.shape, np.int64)
+    """Bins of the rows, a column in one piece each."""
+    return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.int64).T if x.size else np.zeros(x.shape, np.int64)
 
 
 def slots_of(cuts: list[np.ndarray]) -> np.ndarray:
@@ -225,16 +230,20 @@ class Grower:
         at[opened] = np.arange(len(opened))
         node, row, stats = live
         width, n_features = int(slots[-1]), bins.shape[1]
-        key = ((bins + slots[:-1]).T[:, row] + at[node] * width).ravel()
-        if not len(key):
-            return key, [np.zeros(0) for _ in stats]
-        if len(opened) * width <= 2 * len(key):
-            size = len(opened) * width
-            count = np.bincount(key, minlength=size)
-            held = np.flatnonzero(count)
+        own = at[node]
+        if not len(row):
+            return np.zeros(0, np.int64), [np.zeros(0) for _ in stats]
+        if len(opened) * width <= 2 * len(row) * n_features:
             ones = self.plan.kind == "gbt"  # every row weighs 1
-            sums = [count[held].astype(float) if ones and s == 0 else np.bincount(key, np.tile(v, n_features), size)[held] for s, v in enumerate(stats)]
-            return held, sums
+            table = np.empty((len(stats), len(opened), width))
+            for f in range(n_features):  # a feature at a time: no array of all pairs and features
+                a, b = int(slots[f]), int(slots[f + 1])
+                key = own * (b - a) + bins[:, f].take(row)
+                for s, v in enumerate(stats):
+                    table[s, :, a:b] = np.bincount(key, None if ones and s == 0 else v, len(opened) * (b - a)).reshape(-1, b - a)
+            held = np.flatnonzero(table[0])  # weights are 1 at least
+            return held, [t.ravel()[held] for t in table]
+        key = np.concatenate([own * width + (bins[:, f].take(row) + slots[f]) for f in range(n_features)])
         bits = int(len(key) - 1).bit_length()
         both = np.sort((key << bits) | np.arange(len(key)))
         key, order = both >> bits, (both & ((1 << bits) - 1)) % len(node)
@@ -251,12 +260,12 @@ class Grower:
         total, best = np.zeros((n_open, self.stats)), np.full((n_open, n_features), -np.inf)
         where, lstats = np.zeros((n_open, n_features), np.int64), np.zeros((n_open, n_features, self.stats))
         if len(cell):
-            own, slot = cell // width, cell % width
-            feature = np.searchsorted(slots, slot, "right") - 1
-            part = own * n_features + feature
+            own = cell // width
+            slot = cell - own * width
+            part = own * n_features + np.repeat(np.arange(n_features), np.diff(slots))[slot]
             begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             size = np.diff(np.append(begin, len(cell)))
-            node_of, feature_of = own[begin], feature[begin]
+            node_of, feature_of = own[begin], part[begin] % n_features
             left, lead = [], feature_of == 0
             for s, v in enumerate(sums):
                 whole = np.add.reduceat(v, begin)
@@ -264,22 +273,28 @@ class Grower:
                 v = v.copy()
                 v[begin[1:]] -= whole[:-1]  # running sums begin anew in each (node, feature), up to rounding
                 run = np.cumsum(v)
-                left.append(run - np.repeat(run[begin] - sums[s][begin], size))
-            weight = total[own, 0]
+                run -= np.repeat(run[begin] - sums[s][begin], size)
+                left.append(run)
+            weight = total[node_of, 0]
             wl = left[0]
-            wr = weight - wl
+            wr = np.repeat(weight, size) - wl
             fits = (wl >= p.min_leaf - 1e-9) & (wr >= p.min_leaf - 1e-9)
-            gain = np.zeros(len(cell))
+            on_left, on_right, before = np.zeros(len(cell)), np.zeros(len(cell)), np.zeros(len(begin))
             for s in range(1, 1 + n_sums):
-                t = total[own, s]
-                gain += left[s] ** 2 / np.where(wl > 0, wl, 1) + (t - left[s]) ** 2 / np.where(wr > 0, wr, 1) - t ** 2 / np.where(weight > 0, weight, 1)
-            gain[~fits] = -np.inf
-            top = np.maximum.reduceat(gain, begin)
+                t = total[node_of, s]
+                on_left += left[s] * left[s]
+                rest = np.repeat(t, size) - left[s]
+                on_right += rest * rest
+                before += t * t
+            after = np.where(fits, on_left / np.where(fits, wl, 1) + on_right / np.where(fits, wr, 1), -np.inf)
+            top = np.maximum.reduceat(after, begin)
             # equal gains go to the first bin and feature: those within rounding of the best count as equal
-            near = np.flatnonzero(gain >= np.repeat(top - 1e-10 * np.abs(total[node_of, 0]), size))
+            near = np.flatnonzero(after >= np.repeat(top - 1e-10 * np.abs(weight), size))
             of = np.repeat(np.arange(len(begin)), size)[near]
-            first = near[np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))]
-            best[node_of, feature_of] = gain[first]
+            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            first = near[at]
+            gain = after[first] - before / np.where(weight > 0, weight, 1)
+            best[node_of, feature_of] = gain
             where[node_of, feature_of] = slot[first] - slots[feature_of]
             for s in range(self.stats):
                 lstats[node_of, feature_of, s] = left[s][first]
@@ -418,6 +433,7 @@ def grown(plan: Plan, x: np.ndarray, y: np.ndarray, h: np.ndarray, cuts: list[np
 def grown_batch(plan: Plan, bins: np.ndarray, y: np.ndarray, h: np.ndarray, group: np.ndarray, slots: np.ndarray,
                 inits: Sequence[tuple[np.ndarray, float, float]]) -> list[Grower]:
     """All trees of some groups, in memory; ``slots`` leaves each feature the bins of the group that has most."""
+    bins = np.asfortranarray(bins)
     size, out = plan.trees if plan.kind == "gbt" else int(min(plan.trees, max(1, LIVE_PAIRS // max(len(y), 1)))), []
     for first in range(0, plan.trees, size):
         g = Grower(plan, first, min(size, plan.trees - first))
@@ -457,14 +473,15 @@ def grids(train: DataFrame, by: Sequence[str], vec: str, bins: int = BINS) -> Da
     return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_g"))), lambda s: s["_g"]).alias("grid"))
 
 
-def fit_trees(train: DataFrame, by: Sequence[str], key: str, vec: str, y: str, plan: Plan, bins: int = BINS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def fit_trees(train: DataFrame, by: Sequence[str], key: str, vec: str, y: str, plan: Plan, bins: int = BINS, group_rows: int | None = None) -> DataFrame:
     """One ensemble per group: rows ``by, block, bias, roots, feature, threshold, left, right, value, cover``.
 
     ``vec`` holds the features (no missing values), ``y`` the target: a number,
     or class 0 .. classes - 1.  Rows without group, vector or target do not
     count; a group without rows has no model.  The nodes of a block are flat
     arrays, ``value`` with ``plan.outputs`` numbers a node; a prediction is the
-    bias (of one block) plus the values of the leaves reached.
+    bias (of one block) plus the values of the leaves reached.  Groups beyond
+    ``group_rows`` rows (by default what ``rows_in_one_task`` says) are grown in chunks.
     """
     by = list(by)
     ship_package(train.sparkSession)
@@ -474,7 +491,9 @@ def fit_trees(train: DataFrame, by: Sequence[str], key: str, vec: str, y: str, p
     n = F.count(F.lit(1))
     sizes = src.groupBy(*by).agg(n.alias("_n"), (mean * n).alias("_s"), (F.var_pop("_y") * n).alias("_ss"),
                                  F.array(*[F.count(F.when(F.col("_y") == c, 1)).cast("double") for c in range(plan.classes)]).cast("array<double>").alias("_per_class"))
-    base = write_once(grids(src, by, "_x", bins).join(sizes, by).withColumn("_no", F.monotonically_increasing_id()), "tree-grids")
+    base = grids(src, by, "_x", bins).join(sizes, by).withColumn("_no", F.monotonically_increasing_id())
+    most = rows_in_one_task(plan, F.size("grid")) if group_rows is None else F.lit(group_rows)
+    base = write_once(base.withColumn("_large", F.col("_n") > most), "tree-grids")
     kinds = dict(src.dtypes)
     names = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     schema = arrow_schema(train, f"{names}, {MODEL}")
@@ -505,18 +524,25 @@ def fit_trees(train: DataFrame, by: Sequence[str], key: str, vec: str, y: str, p
             a = b
         return models_table(groups.take(pa.array(out, pa.int64())).select(by), found, schema)
 
-    facts = base.agg(F.sum(F.when(F.col("_n") <= group_rows, F.col("_n"))).alias("rows"), F.count(F.when(F.col("_n") > group_rows, 1)).alias("large")).first()
+    facts = base.agg(F.sum(F.when(~F.col("_large"), F.col("_n"))).alias("rows"), F.count(F.when(F.col("_large"), 1)).alias("large")).first()
     # lots of groups, one call of the function each: small beside a task's share, large enough for batches
     lots = max((facts["rows"] or 0) // LOT_ROWS, 16 * train.sparkSession.sparkContext.defaultParallelism)
-    small = base.where(F.col("_n") <= group_rows).withColumn("_lot", F.pmod(F.xxhash64(*by), F.lit(lots)))
+    small = base.where("not _large").drop("_large").withColumn("_lot", F.pmod(F.xxhash64(*by), F.lit(lots)))
     rows = src.join(small.select(*by, "_no", "_lot"), by).select(F.col("_lot").alias("_own"), F.col("_no").alias("_of"), "_x", "_y", F.xxhash64("_key").alias("_h"))
     local = spread(rows, ["_own"]).groupBy("_own").cogroup(spread(small, ["_lot"]).groupBy("_lot")).applyInArrow(whole, f"{names}, {MODEL}")
     if not facts["large"]:
         return local
-    large = base.where(F.col("_n") > group_rows).drop("_no")
+    large = base.where("_large").drop("_no", "_large")
     return local.unionByName(fit_chunked(src.join(large.select(*by), by, "left_semi"), large, by, plan, names))
 
 
+def rows_in_one_task(plan: Plan, features: Column) -> Column:
+    """Rows up to which a group of so many features is grown in one task."""
+    if plan.kind == "rf":
+        return F.lit(GROUP_ROWS)
+    return F.greatest(F.lit(GROUP_ROWS), F.least(F.lit(BOOST_ROWS), F.floor(F.lit(BOOST_NUMBERS) / F.greatest(features * plan.outputs, F.lit(1))).cast("int")))
+
+
 def vectors_of(t: pa.Table, name: str = "_x") -> np.ndarray:
     """The arrays of a column as a matrix; they have one length."""
     return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
@@ -576,11 +602,15 @@ def fit_chunked(src: DataFrame, base: DataFrame, by: list[str], plan: Plan, name
         raw = so_far(r, g, [thresholds(v) for v in r["grid"]])[1]
         return [{**{c: r[c] for c in as_chunk.names}, "raw": raw.astype("<f8").tobytes(), "since": g.rounds - 1}]
 
+    def held(v: pa.Scalar):
+        """A value, the array of a flat list: a chunk's copy of the trees makes no Python object per node."""
+        return v.values.to_numpy(zero_copy_only=False) if pa.types.is_list(v.type) and v.is_valid and pa.types.is_primitive(v.type.value_type) else v.as_py()
+
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Non-empty histogram cells of each (chunk, block of trees)."""
         for part in parts:
             for k in range(part.num_rows):
-                r = {n: part.column(n)[k].as_py() for n in part.schema.names}
+                r = {n: held(part.column(n)[k]) for n in part.schema.names}
                 g, cuts = Grower.of(plan, r), [thresholds(v) for v in r["grid"]]
                 bins, raw = so_far(r, g, cuts)
                 node, row, stats = g.live(bins, np.frombuffer(r["y"], "<f8"), np.frombuffer(r["h"], "<i8"), raw)

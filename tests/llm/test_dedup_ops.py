@@ -217,7 +217,7 @@ def units(text):
     return regex.findall(rf"(?V1)(?<!{letter}){letter}{{1,16}}+(?!{letter})|[^\s\p{{Z}}]", text.lower())
 
 
-def brute_fingerprint(text, k, w):
+def brute_winnowing(text, k, w):
     """Kept (hash, position) pairs from the units by the definition of the rolling hash: unit hashes rotated by their distance to the gram's end, xored."""
     mask = (1 << 64) - 1
     rotl = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & mask if n % 64 else x
@@ -269,7 +269,7 @@ def test_fingerprint_and_likeness_equal_brute_force(spark):
     out = {x.doc_id: x for x in winnowing.edited_fingerprints(df).collect()}
     sets = {}
     for i, t in rows:
-        want, grams = brute_fingerprint(t, k, w)
+        want, grams = brute_winnowing(t, k, w)
         if want is None:
             assert len(kept[i]) == (1 if units(t) else 0)
             continue
@@ -278,8 +278,8 @@ def test_fingerprint_and_likeness_equal_brute_force(spark):
         sets[i] = {h for h, _ in want}
     for n, (i, t) in enumerate(order):
         _, nt = order[(n + 1) % len(order)]
-        edited, _ = brute_fingerprint(t[:len(t) - len(t) // 2] + nt[:len(t) // 2], k, w)
-        nxt, _ = brute_fingerprint(nt, k, w)
+        edited, _ = brute_winnowing(t[:len(t) - len(t) // 2] + nt[:len(t) // 2], k, w)
+        nxt, _ = brute_winnowing(nt, k, w)
         for other, value in ((edited, out[i].near_edited), (nxt, out[i].near_next)):
             if i in sets and other is not None:
                 b = {h for h, _ in other}

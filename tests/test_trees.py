@@ -275,3 +275,61 @@ def test_histogram_counted_and_sorted_agree():
         assert cell.tolist() == sorted(want) and np.allclose(np.stack(sums, 1), [want[k] for k in sorted(want)])
         some, part = g.cells(bins, slots, (few[0], few[1], [v[:3] for v in live[2]]))  # mostly empty: sorted rows
         assert set(some) <= set(cell) and len(some) <= 12 and np.isclose(part[0].sum(), 4 * live[2][0][:3].sum())
+
+
+def counted(monkeypatch, name):
+    """Sizes of the first argument of all calls of a numpy function."""
+    seen, fn = [], getattr(np, name)
+    monkeypatch.setattr(np, name, lambda a, *k, **w: seen.append(np.size(a)) or fn(a, *k, **w))
+    return seen
+
+
+@pytest.mark.parametrize("kind,classes", [("rf", 0), ("rf", 3), ("gbt", 0), ("gbt", 3), ("gbt", 2)])
+def test_growing_along_lanes_equals_growing_from_histograms(kind, classes):
+    """Trees grown in memory are those of the histograms of all levels, node by node."""
+    x, y, h = data(300)
+    x[:, 2] = np.random.default_rng(3).normal(size=300)  # a feature of many bins, sorted at deep levels
+    y = target(y, classes)
+    plan = T.Plan(kind, classes, trees=5, depth=6 if kind == "rf" else 3)
+    per = np.bincount(y.astype(int), minlength=classes).astype(float) if classes else np.zeros(0)
+    init = T.start(plan, 300, y.sum(), ((y - y.mean()) ** 2).sum(), per)
+    cuts = [T.thresholds(x[:, f]) for f in range(4)]
+    bins, slots = T.binned(x, cuts), T.slots_of(cuts)
+    g = T.Grower(plan, 0, 5)
+    g.begin([init])
+    while True:
+        node, row, stats = g.live(bins, y, h)
+        while g.node["open"].any():
+            g.level(*g.cells(bins, slots, (node, row, stats)), slots)
+            node = g.step(bins, node, row)
+            keep = np.flatnonzero(g.node["open"][node])
+            node, row, stats = node[keep], row[keep], [v[keep] for v in stats]
+        if g.done:
+            break
+        g.plant()
+    (got,) = T.grown(plan, x, y, h, cuts, init)
+    want, mine = g.model(cuts), got.model(cuts)
+    assert all(np.array_equal(want[k], mine[k]) for k in ("roots", "feature", "threshold", "left", "right"))
+    assert np.allclose(want["value"], mine["value"], atol=1e-9) and np.allclose(want["cover"], mine["cover"])
+
+
+def test_a_forest_in_memory_sorts_a_feature_once_a_tree(monkeypatch):
+    """Levels do not sort (row, feature) pairs again: the lanes keep their order."""
+    x, y, h = data(400)
+    plan = T.Plan("rf", trees=3, depth=8)
+    cuts = [T.thresholds(x[:, f]) for f in range(4)]
+    sizes = counted(monkeypatch, "sort")
+    T.grown(plan, x, y, h, cuts, T.start(plan, 400, y.sum(), ((y - y.mean()) ** 2).sum(), np.zeros(0)))
+    assert sum(sizes) <= 4 * 3 * 400
+
+
+def test_nodes_of_later_rounds_copy_no_earlier_ones():
+    """Boosting appends its nodes in place: an array of them is copied when it doubles, not each level."""
+    x, y, h = data(50)
+    g = T.Grower(T.Plan("gbt", trees=200, depth=3), 0, 200)
+    g.begin([T.start(g.plan, 50, y.sum(), 50.0, np.zeros(0))])
+    places = set()
+    for _ in range(199):
+        g.plant()
+        places.add(id(g.node["feature"].base))
+    assert len(g.cover) == 200 and len(places) <= 10 and (g.node["path"] == 1).all() and (np.diff(g.node["tree"]) == 1).all()

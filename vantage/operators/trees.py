@@ -83,7 +83,11 @@ _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k i
 
 def draws(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1) weight of each row in a tree."""
-    return np.searchsorted(_POISSON, mixed(h, tree, seed).astype(np.float64) / 2.0**64, "right").astype(np.float64)
+    share = mixed(h, tree, seed).astype(np.float64) / 2.0**64
+    out, top = np.zeros(share.shape), share.max(initial=0.0)
+    for step in _POISSON[_POISSON <= top]:
+        out += share >= step
+    return out
 
 
 def thresholds(values: Sequence[float]) -> np.ndarray:
@@ -108,6 +112,16 @@ def slots_of(cuts: list[np.ndarray]) -> np.ndarray:
 _NODE = {"feature": np.int32, "bin": np.int32, "left": np.int32, "right": np.int32, "tree": np.int32, "level": np.int32, "path": np.int64, "open": np.int8}
 
 
+class Live:
+    """Bins of the live rows of trees in memory, ``(feature, live row)``, and what a round of boosting finds at the roots that the next ones can use."""
+
+    def __init__(self, bins: np.ndarray, row: np.ndarray, slots: np.ndarray) -> None:
+        self.widths = np.diff(slots).tolist()
+        self.held = np.stack([bins[:, f].take(row) for f in range(bins.shape[1])]) if bins.shape[1] else np.zeros((0, len(row)), bins.dtype)
+        self.flat = self.held.ravel()
+        self.share: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 @dataclass
 class Grower:
     """Nodes of the trees ``first .. first + count`` of a plan; stats per node are weight, target sums, and what leaf values divide by.
@@ -125,6 +139,8 @@ class Grower:
     scale: np.ndarray = field(default_factory=lambda: np.ones(1))
     centre: np.ndarray = field(default_factory=lambda: np.zeros(1))
     rounds: int = 0
+    planted: int = 0  # no node before it is open
+    room: dict[str, np.ndarray] = field(default_factory=dict)
 
     # -- layout
 
@@ -151,30 +167,40 @@ class Grower:
         """Open the roots of each group's next trees: all of a forest's, one per output for a boosting round."""
         n, at = (self.count, self.first) if self.plan.kind == "rf" else (self.k, self.rounds * self.k)
         tree = (np.arange(len(self.scale))[:, None] * self.stride + at + np.arange(n)[None, :]).ravel()
+        self.planted = len(self.cover)
         self.add(len(tree), {"tree": tree, "path": np.ones(len(tree)), "open": np.ones(len(tree))})
         self.rounds += 1
 
     def roots(self) -> np.ndarray:
         """Roots planted last, ``(group, tree)``."""
-        at = np.flatnonzero(self.node["path"] == 1).reshape(-1, len(self.scale), self.count if self.plan.kind == "rf" else self.k)
-        return at[-1]
+        at = self.planted + np.flatnonzero(self.node["path"][self.planted:] == 1)
+        return at.reshape(-1, len(self.scale), self.count if self.plan.kind == "rf" else self.k)[-1]
 
     def add(self, n: int, cols: dict) -> np.ndarray:
         """Append ``n`` nodes and return their numbers."""
         at = len(self.cover)
         for name, kind in _NODE.items():
             empty = -1 if name in ("feature", "left", "right") else 0
-            new = np.asarray(cols.get(name, np.full(n, empty))).astype(kind)
-            self.node[name] = np.concatenate([self.node[name], new])
-        self.value, self.cover = np.vstack([self.value, np.zeros((n, self.k))]), np.concatenate([self.cover, np.zeros(n)])
+            self.node[name] = self.longer(name, self.node[name], n)
+            self.node[name][at:] = np.asarray(cols.get(name, empty)).astype(kind)
+        self.value, self.cover = self.longer("value", self.value, n), self.longer("cover", self.cover, n)
+        self.value[at:] = self.cover[at:] = 0
         return np.arange(at, at + n)
 
+    def longer(self, name: str, v: np.ndarray, n: int) -> np.ndarray:
+        """``v`` with ``n`` more places, from an array that doubles when it is full."""
+        size, room = len(v) + n, self.room.get(name)
+        if room is None or len(room) < size:
+            room = self.room[name] = np.empty((2 * size, *v.shape[1:]), v.dtype)
+            room[:len(v)] = v
+        return room[:size]
+
     def opened(self) -> np.ndarray:
-        return np.flatnonzero(self.node["open"])
+        return self.planted + np.flatnonzero(self.node["open"][self.planted:])
 
     @property
     def done(self) -> bool:
-        return not self.node["open"].any() and (self.plan.kind == "rf" or self.rounds >= self.plan.trees)
+        return not self.node["open"][self.planted:].any() and (self.plan.kind == "rf" or self.rounds >= self.plan.trees)
 
     # -- rows
 
@@ -298,6 +324,12 @@ class Grower:
             where[node_of, feature_of] = slot[first] - slots[feature_of]
             for s in range(self.stats):
                 lstats[node_of, feature_of, s] = left[s][first]
+        self.divide(total, best, where, lstats)
+
+    def divide(self, total: np.ndarray, best: np.ndarray, where: np.ndarray, lstats: np.ndarray) -> None:
+        """Split or close every open node, given its sums and per feature the gain, the bin and the left sums of the best split."""
+        p, opened = self.plan, self.opened()
+        n_open, n_features = best.shape
         self.cover[opened] = total[:, 0]
         if p.kind == "rf" and p.classes:  # the first sqrt(p) features, in the node's own order, that can split at all
             tree = self.node["tree"][opened] % self.stride
@@ -341,6 +373,126 @@ class Grower:
         self.value[nodes] = 0.0
         self.value[nodes, self.node["tree"][nodes] % self.k] = step
 
+    # -- all levels in memory
+
+    def deepen(self, live: Live, node: np.ndarray, stats: list[np.ndarray]) -> np.ndarray | None:
+        """Grow the trees planted last to their leaves; for boosting, the node that each live row ends in.
+
+        A feature of few bins beside the rows of a node is counted in a table
+        of (open node, bin).  Beyond, a lane holds the live rows in the order of
+        (open node, bin), and running sums along it tell the same; handing rows
+        to the children, left ones before right ones as the nodes are numbered,
+        keeps the order, so that a feature is sorted once a tree.
+        """
+        p, n_features, boosts = self.plan, len(live.held), self.plan.kind == "gbt"
+        opened, leaf, n_live = self.opened(), node.copy() if boosts else None, len(node)
+        n_sums = 1 if boosts else len(stats) - 1
+        first, of = np.argsort(node, kind="stable"), None
+        of = (node - opened[0]).take(first)  # roots are numbered one after the other
+        lanes: dict[int, np.ndarray] = {}
+        # along a lane the weights of a forest's rows travel with the first sum, as one complex number: one running sum for both
+        off, moved = [np.empty(n_live, float if boosts or s else complex) for s in range(n_sums)], np.empty(n_live, np.int8)
+        root = True
+        while len(opened):
+            n_open = len(opened)
+            held = [v.take(first) for v in stats]
+            total = np.stack([np.bincount(of, None if boosts and s == 0 else v, n_open) for s, v in enumerate(held)], 1).astype(float)
+            weight = total[:, 0]
+            mean = total[:, 1:1 + n_sums] / np.maximum(weight, 1e-300)[:, None]
+            around = [mean[:, s].take(of) for s in range(n_sums)]  # sums around the node's mean: they end at nought in each node
+            around = [held[1 + s] - (v if boosts else held[0] * v) for s, v in enumerate(around)]
+            best, where = np.full((n_open, n_features), -np.inf), np.zeros((n_open, n_features), np.int64)
+            lstats = np.zeros((n_open, n_features, self.stats))
+            before = same = None
+            for f in range(n_features):
+                width = live.widths[f]
+                if f not in lanes and n_open * width <= (1 if boosts else 0.5) * len(first):
+                    key = of * width + live.held[f].take(first)
+                    table = lambda v, key=key, width=width: np.cumsum(np.bincount(key, v, n_open * width).reshape(-1, width), 1)
+                    if root and f in live.share:
+                        wl, share, able = live.share[f]
+                    else:
+                        wl = table(None if boosts else held[0])
+                        wr = weight[:, None] - wl
+                        valid = (wl >= p.min_leaf - 1e-9) & (wr >= p.min_leaf - 1e-9)
+                        share = np.where(valid, weight[:, None] / np.where(valid, wl * wr, 1), 0.0)
+                        able = valid.any(1)
+                        if root and boosts:  # all rows weigh 1: the same in each round
+                            live.share[f] = wl, share, able
+                    left = [table(v) for v in around]
+                    drop = left[0] * left[0]
+                    for v in left[1:]:
+                        drop += v * v
+                    drop *= share
+                    # equal gains go to the first bin: those within rounding of the best count as equal
+                    pick = (drop >= (drop.max(1) - 1e-10 * weight)[:, None]).argmax(1)
+                    at = np.arange(n_open) * width + pick
+                    gain, who = np.where(able, drop.take(at), -np.inf), slice(None)
+                    where[:, f] = pick
+                    third = lambda: table(held[2]).take(at)  # noqa: B023, E731
+                else:
+                    if f not in lanes:
+                        bits = int(max(len(first) - 1, 0)).bit_length()
+                        key = (of * width + live.held[f].take(first)) << bits | np.arange(len(first))
+                        lanes[f] = first.take(np.sort(key) & ((1 << bits) - 1))
+                    if before is None:
+                        before, same = np.cumsum(total, 0) - total, of[1:] == of[:-1]
+                        for s, v in enumerate(around):
+                            off[s][first] = v if boosts or s else held[0] + 1j * v
+                    lane = lanes[f]
+                    b = live.held[f].take(lane)
+                    ends = np.flatnonzero((b[1:] != b[:-1]) & same)  # last places of bins that others of the node come after
+                    if not len(ends):
+                        continue
+                    at, along = of.take(ends), lambda v, lane=lane, ends=ends: np.cumsum(v.take(lane)).take(ends)
+                    left = [along(v) for v in off]
+                    wl = (ends + 1.0 if boosts else left[0].real) - before[:, 0].take(at)
+                    left[0] = left[0] if boosts else left[0].imag
+                    all_w = weight.take(at)
+                    wr = all_w - wl
+                    drop = left[0] * left[0]
+                    for v in left[1:]:
+                        drop += v * v
+                    drop *= all_w / (wl * wr)
+                    if p.min_leaf > 1:
+                        drop[(wl < p.min_leaf - 1e-9) | (wr < p.min_leaf - 1e-9)] = -np.inf
+                    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                    who, top = at.take(begin), np.empty(n_open)
+                    top[who] = np.maximum.reduceat(drop, begin) - 1e-10 * weight.take(who)
+                    near = np.flatnonzero(drop >= top.take(at))
+                    of_near = at.take(near)
+                    at = near[np.flatnonzero(np.concatenate([[True], of_near[1:] != of_near[:-1]]))]
+                    gain = drop.take(at)
+                    where[who, f] = b.take(ends.take(at))
+                    third = lambda: along(stats[2]).take(at) - before[who, 2]  # noqa: B023, E731
+                best[who, f] = gain
+                lstats[who, f, 0] = wl.take(at)
+                for s, v in enumerate(left):
+                    lstats[who, f, 1 + s] = v.take(at) + wl.take(at) * mean[who, s]
+                if boosts:  # what leaf values divide by
+                    lstats[who, f, 2] = third() if p.classes else wl.take(at)
+            self.divide(total, best, where, lstats)
+            feature, last, root = self.node["feature"][opened], opened, False
+            split = np.maximum(feature, 0) * n_live
+            goes = live.flat.take(split.take(of) + first) <= self.node["bin"][last].take(of) if n_features else np.ones(len(of), bool)
+            kids = np.stack([np.where(feature < 0, last, self.node[side][last]) for side in ("right", "left")], 1).ravel()
+            turn = 2 * of + goes
+            if boosts:
+                leaf[first] = kids.take(turn)
+            sizes = np.bincount(turn, minlength=len(kids))
+            self.node["open"][kids[sizes == 1]] = 0  # one row is not split any more
+            opened, is_open = self.opened(), self.node["open"][kids] > 0
+            if not len(opened):
+                break
+            side = np.where(is_open, np.where(np.arange(len(kids)) % 2, 1, 2), 0).astype(np.int8).take(turn)
+            if lanes:
+                moved[first] = side
+            of = np.repeat(np.arange(len(opened)), np.concatenate([sizes[1::2][is_open[1::2]], sizes[::2][is_open[::2]]]))
+            halves = lambda v, side: np.concatenate([v.take(np.flatnonzero(side == 1)), v.take(np.flatnonzero(side == 2))])
+            lanes = {f: halves(lane, moved.take(lane)) for f, lane in lanes.items()}
+            first = next(iter(lanes.values())) if lanes else halves(first, side)
+        return leaf
+
     # -- rows of a table
 
     def state(self) -> dict:
@@ -433,21 +585,16 @@ def grown(plan: Plan, x: np.ndarray, y: np.ndarray, h: np.ndarray, cuts: list[np
 def grown_batch(plan: Plan, bins: np.ndarray, y: np.ndarray, h: np.ndarray, group: np.ndarray, slots: np.ndarray,
                 inits: Sequence[tuple[np.ndarray, float, float]]) -> list[Grower]:
     """All trees of some groups, in memory; ``slots`` leaves each feature the bins of the group that has most."""
-    bins = np.asfortranarray(bins)
+    bins = np.asfortranarray(bins, np.uint16 if bins.max(initial=0) < 1 << 16 else np.int64)
     size, out = plan.trees if plan.kind == "gbt" else int(min(plan.trees, max(1, LIVE_PAIRS // max(len(y), 1)))), []
     for first in range(0, plan.trees, size):
         g = Grower(plan, first, min(size, plan.trees - first))
         g.begin(inits)
-        raw = g.bias[group]
+        raw, held = g.bias[group], None
         while True:
             node, row, stats = g.live(bins, y, h, raw, group)
-            leaf, at = node.copy(), np.arange(len(node))
-            while g.node["open"].any():
-                g.level(*g.cells(bins, slots, (node, row, stats)), slots)
-                node = g.step(bins, node, row)
-                leaf[at] = node
-                keep = np.flatnonzero(g.node["open"][node])
-                node, row, at, stats = node[keep], row[keep], at[keep], [v[keep] for v in stats]
+            held = held or Live(bins, row, slots)  # boosting takes up all rows in the same order each round
+            leaf = g.deepen(held, node, stats)
             if g.done:
                 break
             for k, reached in enumerate(leaf.reshape(g.k, len(y))):
@@ -665,13 +812,15 @@ def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
 
 def leaves(model: dict, x: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """Leaf of each row in the trees at ``roots``, ``(tree, row)``."""
-    feature, threshold, left, right = model["feature"], model["threshold"], model["left"], model["right"]
-    at, row = np.repeat(roots, len(x)), np.tile(np.arange(len(x)), len(roots))
-    go = np.arange(len(at))
-    while len(go := go[feature[at[go]] >= 0]):
-        node = at[go]
-        at[go] = np.where(x[row[go], feature[node]] <= threshold[node], left[node], right[node])
-    return at.reshape(len(roots), len(x))
+    feature, threshold, n = model["feature"], model["threshold"], len(x)
+    ends, flat = feature < 0, np.ascontiguousarray(x.T).ravel()
+    own = np.arange(len(feature))  # a leaf keeps its rows
+    kids = np.stack([np.where(ends, own, model["right"]), np.where(ends, own, model["left"])], 1).ravel()
+    begin = np.where(ends, 0, feature) * n
+    at, row = np.repeat(roots, n), np.tile(np.arange(n), len(roots))
+    while n and not ends.take(at).all():
+        at = kids.take(2 * at + (flat.take(begin.take(at) + row) <= threshold.take(at)))
+    return at.reshape(len(roots), n)
 
 
 def as_arrays(m: dict, outputs: int) -> dict:

@@ -333,3 +333,58 @@ def test_nodes_of_later_rounds_copy_no_earlier_ones():
         g.plant()
         places.add(id(g.node["feature"].base))
     assert len(g.cover) == 200 and len(places) <= 10 and (g.node["path"] == 1).all() and (np.diff(g.node["tree"]) == 1).all()
+
+
+def by_hand(T, plan, x, y, h, cuts, init, looked):
+    """A class forest from the cells of two chunks a level; the grower, cells seen and levels."""
+    g, bins, slots = T.Grower(plan, 0, plan.trees), T.binned(x, cuts), T.slots_of(cuts)
+    g.begin([init])
+    seen = levels = 0
+    while g.node["open"].any():
+        sums = {}
+        for part in (slice(0, len(y) // 3), slice(len(y) // 3, None)):
+            if looked:
+                cell, got = g.class_cells(np.asfortranarray(bins[part]), slots, y[part], h[part])
+            else:
+                node, row, stats = g.live(bins[part], y[part], h[part])
+                node = g.route(bins[part], node, row)
+                keep = np.flatnonzero(g.node["open"][node])
+                cell, got = g.cells(bins[part], slots, (node[keep], row[keep], [v[keep] for v in stats]))
+            for k, c in enumerate(cell):
+                sums[c] = sums.get(c, 0) + np.array([v[k] for v in got])
+        cell = np.array(sorted(sums), np.int64)
+        seen, levels = seen + len(cell), levels + 1
+        g.level(cell, list(np.array([sums[c] for c in cell]).reshape(len(cell), -1).T), slots, looked)
+    return g, seen, levels
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_level_counts_only_the_features_its_nodes_look_at(classes):
+    """Cells of the sqrt(p) features a node looks at give the trees that those of all features give, indicators that rule each other out and constants included."""
+    x, y, h = data(200, 9, 5)
+    size = np.random.default_rng(2).integers(0, 3, 200)
+    x[:, 1:4] = size[:, None] == np.arange(3)
+    x[:, 4] = 7.0
+    x[:, 5] = np.where(x[:, 0] > 0, x[:, 5], 0)
+    y = target(y, classes)
+    plan = T.Plan("rf", classes, trees=12, depth=6)
+    cuts = [T.thresholds(x[:, f]) for f in range(9)]
+    init = T.start(plan, 200, 0, 0, np.bincount(y.astype(int), minlength=classes).astype(float))
+    all_of, n_all, _ = by_hand(T, plan, x, y, h, cuts, init, False)
+    some, n_some, levels = by_hand(T, plan, x, y, h, cuts, init, True)
+    key = lambda g: {(t, p): (f, b, c, tuple(v)) for t, p, f, b, c, v in zip(g.node["tree"], g.node["path"], g.node["feature"], g.node["bin"], g.cover, g.value)}
+    assert key(all_of) == key(some) and levels > 6  # some nodes looked again
+    assert n_some < 0.7 * n_all
+    (alone,) = T.grown(plan, x, y, h, cuts, init)
+    assert {k: v[:3] for k, v in key(alone).items()} == {k: v[:3] for k, v in key(some).items()}
+
+
+def test_a_chunked_forest_looks_again_where_features_are_constant(spark):
+    r = np.random.default_rng(4)
+    size, v = r.integers(0, 3, 300), r.normal(size=300)
+    rows = [("g", k, [float(v[k]), *[float(size[k] == c) for c in range(3)], 1.0], float((v[k] > 0) ^ (size[k] == 1))) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, id bigint, vec array<double>, y double")
+    plan = T.Plan("rf", 2, trees=3, depth=4)
+    use = lambda m: {q.id: q.prediction for q in T.predict(df, m, ["g"], "id", "vec", plan).collect()}
+    one, many = (use(T.fit_trees(df, ["g"], "id", "vec", "y", plan, group_rows=n)) for n in (1000, 50))
+    assert len(one) == 300 and all(np.allclose(one[k], many[k], atol=1e-12) for k in one)

@@ -334,7 +334,7 @@ def test_nodes_of_later_rounds_copy_no_earlier_ones():
     for _ in range(199):
         g.plant()
         places.add(id(g.node["feature"].base))
-    assert len(g.cover) == 200 and len(places) <= 10 and (g.node["path"] == 1).all() and (np.diff(g.node["tree"]) == 1).all()
+    assert g.node["feature"].base is not None and len(g.cover) == 200 and len(places) <= 10 and (g.node["path"] == 1).all() and (np.diff(g.node["tree"]) == 1).all()
 
 
 def by_hand(T, plan, x, y, h, cuts, init, looked):

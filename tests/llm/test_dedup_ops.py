@@ -110,6 +110,21 @@ def test_links_equal_brute_force(spark, bits, segments, bucket):
     assert {tuple(x) for x in got} == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_no_table_of_a_row_per_document_is_broadcast(spark, bucket):
+    r = random.Random(4)
+    fps = [r.getrandbits(31) << 32 | r.getrandbits(2) for _ in range(40)] + [7 << 32 | k for k in range(5)]
+    fps = spark.createDataFrame([(f,) for f in fps], "fp bigint").distinct()
+    assert "Broadcast" not in plan_of(simhash.near_links(fps, bucket=bucket))
+    docs = spark.createDataFrame([(k, f"{k % 7} a few words {k % 11}", "en", f"src{k % 3}", 9) for k in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for df in (simhash.simhash_components(docs), simhash.drop_near_duplicates(docs)):
+        assert "Broadcast" not in plan_of(df) and df.count()
+
+
 def test_simhash_rows(spark, sf_small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     rows = docs + [(900_001, docs[3][1]), (900_002, None), (900_003, ""), (900_003, ""), (900_004, " \n"), (None, docs[5][1])]

@@ -77,6 +77,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def never_sent(df: DataFrame) -> DataFrame:
+    """``df``, a table of about a row per document or more, for a join: both sides are shuffled and sorted.
+
+    Spark sizes a table by its packed file and sees no rows that an explode
+    adds, so it would broadcast one that the driver's memory cannot hold.
+    """
+    return df.hint("merge")
+
+
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest node of each component among ``n`` nodes joined by the links ``(i, j)``."""
     lab = np.arange(n)
@@ -116,7 +125,7 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
         rep = materialise(rep, "reps")
         maps.append(rep)
         ra, rb = rep.toDF("a", "ra"), rep.toDF("b", "rb")
-        live = live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        live = live.join(never_sent(ra), "a").join(never_sent(rb), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         live = materialise(live, "edges")
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +140,7 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     if not maps:
         return last if last is not None else edges.sparkSession.createDataFrame([], "node bigint, comp bigint")
     for rep in reversed(maps):
-        named = rep if last is None else rep.join(last.toDF("rep", "comp"), "rep", "left")
+        named = rep if last is None else rep.join(never_sent(last.toDF("rep", "comp")), "rep", "left")
         comp = F.col("rep") if last is None else F.coalesce("comp", "rep")
         last = materialise(named.select("node", comp.alias("comp")), "comps")
     return last

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import ball, bound_batches, col, components, fresh, materialise
+from vantage.llm.common import ball, bound_batches, col, components, fresh, materialise, never_sent
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS, BUCKET = 3, 42, 2, 2, 64
 _SLICE = 1 << 16
@@ -83,12 +83,12 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
         open_ = stored
         links = None
     else:
-        open_ = stored.join(crowded, ["seg", "key"], "left_anti")
-        asking = probes.join(crowded, ["seg", "key"], "left_semi").select("fp").distinct()
+        open_ = stored.join(never_sent(crowded), ["seg", "key"], "left_anti")
+        asking = probes.join(never_sent(crowded), ["seg", "key"], "left_semi").select("fp").distinct()
         every = asking.select("fp", F.explode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in ball(64, max_bits) if m])).alias("m"))
         every = every.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("fp2"))
-        links = every.join(fps.select(F.col("fp").alias("fp2")), "fp2").select("fp", "fp2")
-    found = probes.join(open_.withColumnRenamed("fp", "fp2"), ["seg", "key"]).where((F.col("fp") != F.col("fp2")) & near).select("fp", "fp2")
+        links = every.join(never_sent(fps.select(F.col("fp").alias("fp2"))), "fp2").select("fp", "fp2")
+    found = probes.join(never_sent(open_.withColumnRenamed("fp", "fp2")), ["seg", "key"]).where((F.col("fp") != F.col("fp2")) & near).select("fp", "fp2")
     both = found if links is None else found.union(links)
     return both.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
 
@@ -97,9 +97,9 @@ def grouped(ids: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     """``ids(id, fp)`` -> ``(fp, component)``: the smallest id of the fingerprints that links reach from ``fp``."""
     classes = materialise(ids.groupBy("fp").agg(F.min("id").alias("id")), "simhash-classes")
     comp = components(near_links(classes.select("fp"), max_bits, segments, bucket)).toDF("fp", "comp")
-    named = classes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    named = classes.join(never_sent(comp), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component"))
-    return materialise(named.join(least, "comp").select("fp", "component"), "simhash-groups")
+    return materialise(named.join(never_sent(least), "comp").select("fp", "component"), "simhash-groups")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, max_bits: int = MAX_BITS,
@@ -113,7 +113,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     bound_batches(docs.sparkSession)
     ids = materialise(docs.select(col(id_col).alias("id"), fingerprint(col(text_col), k).alias("fp")), "simhash")
-    got = ids.join(grouped(ids, max_bits, segments), "fp", "left")
+    got = ids.join(never_sent(grouped(ids, max_bits, segments)), "fp", "left")
     return got.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -127,11 +127,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = materialise(tagged.select(col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row")), "simhash-keys")
     group = grouped(keys.select("id", "fp"), max_bits, segments)
     rank = F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("row"))
-    by = keys.join(group, "fp").groupBy(F.coalesce("component", "fp").alias("g"), F.col("component").isNull().alias("none"))
+    by = keys.join(never_sent(group), "fp").groupBy(F.coalesce("component", "fp").alias("g"), F.col("component").isNull().alias("none"))
     keep = by.agg(F.min(rank).alias("r")).select(F.col("r.id").alias("id"), F.col("r.row").alias("row")).distinct()
     keep = materialise(keep, "simhash-kept")
     same = col(id_col).eqNullSafe(F.col(kid)) & (F.col(row) == F.col(krow))
-    got = tagged.join(keep.toDF(kid, krow), same, "left_semi")
+    got = tagged.join(never_sent(keep.toDF(kid, krow)), same, "left_semi")
     if not keys.groupBy("id", "row").count().where("count > 1").isEmpty():  # rows repeated in every column
         got = got.dropDuplicates([id_col, row])
     return got.select(*map(col, cols))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vantage.llm import simhash, winnowing
+from vantage.llm import mixing, simhash, winnowing
 from vantage.llm.common import components
 from vantage.llm.vector_dedup import vector_components
 
@@ -121,7 +121,7 @@ def test_no_table_of_a_row_per_document_is_broadcast(spark, bucket):
     fps = spark.createDataFrame([(f,) for f in fps], "fp bigint").distinct()
     assert "Broadcast" not in plan_of(simhash.near_links(fps, bucket=bucket))
     docs = spark.createDataFrame([(k, f"{k % 7} a few words {k % 11}", "en", f"src{k % 3}", 9) for k in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for df in (simhash.simhash_components(docs), simhash.drop_near_duplicates(docs)):
+    for df in (simhash.simhash_components(docs), simhash.drop_near_duplicates(docs), mixing.mix(docs)):
         assert "Broadcast" not in plan_of(df) and df.count()
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import col, fresh, materialise
+from vantage.llm.common import col, fresh, materialise, never_sent
 
 SEED, EPOCHS, FRACTION = 11, 2, 0.5
 #: A leaf's documents are cut by hash into ranges of about this many; running sums are taken over ranges, then within the range that the budget ends in.
@@ -150,8 +150,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = select_epochs(keyed, **options).groupBy("id", "row").agg(F.count("*").alias("picked"))
     twins = keyed.groupBy("id", "row").count().withColumnRenamed("count", "twins")
     same = got["id"].eqNullSafe(twins["id"]) & (got["row"] == twins["row"])
-    each = got.join(twins, same).select(got["id"].alias(pid), got["row"].alias(prow),
+    each = got.join(never_sent(twins), same).select(got["id"].alias(pid), got["row"].alias(prow),
                                         F.ceil(F.col("picked") / F.col("twins")).cast("int").alias(pn))
     each = materialise(each, "mix-picked")
-    out = tagged.join(each, col(id_col).eqNullSafe(F.col(pid)) & (F.col(row) == F.col(prow)))
+    out = tagged.join(never_sent(each), col(id_col).eqNullSafe(F.col(pid)) & (F.col(row) == F.col(prow)))
     return out.withColumn(pe, F.explode(F.sequence(F.lit(1), F.col(pn)))).select(*map(col, cols))

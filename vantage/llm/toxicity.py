@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import bound_batches, col, fresh, materialise
+from vantage.llm.common import bound_batches, col, fresh, materialise, never_sent
 
 #: The model is fitted on this many different labelled texts of each class at most, chosen by a hash of the text.
 MAX_TRAIN_PER_CLASS = 3000
@@ -83,7 +83,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     y = labels.where(col(label_col).isin(0, 1)).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("y"))
     src = docs.where(~held_out(col(id_col)) & col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
     src = src.withColumn("h", F.xxhash64("text"))
-    keyed = src.select("id", "h").join(y, "id").groupBy("h", "y").agg(F.min("id").alias("id"))  # copies of a text count once
+    keyed = src.select("id", "h").join(never_sent(y), "id").groupBy("h", "y").agg(F.min("id").alias("id"))  # copies of a text count once
     pick = [keyed.where(F.col("y") == k).orderBy("h").limit(per_class).select("id", "h", "y") for k in (0, 1)]
     chosen = materialise(pick[0].union(pick[1]).select("id", "h", "y"), "toxicity-chosen")
     rows = src.join(F.broadcast(chosen), ["id", "h"])  # 2 * per_class rows at most

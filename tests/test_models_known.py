@@ -1,6 +1,7 @@
 """Fits, rank tests and the classifier chain against answers known beforehand."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +12,7 @@ from vantage.operators import features as J
 from vantage.operators import models as K
 from vantage.operators import stats as ST
 from vantage.operators.families import CLASSIFIERS, classifier_chain
+from vantage.plans.catalog import QUERIES, load_all
 
 
 def ranks(values):
@@ -112,6 +114,25 @@ def test_feature_matrix_values(spark):
     assert got == [(1.0, 1.0, 0.0), (3.0, 1.0, 0.0), (3.0, 1.0, 0.0), (9.0, 0.0, 1.0)]
 
 
+def test_feature_matrix_query_tells_what_was_filled(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(k, 1, k % 5, 4, float(r.randint(1, 50)), r.choice([0.0, 0.1]), 0.04, r.choice("RN"), r.choice("OOF")) for k in range(60)]
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    load_all()
+    got = QUERIES["j5_feature_matrix"](spark, str(tmp_path)).first()
+    x1 = [(q[4] - 25.5) / 2.45 + 50 * (q[8] == "O") if q[0] % 7 else None for q in rows]
+    mid = statistics.median(v for v in x1 if v is not None)
+    cat1 = [{"O": "B"}.get(q[8], "A") if q[0] % 5 else None for q in rows]
+    held = [c for c in cat1 if c]
+    mode = min("AB", key=lambda c: (-held.count(c), c))
+    assert (got.n, got.width) == (60, 6)
+    assert got.x1_mean == pytest.approx(statistics.fmean(mid if v is None else v for v in x1))
+    assert got.cat1_B_mean == pytest.approx(sum((c or mode) == "B" for c in cat1) / 60) and got.cat1_A_mean == pytest.approx(1 - got.cat1_B_mean)
+    assert got.cat2_Y_mean == pytest.approx(sum(q[7] == "R" for q in rows) / 60) and got.cat2_X_mean == pytest.approx(1 - got.cat2_Y_mean)
+    assert got.x2_mean is not None
+
+
 def test_pca_finds_the_line(spark):
     rows = [("a", i, [float(i) + 100.0, 2.0 * i, 0.0]) for i in range(50)]
     scores, comp = CL.pca(spark.createDataFrame(rows, "g string, id long, v array<double>"), ["g"], "id", "v", 3, 2)

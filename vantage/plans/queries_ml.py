@@ -433,11 +433,13 @@ def j7_stratified_split(spark, d):
 
 @register("j5_feature_matrix")
 def j5_feature_matrix(spark, d):
-    """Numeric + categorical branches into one vector (impute, one-hot, assemble)."""
-    from vantage.operators.features import feature_matrix
+    """Numeric + categorical branches into one vector (impute, one-hot, assemble): rows, width and the mean of each feature per dataset."""
+    from vantage.operators.features import feature_matrix, feature_names
     s = _nulls(V.samples(spark, d))
-    fm = feature_matrix(s, ["dataset"], ["x1", "x2"], {"cat1": ["A", "B"], "cat2": ["X", "Y"]})
-    return fm.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width"))
+    numeric, categorical = ["x1", "x2"], {"cat1": ["A", "B"], "cat2": ["X", "Y"]}
+    fm = feature_matrix(s, ["dataset"], numeric, categorical)
+    means = [F.avg(F.col("features")[i]).alias(f"{c}_mean") for i, c in enumerate(feature_names(numeric, categorical))]
+    return fm.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width"), *means)
 
 
 @register("j8_smote")

@@ -390,3 +390,13 @@ def test_a_chunked_forest_looks_again_where_features_are_constant(spark):
     use = lambda m: {q.id: q.prediction for q in T.predict(df, m, ["g"], "id", "vec", plan).collect()}
     one, many = (use(T.fit_trees(df, ["g"], "id", "vec", "y", plan, group_rows=n)) for n in (1000, 50))
     assert len(one) == 300 and all(np.allclose(one[k], many[k], atol=1e-12) for k in one)
+
+
+def test_grid_of_a_small_group_equals_the_one_of_the_table(spark):
+    r = np.random.default_rng(6)
+    held = {"few": r.integers(0, 40, 900).astype(float), "edge": np.arange(256.0), "over": np.arange(257.0), "ties": np.round(r.normal(size=1900), 2),
+            "many": r.normal(size=2500), "zero": np.array([0.0, -0.0, 1.0]), "one": np.array([3.0])}
+    rows = [(g, [float(v)]) for g, x in held.items() for v in r.permutation(x)]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(5)
+    for q in T.grids(df, ["g"], "v").collect():
+        assert np.array_equal(T.thresholds(q.grid[0]), T.thresholds(T.grid_of(held[q.g]))), q.g  # -0.0 and 0.0 are one value

@@ -400,3 +400,13 @@ def test_grid_of_a_small_group_equals_the_one_of_the_table(spark):
     df = spark.createDataFrame(rows, "g string, v array<double>").repartition(5)
     for q in T.grids(df, ["g"], "v").collect():
         assert np.array_equal(T.thresholds(q.grid[0]), T.thresholds(T.grid_of(held[q.g]))), q.g  # -0.0 and 0.0 are one value
+
+
+def test_trees_of_a_chunked_forest_are_not_broadcast(spark, monkeypatch):
+    sent, real = [], T.F.broadcast
+    monkeypatch.setattr(T.F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    r = np.random.default_rng(2)
+    rows = [("a", k, r.normal(size=3).round(1).tolist(), float(k % 3)) for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, id bigint, vec array<double>, y double")
+    models = T.fit_trees(df, ["g"], "id", "vec", "y", T.Plan("rf", 3, trees=3, depth=3), group_rows=20)
+    assert models.count() == 1 and sent and all({"feature", "open"}.isdisjoint(c) for c in sent)
